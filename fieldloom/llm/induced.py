@@ -24,11 +24,32 @@ from collections.abc import Iterator
 
 import numpy as np
 
-LIMIT = 1 << 22
+LIMIT = 1 << 20
+
+
+def _order(rows: np.ndarray) -> np.ndarray:
+    """The order of columns of tuples: one plain sort for each column, on the place among the columns before and the column's own."""
+    place = rows[0]
+    order = np.argsort(place)
+    n = len(order)
+    for column in rows[1:]:
+        first = place[order]
+        new = np.ones(n, bool)
+        new[1:] = first[1:] != first[:-1]
+        if new.all():
+            break
+        place = np.empty(n, np.uint64)
+        place[order] = np.cumsum(new) - 1
+        values = column
+        if int(column.max()) >= 1 << 63 - n.bit_length():
+            values = np.unique(column, return_inverse=True)[1].astype(np.uint64)
+        place = place << np.uint64(int(values.max()).bit_length()) | values
+        order = np.argsort(place)
+    return order
 
 
 class DiskQueue:
-    """A bulk priority queue of tuples: equal-length columns of unsigned 64-bit numbers, first column first."""
+    """A bulk priority queue of tuples: equal-length columns of unsigned 64-bit numbers, first column first; the last is a load without order."""
 
     def __init__(self, columns: int, folder: str, limit: int = LIMIT):
         self.columns, self.folder, self.limit = columns, folder, limit
@@ -44,7 +65,7 @@ class DiskQueue:
     def _sorted(self) -> np.ndarray:
         rows = np.concatenate(self.held, axis=1) if self.held else np.zeros((self.columns, 0), np.uint64)
         self.held, self.count = [], 0
-        return rows[:, np.lexsort(rows[::-1])]
+        return rows[:, _order(rows[:-1])]
 
     def _spill(self) -> None:
         handle, path = tempfile.mkstemp(suffix=".run", dir=self.folder)
@@ -64,18 +85,18 @@ class DiskQueue:
         at, size = [0] * len(files), max(1024, self.limit // len(files))
         while any(a < f.shape[1] for a, f in zip(at, files, strict=True)):
             parts = [np.array(f[:, a : a + size]) for a, f in zip(at, files, strict=True)]
-            last = [tuple(p[:, -1]) for p, a, f in zip(parts, at, files, strict=True) if p.shape[1] and a + size < f.shape[1]]
+            last = [tuple(p[:-1, -1]) for p, a, f in zip(parts, at, files, strict=True) if p.shape[1] and a + size < f.shape[1]]
             if last:
                 bound = min(last)
                 for k, p in enumerate(parts):
                     below, equal = np.zeros(p.shape[1], bool), np.ones(p.shape[1], bool)
-                    for column, b in zip(p, bound, strict=True):
+                    for column, b in zip(p[:-1], bound, strict=True):
                         below |= equal & (column < b)
                         equal &= column == b
                     parts[k] = p[:, below | equal]
             at = [a + p.shape[1] for a, p in zip(at, parts, strict=True)]
             rows = np.concatenate(parts, axis=1)
-            yield rows[:, np.lexsort(rows[::-1])]
+            yield rows[:, _order(rows[:-1])]
         for path, _ in self.runs:
             os.unlink(path)
 

@@ -41,7 +41,7 @@ LENGTH = 100
 REACH = 32
 POSITION_BITS = 30
 MARK_BITS = 26
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -125,10 +125,30 @@ def _list(length: int, sent):
             head = head[np.cumsum(first) - 1] if len(head) else head
             rank = _ranked(batch)
             again = ~first & ((a != a[head]) | (rank[row] != rank[row[head]]))  # a repeated row is the same document
-            same = ~first & ~again
-            row, key, whole, a, n, again = (x[~same] for x in (row, key, whole, a, n, again))
-            at = pa.array(row)
-            yield pa.record_batch({"key": pa.array(key.view(np.int64)), "content": pa.array(whole.view(np.int64)), "doc": batch.column(0).take(at), "th": batch.column(1).take(at), "a": a.astype(np.int64), "n": n.astype(np.int32), "again": again})
+            # copies in the block are settled: merged, and dealt by place
+            gone = np.flatnonzero(again)
+            gone = gone[np.lexsort((a[gone], row[gone]))]
+            low, high = offsets[row[gone]] + a[gone], offsets[row[gone]] + a[gone] + n[gone]
+            reach = np.maximum.accumulate(high) if len(gone) else high
+            new = np.ones(len(gone), bool)
+            new[1:] = (low[1:] > reach[:-1]) | (row[gone][1:] != row[gone][:-1])
+            head = np.flatnonzero(new)
+            size = (reach[np.append(head[1:], len(gone)) - 1] - low[head]) if len(gone) else low
+            gone = gone[head]
+            ask = np.flatnonzero(first)
+            at = pa.array(np.concatenate([row[ask], row[gone]]))
+            spread = mix(low[head].astype(np.uint64) + key[gone])
+            yield pa.record_batch(
+                {
+                    "key": np.concatenate([key[ask], spread]).view(np.int64),
+                    "content": whole[np.concatenate([ask, gone])].view(np.int64),
+                    "doc": batch.column(0).take(at),
+                    "th": batch.column(1).take(at),
+                    "a": np.concatenate([a[ask], a[gone]]).astype(np.int64),
+                    "n": np.concatenate([n[ask], size]).astype(np.int32),
+                    "again": np.arange(len(ask) + len(gone)) >= len(ask),
+                }
+            )
 
     return run
 
