@@ -49,21 +49,28 @@ def paths(messages: DataFrame, top: int = 1) -> DataFrame:
     known = nodes.select(F.col("conv").alias("c"), F.col("id").alias("p"))
     link = (F.col("conv").eqNullSafe(F.col("c"))) & (F.col("parent") == F.col("p"))
     reach = nodes.join(known, link, "left").select("conv", "id", F.col("p").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    jumps = [written(reach, "jump")]
-    total = jumps[0]
-    limit = 1 + max(1, int(jumps[0].count())).bit_length()
-    while len(jumps) < limit and total.where("up IS NOT NULL").limit(1).count():
-        far = total.select(F.col("conv").alias("c"), F.col("id").alias("p"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
-        step = total.join(far, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")), "left")
-        total = written(step.select("conv", "id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score")), "jump")
-        jumps.append(total)
-    rooted = total.where("up IS NULL")  # all of a cycle still points up
-    parents = jumps[0].where("up IS NOT NULL").select(F.col("conv").alias("c"), F.col("up").alias("p")).distinct()
+    # jumps[k]: the rows whose ancestor 2**k steps up exists; ended[k]: those whose root came into reach in round k
+    state = written(reach, "jump")
+    rows = int(state.count())
+    jumps, ended = [state.where("up IS NOT NULL")], [state.where("up IS NULL")]
+    while len(jumps) <= 1 + rows.bit_length() and jumps[-1].limit(1).count():
+        reached = jumps[-1]
+        for x in ended:
+            reached = reached.unionByName(x)
+        far = reached.select(F.col("conv").alias("c"), F.col("id").alias("p"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("score").alias("s2"))
+        step = jumps[-1].join(far, F.col("conv").eqNullSafe(F.col("c")) & (F.col("up") == F.col("p")))
+        state = written(step.select("conv", "id", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("score") + F.col("s2")).alias("score")), "jump")
+        jumps.append(state.where("up IS NOT NULL"))
+        ended.append(state.where("up IS NULL"))
+    rooted = ended[0]  # all of a cycle still points up
+    for x in ended[1:]:
+        rooted = rooted.unionByName(x)
+    parents = jumps[0].select(F.col("conv").alias("c"), F.col("up").alias("p")).distinct()
     leaves = rooted.join(parents, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("p")), "left_anti")
     best = Window.partitionBy("conv").orderBy(F.col("score").desc(), "id")
     path = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("conv", F.col("id").alias("leaf"), "rank", "id", "depth")
     for k in reversed(range(len(jumps) - 1)):
-        jump = jumps[k].where("up IS NOT NULL").select(F.col("conv").alias("c"), F.col("id").alias("p"), "up")
+        jump = jumps[k].select(F.col("conv").alias("c"), F.col("id").alias("p"), "up")
         both = path.join(jump, F.col("conv").eqNullSafe(F.col("c")) & (F.col("id") == F.col("p")), "left")
         here = F.struct("id", "depth")
         above = F.struct(F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
