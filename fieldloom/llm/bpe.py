@@ -25,6 +25,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .common import blocks, read_table
 
@@ -146,8 +147,9 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER, out: str = "ids") -> DataFrame:
-    """``docs`` with a column of ids."""
-    schema = docs.schema.add(out, "array<int>")
+    """``docs`` with a column of ids; a column of that name is replaced."""
+    docs = docs.drop(out)
+    schema = StructType([*docs.schema.fields, StructField(out, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(tokenizer)

@@ -54,6 +54,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def private(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed by position, and the new name of each: no column of the caller's can clash with an operator's.
+
+    The caller's names come back with ``toDF(*docs.columns)``.
+    """
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), {old: new for old, new in reversed(list(zip(docs.columns, names, strict=True)))}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

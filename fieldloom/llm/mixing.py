@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, text_or_empty, written
+from .common import private, read_table, text_or_empty, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -43,10 +43,10 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
+def with_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with _size and _key."""
-    out = docs.withColumn("_size", size_of(text_or_empty()))
-    return out.withColumn("_key", -F.log(uniform(F.col("doc_id"))) / quality_weight(text_or_empty(), F.col("_size")))
+    out = docs.withColumn("_size", size_of(text_or_empty(text)))
+    return out.withColumn("_key", -F.log(uniform(F.col(doc_id))) / quality_weight(text_or_empty(text), F.col("_size")))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -102,27 +102,29 @@ def cuts(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """``docs`` with _size, _source_size, _target and _copies, the times the mix holds the document."""
-    keyed = with_keys(docs)
-    narrow = written(keyed.select("source", "doc_id", F.col("_size").alias("size"), F.col("_key").alias("key")), "keys")
+    """``docs``, columns renamed by ``private``, with _size, _source_size, _target and _copies, the times the mix holds the document."""
+    own, name = private(docs)
+    doc_id, source = F.col(name["doc_id"]), F.col(name["source"])
+    keyed = with_keys(own, name["doc_id"], name["text"])
+    narrow = written(keyed.select(source.alias("source"), doc_id.alias("doc_id"), F.col("_size").alias("size"), F.col("_key").alias("key")), "keys")
     found = written(cuts(narrow, weights, epochs), "cuts").select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "epochs", "last", "last_bucket")
-    out = keyed.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
+    out = keyed.join(found, source.eqNullSafe(F.col("_source")), "left")
     bucket = F.least(F.floor(F.col("_key") / (F.col("_key") + 1) * RANGES), F.lit(RANGES - 1))
-    own = F.struct(F.col("_key").alias("key"), F.col("doc_id").alias("doc_id"), F.col("_size").alias("size"))
-    part = F.coalesce((bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & F.coalesce(own <= F.col("last"), F.lit(False))), F.lit(False))
+    place = F.struct(F.col("_key").alias("key"), doc_id.alias("doc_id"), F.col("_size").alias("size"))
+    part = F.coalesce((bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & F.coalesce(place <= F.col("last"), F.lit(False))), F.lit(False))
     return out.withColumn("_copies", F.col("epochs") + part.cast("long")).drop("_source", "_key", "epochs", "last", "last_bucket")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
     """The mix: every document as often as it is taken."""
     out = mixed(docs, weights, epochs).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(out[c] for c in docs.columns))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*private(docs)[0].columns).toDF(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     out = mixed(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    return out.select(F.col("_c0").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
 SQL = {

@@ -65,13 +65,19 @@ RULES = (
 )
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words", "n_shouted", "n_repeat_words")
+RESULTS = {*COUNTS, *(f"rule_{r.name}" for r in RULES), "base_failed", "kept"}
+
+
 def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and the counts the rules and the base use, all long."""
+    """``keep`` columns (but for those named like a result) and the counts the rules and the base use, all long."""
+    keep = [c for c in keep if c not in RESULTS]
     size = lambda c: F.size(c).cast("long")
     stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    out = docs.select(*keep, text_or_empty().alias("_text"))
+    own = [f"_k{i}" for i in range(len(keep))]
+    out = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, own, strict=True)), text_or_empty().alias("_text"))
     out = out.select(
-        *keep,
+        *own,
         F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0).alias("_lines"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -99,7 +105,8 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
     at = F.filter(F.zip_with("_s", either, lambda s, f: F.when(f, s["i"])), lambda x: x.isNotNull())
     out = out.withColumn("_p", F.sort_array(at)).drop("_s", "_eq")
     gaps = F.zip_with("_p", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5))))
-    return out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x)).drop("_p")
+    out = out.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x))
+    return out.select(*(F.col(k).alias(c) for c, k in zip(keep, own, strict=True)), *COUNTS)
 
 
 BASE = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"

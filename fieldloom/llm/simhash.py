@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, read_table, text_or_empty, written
+from .common import blocks, mix, private, read_table, text_or_empty, written
 from .graph import components
 
 RADIUS = 2
@@ -298,7 +298,8 @@ def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     """
     classes = similar_classes(docs, size, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = classes.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    own, name = private(docs)
+    return own.join(kept, F.col(name["doc_id"]).eqNullSafe(F.col("_id")), "left_semi").toDF(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

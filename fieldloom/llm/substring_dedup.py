@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RunningHash, blocks, bytes_of, mix, read_table, sliding_min, text_or_empty, word_bounds, word_names, written
+from .common import RunningHash, blocks, bytes_of, mix, private, read_table, sliding_min, text_or_empty, word_bounds, word_names, written
 
 WINDOW = 35
 ROUNDS = 3
@@ -190,8 +190,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     one = found.where("whole and mixed").groupBy("key", "content").agg(F.min(F.struct("th", "a", "n", "doc")).alias("one"))
     one = one.select("one.doc", "one.th", F.struct("key", "one.a", "one.n", F.lit(False).alias("judged")).alias("span"))
     asked = alone.unionByName(one).groupBy("doc", "th").agg(F.collect_list("span").alias("spans"))
-    text = source.dropDuplicates(["doc", "th"]) if docs.isStreaming else source
-    opened = text.join(asked, _same_document(text, asked)).select(text["doc"], text["th"], "text", "spans")
+    opened = source.join(asked, _same_document(source, asked)).select(source["doc"], source["th"], "text", "spans")
     windows = written(opened.mapInArrow(_open_windows(window), f"key long, content long, doc {doc_type}, th long, a int, judged boolean"), "windows")
     twice = windows.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", "content")
     ends = windows.where("judged").join(twice, ["key", "content"]).select("doc", "th", "a", F.lit(window).alias("n"))
@@ -207,11 +206,12 @@ def covered(n: int, spans: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every row of ``docs`` with a column ``_spans`` of what to remove; null where nothing is."""
+    """Every row of ``docs``, columns renamed by ``private``, with a column ``_spans`` of what to remove; null where nothing is."""
     spans = repeated_spans(docs, window)
-    keyed = docs.withColumns({"_th": F.xxhash64(text_or_empty())})
+    own, name = private(docs)
+    keyed = own.withColumns({"_th": F.xxhash64(text_or_empty(name["text"]))})
     spans = spans.select(F.col("doc").alias("_doc"), F.col("th").alias("_th2"), F.col("spans").alias("_spans"))
-    return keyed.join(spans, (F.col("_th") == F.col("_th2")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_th", "_th2", "_doc")
+    return keyed.join(spans, (F.col("_th") == F.col("_th2")) & F.col(name["doc_id"]).eqNullSafe(F.col("_doc")), "left").drop("_th", "_th2", "_doc")
 
 
 def _masks(batch: pa.RecordBatch, counts: np.ndarray) -> Iterator[np.ndarray | None]:
@@ -226,9 +226,11 @@ def _masks(batch: pa.RecordBatch, counts: np.ndarray) -> Iterator[np.ndarray | N
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every repeated passage cut out of ``text`` (what stands between kept words stays); ``n_chars`` follows where it exists."""
 
+    own, name = private(docs)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            at = batch.schema.get_field_index("text")
+        for batch in blocks(batches, name["text"]):
+            at = batch.schema.get_field_index(name["text"])
             data, offsets = bytes_of(batch.column(at))
             starts, ends, bounds = word_bounds(data, offsets)
             new = batch.column(at).to_pylist()
@@ -238,14 +240,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     edges = np.flatnonzero(np.diff(np.concatenate([[False], ~gone, [False]])))
                     stop = np.append(s, high)
                     new[k] = bytes(b"".join(data[s[i] : stop[j]].tobytes() for i, j in zip(edges[::2], edges[1::2], strict=True))).decode().rstrip() if len(edges) else ""
-            fields = [i for i in range(batch.num_columns) if batch.schema.names[i] != "_spans"]
-            columns = {batch.schema.names[i]: batch.column(i) for i in fields}
-            columns["text"] = pa.array(new, pa.string())
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if x is None else len(x) for x in new], columns["n_chars"].type)
+            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_spans"}
+            columns[name["text"]] = pa.array(new, pa.string())
+            if "n_chars" in name:
+                columns[name["n_chars"]] = pa.array([None if x is None else len(x) for x in new], columns[name["n_chars"]].type)
             yield pa.record_batch(columns)
 
-    return with_spans(docs, window).mapInArrow(cut, docs.schema)
+    return with_spans(docs, window).mapInArrow(cut, own.schema).toDF(*docs.columns)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +267,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select("doc_id", "text")
-    return with_spans(docs, window).select("doc_id", "text", "_spans").mapInArrow(_digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(docs, window).toDF("doc_id", "text", "_spans").mapInArrow(_digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
 
 
 SQL = {

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_NAME, RunningHash, blocks, bytes_of, mix, read_table, sliding_min, text_or_empty, written
+from .common import BYTE_NAME, RunningHash, blocks, bytes_of, mix, private, read_table, sliding_min, text_or_empty, written
 from .induced import Sorter
 
 LENGTH = 100
@@ -314,10 +314,11 @@ def later_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Every row of ``docs`` with a column ``_spans`` of what to remove; null where nothing is."""
+    """Every row of ``docs``, columns renamed by ``private``, with a column ``_spans`` of what to remove; null where nothing is."""
+    own, name = private(docs)
     spans = later_spans(docs, length).select(F.col("doc").alias("_doc"), F.col("th").alias("_th2"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumns({"_th": F.xxhash64(text_or_empty())})
-    return keyed.join(spans, (F.col("_th") == F.col("_th2")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_th", "_th2", "_doc")
+    keyed = own.withColumns({"_th": F.xxhash64(text_or_empty(name["text"]))})
+    return keyed.join(spans, (F.col("_th") == F.col("_th2")) & F.col(name["doc_id"]).eqNullSafe(F.col("_doc")), "left").drop("_th", "_th2", "_doc")
 
 
 def kept_parts(n: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[list[tuple[int, int]], int, int]:
@@ -354,16 +355,17 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def digest(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     docs = docs.select("doc_id", "text")
-    return with_spans(docs, length).select("doc_id", "text", "_spans").mapInArrow(_digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs, length).toDF("doc_id", "text", "_spans").mapInArrow(_digest, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with ``text`` as binary, without the bytes of strings that start earlier too."""
-    schema = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
+    private_docs, name = private(docs)
+    schema = ", ".join(f"{f.name} {'binary' if f.name == name['text'] else f.dataType.simpleString()}" for f in private_docs.schema.fields)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            at = batch.schema.get_field_index("text")
+        for batch in blocks(batches, name["text"]):
+            at = batch.schema.get_field_index(name["text"])
             spans = batch.column(batch.schema.get_field_index("_spans"))
             edges, flat = spans.offsets.to_numpy(), spans.values
             a, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
@@ -372,9 +374,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if own is not None and edges[k + 1] > edges[k]:
                     texts[k] = b"".join(own[x:y] for x, y in kept_parts(len(own), a[edges[k] : edges[k + 1]], n[edges[k] : edges[k + 1]])[0])
             names = [x for x in batch.schema.names if x != "_spans"]
-            yield pa.record_batch([pa.array(texts, pa.binary()) if x == "text" else batch.column(x) for x in names], names=names)
+            yield pa.record_batch([pa.array(texts, pa.binary()) if x == name["text"] else batch.column(x) for x in names], names=names)
 
-    return with_spans(docs, length).mapInArrow(cut, schema)
+    return with_spans(docs, length).mapInArrow(cut, schema).toDF(*docs.columns)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

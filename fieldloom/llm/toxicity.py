@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, read_table, text_or_empty
+from .common import blocks, private, read_table, text_or_empty
 
 BITS = 18
 SAMPLE = 12_000
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SA
     return fit_chain(flat, offsets, y, fold, names)
 
 
-def score(docs: DataFrame, chain: Chain, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` and a probability ``p_<name>`` for each category."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(chain)
@@ -188,7 +188,7 @@ def score(docs: DataFrame, chain: Chain, keep: list[str]) -> DataFrame:
             p = sigmoid(own.logits(np.concatenate(rows), offsets))
             yield pa.record_batch([*batch.columns[: len(keep)], *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*keep, *(f"p_{n}" for n in own.names)])
 
-    return docs.select(*keep, text_or_empty().alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, text_or_empty(text).alias("_text")).mapInArrow(run, schema)
 
 
 CATEGORIES = ["low_quality", "toxic"]
@@ -209,7 +209,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose p_toxic is below the threshold."""
     chain = train(docs, table_labels(labels), CATEGORIES)
-    return score(docs, chain, docs.columns).where(F.col("p_toxic") < threshold).select(*docs.columns)
+    own, name = private(docs)
+    return score(own, chain, own.columns, name["text"]).where(F.col("p_toxic") < threshold).select(*own.columns).toDF(*docs.columns)
 
 
 SQL: dict[str, str] = {}
