@@ -100,8 +100,8 @@ def index_sql(name: str, dialect: str = "spark") -> str:
 
 
 def finite(value: Column) -> Column:
-    """NULL for NaN and infinities."""
-    return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
+    """NULL for NaN (which Spark orders above all numbers) and infinities."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def index(name: str) -> Column:

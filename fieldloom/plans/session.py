@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: The JVM compiles no method above this size; a wide projection beyond it runs faster as split expressions than as one
+#: generated method that stays interpreted (31 indices over 600,000 rows: 1.2 s against 6.4 s).
+JIT_BYTES = "8000"
 PACKAGE = Path(__file__).resolve().parent.parent
 
 
@@ -23,12 +26,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.hugeMethodLimit", JIT_BYTES)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with settings of ours that it leaves at Spark's defaults."""
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_BYTES)
+    return spark
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors once in a Spark application, for workers that can't import it from their own path."""
     context = spark.sparkContext
