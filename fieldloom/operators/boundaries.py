@@ -60,3 +60,37 @@ def overlap(predicted: DataFrame, reference: DataFrame, keys: list[str], cell: l
 def prior_strength(scene_year: Column, source_year: Column) -> Column:
     """0.35 halved for every five years between polygon and scenes; 0 without a year."""
     return F.coalesce(F.lit(0.35) * F.pow(F.lit(0.5), F.abs(scene_year - source_year) / 5), F.lit(0.0))
+
+
+def eroded(cells: DataFrame, keys: list[str], pixels: int = 1) -> DataFrame:
+    """Cells whose whole square of ``pixels`` around them is inside; a polygon that would vanish stays as it is.
+
+    A cell votes for the cells around it, so the join is a sum with a fixed number of rows for each cell.
+    """
+    steps = F.sequence(F.lit(-pixels), F.lit(pixels))
+    votes = cells.select(*keys, "r", "c", F.explode(steps).alias("_i")).select("*", F.explode(steps).alias("_j"))
+    counted = votes.groupBy(*keys, (F.col("r") + F.col("_i")).alias("r"), (F.col("c") + F.col("_j")).alias("c")).agg(F.count(F.lit(1)).alias("_n"))
+    inner = counted.where(F.col("_n") == (2 * pixels + 1) ** 2).select(*keys, "r", "c")
+    gone = cells.join(inner.select(*keys).distinct(), keys, "left_anti").select(*keys, "r", "c")
+    return inner.unionByName(gone)
+
+
+def outlines(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x1, y1, x2, y2): the border of a mask as unit edges with the cells on their left; edges that two cells share cancel."""
+    x, y = F.col("c") - 1, F.col("r") - 1
+    corners = [((0, 0), (1, 0)), ((1, 0), (1, 1)), ((1, 1), (0, 1)), ((0, 1), (0, 0))]
+    own = F.array(*(F.struct((x + a).alias("x1"), (y + b).alias("y1"), (x + c).alias("x2"), (y + d).alias("y2")) for (a, b), (c, d) in corners))
+    each = cells.select(*keys, F.explode(own).alias("e")).select(*keys, "e.*")
+    line = [F.least("x1", "x2").alias("_x"), F.least("y1", "y2").alias("_y"), (F.col("x1") == F.col("x2")).alias("_up")]
+    alone = each.groupBy(*keys, *line).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("x1", "y1", "x2", "y2")).alias("e")).where("_n = 1")
+    return alone.select(*keys, "e.*")
+
+
+def prior(points: DataFrame, edges: DataFrame, size: int, scene_year: int, erode: int = 0) -> DataFrame:
+    """(site_id, r, c, strength): cells of each site's polygon, the smallest that holds its point."""
+    own = selected(points, edges)
+    cells = rasterised(edges.join(own, ["site_id", "poly_id"], "left_semi"), size)
+    if erode:
+        cells = eroded(cells, ["site_id", "poly_id"], erode)
+    years = edges.groupBy("poly_id").agg(F.max("source_year").alias("_year"))
+    return cells.join(years, "poly_id").select("site_id", "r", "c", prior_strength(F.lit(scene_year), F.col("_year")).alias("strength"))

@@ -523,18 +523,32 @@ class Site:
             self.mask, self.decided = cleanup(self.mask, self.decided, self.seed, values, iterations, p.multiple_areas, p.area_separation_strict)
         return self
 
+    def _grow(self, open_: np.ndarray, match: np.ndarray, windows: int) -> np.ndarray:
+        """The ladder from the seed; inside a mask that is there already, one flood from each area's open cell nearest the seed."""
+        p = self.params
+        if self.mask is None:
+            return ladder(open_, match, self.seed, p.local_alive_density, windows, self.prior, self.strength)
+        out, open_ = np.zeros(open_.shape, bool), open_ & self.mask
+        for area in areas(self.mask, self.seed):
+            cells = [x for x in area.cells if open_[x]]
+            if cells:
+                start = min(cells, key=lambda x: ((x[0] - self.seed[0]) ** 2 + (x[1] - self.seed[1]) ** 2, x))
+                box = (0, open_.shape[0] - 1, 0, open_.shape[1] - 1)
+                out |= flood(open_, match, start, box, p.local_alive_density, windows, self.prior, self.strength)[0]
+        return out
+
     def area(self) -> Site:
-        """Fill from the seed: one flood for each window and their union, or one flood over all windows."""
+        """Fill from the seed: one flood for each window and their union, or one flood over all windows; again within a mask."""
         p, n = self.params, self.cube.shape[2]
         if p.time_independent_windows:
             mask = np.zeros(self.cube.shape[:2], bool)
             for w in range(n):
                 one = self.cube[:, :, w : w + 1]
                 open_, match = eligible(one, self.mu[w : w + 1], self.tol[w : w + 1], p.area_threshold, 1)
-                mask |= ladder(open_, match, self.seed, p.local_alive_density, 1, self.prior, self.strength)
+                mask |= self._grow(open_, match, 1)
         else:
             open_, match = eligible(self.cube, self.mu, self.tol, p.area_threshold, min(p.min_windows_alive, n))
-            mask = ladder(open_, match, self.seed, p.local_alive_density, n, self.prior, self.strength)
+            mask = self._grow(open_, match, n)
         self.mask = mask
         if self.staged is not None:
             staged, self.staged = self.staged, None

@@ -499,6 +499,37 @@ def prior_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(own.select("poly_id", boundaries.prior_strength(F.lit(2015), F.col("source_year")).alias("strength")), "strength")
 
 
+@query(
+    "erode_polygon",
+    f"""WITH {EDGES}, {RASTER}, e AS (SELECT a.poly_id, a.r, a.c FROM rst a JOIN rst b ON a.poly_id = b.poly_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL HAVING count(*) = 9)
+SELECT poly_id, r, c FROM e""",
+)
+def erode_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.eroded(boundaries.rasterised(bridge.edges(spark, sf_dir), SIZE), ["poly_id"])
+
+
+@query(
+    "mask_outline",
+    f"""WITH {PX}, {MASK}, d AS (SELECT * FROM (VALUES (0, -1, 0, 0, 1, 0), (1, 0, 1, 0, 1, 1), (0, 1, 1, 1, 0, 1), (-1, 0, 0, 1, 0, 0)) v(dc, dr, a, b, e, f))
+SELECT m.site_id, m.area_num, m.c - 1 + a AS x1, m.r - 1 + b AS y1, m.c - 1 + e AS x2, m.r - 1 + f AS y2 FROM mask m, d
+WHERE NOT EXISTS (SELECT 1 FROM mask n WHERE n.site_id = m.site_id AND n.area_num = m.area_num AND n.r = m.r + d.dr AND n.c = m.c + d.dc)""",
+)
+def mask_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundaries.outlines(mask_cells(spark, sf_dir), ["site_id", "area_num"])
+
+
+@query(
+    "polygon_support",
+    f"""WITH {FX}, {EDGES}, {RASTER}, g AS (SELECT DISTINCT site_id, r, c FROM rst WHERE poly_id < 5), er AS (SELECT a.site_id, a.r, a.c FROM g a JOIN g b ON a.site_id = b.site_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL HAVING count(*) = 9),
+lx AS (SELECT site_id, r, c, 1 AS w, w1 AS v FROM feat SEMI JOIN er USING (site_id, r, c) UNION ALL SELECT site_id, r, c, 2, w2 FROM feat SEMI JOIN er USING (site_id, r, c) UNION ALL SELECT site_id, r, c, 3, w3 FROM feat SEMI JOIN er USING (site_id, r, c)), {SIG}
+SELECT site_id, w, n, round(CASE WHEN n >= 2 THEN mu END, 9) AS mu, round(CASE WHEN n >= 2 THEN disp END, 9) AS disp FROM sg""",
+)
+def polygon_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = boundaries.rasterised(bridge.edges(spark, sf_dir).where("poly_id < 5"), SIZE)
+    inside = boundaries.eroded(cells.select("site_id", "r", "c"), ["site_id"])
+    return rounded(signature.signature(signature.long_windows(features(spark, sf_dir).join(inside, ["site_id", "r", "c"], "left_semi"))), "mu", "disp")
+
+
 # -- grids and delineation -------------------------------------------------------------------------
 
 ALIVE = "al AS (SELECT site_id, r, c FROM feat WHERE w1 >= 0.53)"
@@ -588,6 +619,14 @@ def boundary_delineation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delineate.delineated(features(spark, sf_dir), seeds(spark), SIZE, SIZE, _FIELD)
 
 
+@query("prior_delineation")
+def prior_delineation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = bridge.edges(spark, sf_dir)
+    points = edges.select("site_id").distinct().select("site_id", F.lit(8.25).alias("x"), F.lit(7.75).alias("y"))
+    cells = boundaries.prior(points, edges, SIZE, 2010)
+    return delineate.delineated(features(spark, sf_dir), seeds(spark), SIZE, SIZE, _FIELD, prior=cells)
+
+
 @query("delineated_series")
 def delineated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = boundary_delineation(spark, sf_dir).select("site_id", "r", "c")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import indices
-from .operators import catalogue, delineate, fusion, raster, series, signature
+from .operators import boundaries, catalogue, delineate, fusion, raster, series, signature
 from .plans.params import DEFAULTS, UNSET, Params, iso_date, resolved
 
 
@@ -48,11 +48,22 @@ class FieldQuery:
         p = self.params
         return raster.window_features(self.detection, "v", p.search_start_date or self.start, p.search_end_date or self.end, self.windows())
 
-    def calibration(self, radius: int = 5) -> DataFrame | None:
-        """Valid windows' signatures and tolerances around the seed; None for an index without a noise floor."""
-        if signature.noise_floor(self.params.search_index) is None:
+    def calibration(self, most: int = 8) -> DataFrame | None:
+        """Valid windows' signatures and tolerances; None for an index without a noise floor.
+
+        The support is the prior's cells, one pixel eroded, or else the square around the seed that is large enough for
+        the noise floor, ``most`` cells at the furthest.
+        """
+        floor = signature.noise_floor(self.params.search_index)
+        if floor is None:
             return None
-        block = signature.seed_block(self.features(), self.seeds, radius)
+        features, cell = self.features(), ["site_id", "r", "c"]
+        radius = signature.support(features, self.seeds, floor, most, self.windows())
+        block = signature.seed_block(features, self.seeds, most).join(radius, "site_id")
+        block = block.where(F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("c") - F.col("c0"))) <= F.col("radius")).select(features.columns)
+        if self.prior is not None:
+            inside = boundaries.eroded(self.prior.select(*cell), ["site_id"])
+            block = block.join(self.prior.select("site_id").distinct(), "site_id", "left_anti").unionByName(features.join(inside, cell, "left_semi"))
         low, high = self.params.area_threshold
         return signature.calibrated(signature.long_windows(block, self.windows()), self.params.search_index, self.params.strictness, low=low, high=high)
 
@@ -83,9 +94,23 @@ class FieldQuery:
         return self._staged("boundary", params, inline)
 
     def add_prior(self, cells: DataFrame) -> FieldQuery:
-        """cells: (site_id, r, c, strength) of a boundary polygon."""
+        """cells: (site_id, r, c, strength) of a boundary polygon (boundaries.prior)."""
         return replace(self, prior=cells)
 
+    def diagnose(self, reference: DataFrame | None = None) -> DataFrame:
+        """Overlap of the mask with reference cells (the prior's, if none are given)."""
+        mask, reference = self.mask(), reference if reference is not None else self.prior
+        if mask is None or reference is None:
+            raise ValueError("a mask and a reference are needed")
+        return boundaries.overlap(mask, reference.select("site_id", "r", "c").distinct(), ["site_id"], ["r", "c"])
+
+    def outlines(self) -> DataFrame:
+        """(site_id, area_num, x1, y1, x2, y2): borders of the mask's areas."""
+        mask = self.mask()
+        if mask is None:
+            raise ValueError("there is no mask yet")
+        return boundaries.outlines(mask, ["site_id", "area_num"])
+
     def mask(self) -> DataFrame | None:
         """Mask cells, or None before any delineation."""
         if not {"area", "boundary"} & set(self.stages):
@@ -108,9 +133,12 @@ class FieldQuery:
         return replace(self, scenes=both, fused=True)
 
     def validate_fusion(self, coarse: DataFrame, by: str = "scene", min_valid_n: int = 4) -> DataFrame:
-        """Leave-one-out agreement by scene or pixel."""
-        if by not in ("scene", "pixel"):
-            raise ValueError("by is scene or pixel")
+        """Leave-one-out agreement by scene or pixel, or the daily series with each scene's agreement beside it."""
+        if by not in ("scene", "pixel", "series"):
+            raise ValueError("by is scene, pixel or series")
+        if by == "series":
+            found = self.validate_fusion(coarse, "scene", min_valid_n).withColumn("date", F.date_format("scene_date", "yyyy-MM-dd")).drop("scene_date")
+            return self.as_time_series().join(found, ["site_id", "date"], "left")
         own, far = (indices.with_index(x, self.index_name, "v") for x in (self.scenes, coarse))
         pairs = fusion.leave_one_out(own, far, "v")
         return fusion.agreement(pairs, ["site_id", "scene_date"], min_valid_n, "n_pixels") if by == "scene" else fusion.agreement(pairs, ["site_id", "r", "c"], min_valid_n, "n_scenes")
