@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SA
     """A chain over the label columns ``names`` of ``labels`` (doc_id and 0/1 columns), on at most ``sample`` rows."""
     own = labels.select(F.col("doc_id").alias("_id"), *names).dropna().dropDuplicates(["_id"])
     own = own.orderBy(F.crc32(F.concat(F.lit("chain"), F.col("_id").cast("string"))), "_id").limit(sample)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(own, F.col("doc_id") == F.col("_id")).drop("_id")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("_id")).drop("_id")  # ``sample`` rows at most
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = texts.mapInArrow(_features, ", ".join([f"doc_id {kind}", "features array<int>", *(f"`{n}` {labels.schema[n].dataType.simpleString()}" for n in names)]))
     table = made.toArrow()
