@@ -229,7 +229,14 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     large = sized.where(F.col("n") > LIMIT)
     by_band = [F.when(F.col("band") == k, F.array(*(F.struct(F.lit(band).alias("band"), key(mask).alias("key")) for own, band, mask in finer if own == k))) for k in range(len(masks))]
     again = large.select("fp", F.explode(F.coalesce(*by_band)).alias("x")).select("x.band", "x.key", "fp")
-    dealt = once.unionByName(again).repartition("band", "key").sortWithinPartitions("band", "key", "fp")
+    return _compared(once.unionByName(again), radius)
+
+
+def _compared(buckets: DataFrame, radius: int) -> DataFrame:
+    """Edges found in the buckets (band, key, fp).  The number of partitions is the session's: few bytes make much work
+    here, so partitions are not to be merged by size."""
+    n = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = buckets.repartition(n, "band", "key").sortWithinPartitions("band", "key", "fp")
     return dealt.mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
@@ -286,8 +293,7 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, tab
     once = sized.where(F.col("n") <= LIMIT).select("band", "key", "fp")
     finer = sized.where(F.col("n") > LIMIT).select("fp", F.col("band").alias("b1"), F.col("key").alias("k1"), F.posexplode("keys").alias("b2", "k2")).where("b1 != b2")
     finer = finer.select((F.lit(tables) * (F.col("b1") + 1) + F.col("b2")).alias("band"), F.xxhash64("k1", "k2").alias("key"), "fp")
-    dealt = once.unionByName(finer).distinct().repartition("band", "key").sortWithinPartitions("band", "key", "fp")
-    return _classes(prints.select("doc_id", "fp"), dealt.mapInArrow(_compare(radius), "u long, v long").distinct())
+    return _classes(prints.select("doc_id", "fp"), _compared(once.unionByName(finer).distinct(), radius))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
