@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as one numpy block; a longer document makes its own block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = (1 << 20) - 64
 
 
 def shared_dir(spark: SparkSession) -> str:

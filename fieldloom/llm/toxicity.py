@@ -30,7 +30,7 @@ SAMPLE = 12_000
 FOLDS = 3
 SELECTED = 3000
 EDGES = b".,;:!?\"'()[]{}*%&$#|<>-"
-CACHE = 400_000
+CACHE = 150_000
 
 
 class Words:
