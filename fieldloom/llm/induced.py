@@ -113,8 +113,8 @@ class RangeMin:
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.zeros(len(a), np.int64)
         level = np.frexp((b - a).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            own = level == k
+        for k in range(int(level.max(initial=-1)) + 1):
+            own = np.flatnonzero(level == k)
             row = self.rows[k]
             out[own] = np.minimum(row[a[own] + 1], row[b[own] - (1 << k) + 1])
         return out
@@ -154,6 +154,8 @@ class Sorter:
         words = max(1, -(-6 // per))
         packed = per * words
         n = len(starts)
+        padded = np.zeros(len(symbol) + packed, np.uint64)
+        padded[: len(symbol)] = symbol
         queue = DiskQueue(words + 2, self.folder, self.limit)
         step = max(1, self.limit // 4)
         for low in range(0, n, step):
@@ -162,8 +164,8 @@ class Sorter:
             for w in range(words):
                 word = np.zeros(len(own), np.uint64)
                 for j in range(w * per, (w + 1) * per):
-                    value = symbol[np.minimum(own + j, len(symbol) - 1)]
-                    word = word << np.uint64(bits) | np.where(j < size, value, 0).astype(np.uint64)
+                    word <<= np.uint64(bits)
+                    word |= np.where(j < size, padded[own + j], np.uint64(0))
                 columns.append(word)
             tie = np.zeros(len(own)) if rank is None else np.where(size <= packed, rank[low : low + step], 0)
             queue.push(*columns, tie.astype(np.uint64), np.arange(low, low + len(own)))
@@ -177,12 +179,12 @@ class Sorter:
             first = rows[:words, :1] ^ np.uint64(1) << np.uint64(62) if before is None else before
             shifted = np.concatenate([first, rows[:words, :-1]], axis=1)
             same, count = np.ones(m, bool), np.zeros(m, np.int16)
-            mask = np.uint64((1 << bits) - 1)
             for w in range(words):
-                for j in range(per):
-                    shift = np.uint64(bits * (per - 1 - j))
-                    same &= (rows[w] >> shift & mask) == (shifted[w] >> shift & mask)
-                    count += same
+                differ = rows[w] ^ shifted[w]
+                # the bit after the highest goes, so that the conversion can't round up to the next power of two
+                top = np.frexp((differ & ~(differ >> np.uint64(1))).astype(np.float64))[1]
+                count += np.where(same, per - -(-top // bits), 0).astype(np.int16)
+                same &= differ == 0
             whole = length[order[at : at + m]] <= packed
             equal[at : at + m] = np.where(same, np.where(whole, -1, -2), count)
             if before is None:
