@@ -95,7 +95,7 @@ def fit_linear(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, extra: np.n
     empty = Linear(np.zeros(size), float(np.log(share / (1 - share))), np.zeros(extra.shape[1]))
     if n < 4 or y.min() == y.max():
         return empty
-    row = np.repeat(np.arange(n), np.diff(offsets))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     seen, hit = np.bincount(flat, minlength=size), np.bincount(flat, weights=y[row], minlength=size)
     expected = seen * share
     z = (hit - expected) / np.sqrt(expected * (1 - share) + 1)  # evidence for the class only: its absence has no words
@@ -165,7 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SA
     lists = table["features"].combine_chunks()
     values = [lists[k].values.to_numpy() for _, k in rows]
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int64)
-    flat = np.concatenate([np.zeros(0, np.int64), *values]).astype(np.int64)
+    flat = np.concatenate([np.zeros(0, np.int32), *values])
+    del values, lists
     order = np.array([k for _, k in rows], int)
     y = np.column_stack([table[n].to_numpy()[order] for n in names]) if len(rows) else np.zeros((0, len(names)))
     fold = np.array([zlib.crc32(str(i).encode()) // 7 % FOLDS for i, _ in rows], int)
