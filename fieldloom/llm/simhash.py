@@ -17,7 +17,6 @@ doc_id is never the smallest unless a group has no other.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, private, read_table, text_or_empty, written
+from .common import blocks, bytes_of, mix, private, read_table, text_or_empty, written
 from .graph import components
 
 RADIUS = 2
 LIMIT = 4096
+WIDE = 24  # bits; candidates for Jaccard 0.8, whose sets differ in ten bits on average
+BLOCK_KEYS = 2  # band, key
 SEED = 42
 
 
@@ -240,14 +241,14 @@ def _compared(buckets: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(_compare(radius), "u long, v long").distinct()
 
 
-def _classes(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of the rows of ``prints`` under edges between fingerprints."""
-    each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def _classes(prints: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame:
+    """(doc_id, fp, component_id) of the rows of ``prints`` under edges between values of ``node``."""
+    each = prints.groupBy(F.col(node).alias("_own")).agg(F.min("doc_id").alias("least"))
     found = components(edges)
-    classed = each.join(found, each["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classed = each.join(found, each["_own"] == found["node"], "left").select("_own", "least", F.coalesce("root", "_own").alias("root"))
     named = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    named = classed.join(named, "root").select("_own", "component_id")
+    return prints.join(named, F.col(node) == F.col("_own")).select("doc_id", "fp", "component_id")
 
 
 def near_classes(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -256,44 +257,191 @@ def near_classes(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFr
     return _classes(prints, links(prints.select("fp").distinct(), radius))
 
 
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    own = shingles(text, size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in own), np.uint64, len(own)))
+
+
+def _name(own: np.ndarray) -> int:
+    """Texts of one shingle set share this 64-bit name."""
+    return xxhash.xxh64_intdigest(own.tobytes(), SEED)
+
+
 def _blocked(size: int, tables: int):
     factors = mix(np.arange(1, tables + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            prints, least = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, tables), np.uint64)
+            n = batch.num_rows
+            prints, names, counts, least = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, tables), np.uint64)
             for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
-                own = shingles(text.as_py() or b"", size)
-                digest = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in own), np.uint64, len(own))
-                prints[k] = _fold(digest)
+                digest = shingle_set(text.as_py() or b"", size)
+                names[k], counts[k] = _name(digest), len(digest)
                 if len(digest):
+                    prints[k] = _fold(digest)
                     least[k] = [(digest * f).min() for f in factors]
             flat = pa.array(least.view(np.int64).reshape(-1))
             keys = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), flat)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": prints.view(np.int64), "keys": keys})
+            yield pa.record_batch({"doc_id": batch.column(0), "fp": prints.view(np.int64), "id": names.view(np.int64), "n": counts, "keys": keys})
+
+    return run
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            own = [shingle_set(x.as_py() or b"", size) for x in batch.column(0).cast(pa.large_binary())]
+            names = np.fromiter((_name(x) for x in own), np.uint64, len(own))
+            yield pa.record_batch({"id": names.view(np.int64), "hashes": pa.array([x.tobytes() for x in own], pa.binary())})
+
+    return run
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut where a key (the first ``width`` columns, sorted) ends, with the starts of the keys."""
+    kept: list[pa.RecordBatch] = []
+
+    def cut(batch: pa.RecordBatch) -> np.ndarray:
+        keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(width)], axis=1)
+        return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = cut(batch)
+        key = lambda x, k: [x.column(c)[k].as_py() for c in range(width)]
+        goes_on = bool(kept) and key(kept[-1], kept[-1].num_rows - 1) == key(batch, 0)
+        if goes_on and len(new) == 1:
+            kept.append(batch)
+            continue
+        last = int(new[-1])  # the last key may go on in the next batch
+        if kept:
+            if goes_on:
+                kept.append(batch.slice(0, int(new[1])))
+            yield joined(), np.zeros(1, np.int64)
+            if goes_on:
+                batch, last, new = batch.slice(int(new[1])), last - int(new[1]), new[1:] - new[1]
+        if last:
+            yield batch.slice(0, last), new[:-1]
+        kept = [batch.slice(last)]
+    if kept:
+        yield joined(), np.zeros(1, np.int64)
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """(band, key, id, fp): the blocks of two nodes or more."""
+    table = nodes.select("id", "fp", "keys", F.posexplode("keys").alias("band", "key"))
+    sizes = table.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sized = table.join(sizes, ["band", "key"])
+    once = sized.where(F.col("m") <= LIMIT).select("band", "key", "id", "fp")
+    finer = sized.where(F.col("m") > LIMIT).select("id", "fp", F.col("band").alias("b1"), F.col("key").alias("k1"), F.posexplode("keys").alias("b2", "k2")).where("b1 != b2")
+    finer = finer.select((F.lit(64) * (F.col("b1") + 1) + F.col("b2")).alias("band"), F.xxhash64("k1", "k2").alias("key"), "id", "fp")
+    return once.unionByName(finer)
+
+
+def _candidates(radius: int, small: int = 96):
+    """Groups (group, id, fp) that 'at most ``radius`` bits differ' links in a block, named by their members, so that the
+    blocks which find the same group name it alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in _by_key(batches, BLOCK_KEYS):
+            ids, prints = (batch.column(BLOCK_KEYS + k).to_numpy() for k in range(2))
+            prints = prints.view(np.uint64)
+            sizes = np.diff(np.append(cuts, len(ids)))
+            root = np.full(len(ids), -1)
+            few = np.flatnonzero(np.repeat(sizes <= small, sizes))
+            parts = [(few, small_forests(prints[few], np.repeat(np.arange(len(cuts)), sizes)[few], radius))] if len(few) else []
+            parts += [(np.arange(low, low + size), forest(prints[low : low + size], radius)) for low, size in zip(cuts[sizes > small], sizes[sizes > small], strict=True)]
+            for at, (members, roots) in parts:
+                root[at[members]] = at[roots]
+                root[at[roots]] = at[roots]
+            linked = np.flatnonzero(root >= 0)
+            linked = linked[np.lexsort((ids[linked], root[linked]))]
+            starts = np.flatnonzero(np.diff(root[linked], prepend=-1))
+            lengths = np.diff(np.append(starts, len(linked)))
+            names = [xxhash.xxh64_intdigest(ids[linked[low : low + n]].tobytes(), SEED) for low, n in zip(starts, lengths, strict=True)]
+            group = np.repeat(np.array(names, np.uint64), lengths).view(np.int64)
+            yield pa.record_batch({"group": group, "id": ids[linked], "fp": prints[linked].view(np.int64)})
+
+    return run
+
+
+def exact_forest(prints: np.ndarray, flat: np.ndarray, starts: np.ndarray, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, root) of 'Jaccard similarity at least ``similarity``' among the sets flat[starts[k] : starts[k + 1]],
+    breadth first; a pair is counted where at most ``radius`` bits differ and the sizes allow it."""
+    n, sizes = len(prints), np.diff(starts)
+    names, flat = np.unique(flat, return_inverse=True)
+    marked, free, members, roots = np.zeros(len(names), bool), np.ones(n, bool), [], []
+    while free.any():
+        root = int(np.argmax(free))
+        free[root] = False
+        queue = [root]
+        while queue:
+            own = queue.pop()
+            fits = free & (np.bitwise_count(prints ^ prints[own]) <= radius) & (np.minimum(sizes, sizes[own]) >= similarity * np.maximum(sizes, sizes[own]) - 1e-6)
+            at = np.flatnonzero(fits)
+            step = max(1, (1 << 22) // int(sizes[own] / similarity + 2))
+            for low in range(0, len(at), step):
+                some = at[low : low + step]
+                ends = np.cumsum(sizes[some])
+                where = np.repeat(starts[some] - ends + sizes[some], sizes[some]) + np.arange(ends[-1])
+                marked[flat[starts[own] : starts[own + 1]]] = True
+                both = np.add.reduceat(marked[flat[where]], ends - sizes[some], dtype=np.int64)
+                marked[flat[starts[own] : starts[own + 1]]] = False
+                near = some[both / (sizes[own] + sizes[some] - both) >= similarity]
+                free[near] = False
+                queue += near.tolist()
+                members.append(near)
+                roots.append(np.full(len(near), root))
+    none = np.zeros(0, int)
+    return np.concatenate([none, *members]), np.concatenate([none, *roots])
+
+
+def _confirmed(radius: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in _by_key(batches, 1):
+            ids, prints = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            data, offsets = bytes_of(batch.column(3))
+            flat, offsets = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high in zip(cuts, np.append(cuts[1:], len(ids)), strict=True):
+                a, b = exact_forest(prints[low:high], flat[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], radius, similarity)
+                u.append(ids[low:high][a])
+                v.append(ids[low:high][b])
+            yield pa.record_batch({"u": np.concatenate(u), "v": np.concatenate(v)})
 
     return run
 
 
 def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: near copies by the cosine that SimHash estimates, cos(pi * bits / 64).
+    """(doc_id, fp, component_id) of every row: components of 'the sets of ``size``-word shingles have a Jaccard similarity
+    of ``similarity`` at least'.
 
-    At 0.8 the radius is 13 bits, too wide for bands of equal bits.  Blocks are therefore the fingerprints of texts
-    whose smallest shingle hash agrees under one of ``tables`` orders, which a pair of Jaccard similarity j misses
-    with (1-j)**tables (0.8: 3 in a million); in a block the bit-sliced comparison is complete.  A block above
-    ``LIMIT`` is cut by the pair of its key and each other key, with the same chance of a miss.
+    Texts of one shingle set are one node.  Blocks are the nodes whose smallest shingle hash agrees under one of
+    ``tables`` orders, which a pair of similarity j misses with (1-j)**tables (0.8: 3 in a million).  In a block the
+    bit-sliced comparison finds candidates within ``WIDE`` bits of the sets' fingerprints, and the candidates are compared
+    exactly, by the shingle hashes of their texts.
     """
-    radius = int(math.acos(similarity) * 64 / math.pi)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_blocked(size, tables), f"doc_id {kind}, fp long, keys array<long>")
-    prints = written(rows, "fingerprints")
-    table = prints.select("fp", "keys", F.posexplode("keys").alias("band", "key")).distinct()
-    sizes = table.groupBy("band", "key").agg(F.countDistinct("fp").alias("n")).where("n > 1")
-    sized = table.join(sizes, ["band", "key"])
-    once = sized.where(F.col("n") <= LIMIT).select("band", "key", "fp")
-    finer = sized.where(F.col("n") > LIMIT).select("fp", F.col("band").alias("b1"), F.col("key").alias("k1"), F.posexplode("keys").alias("b2", "k2")).where("b1 != b2")
-    finer = finer.select((F.lit(tables) * (F.col("b1") + 1) + F.col("b2")).alias("band"), F.xxhash64("k1", "k2").alias("key"), "fp")
-    return _classes(prints.select("doc_id", "fp"), _compared(once.unionByName(finer).distinct(), radius))
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    prints = written(texts.mapInArrow(_blocked(size, tables), f"doc_id {kind}, fp long, id long, n long, keys array<long>"), "fingerprints")
+    nodes = prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    table = _blocks(nodes)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = table.columns[:BLOCK_KEYS]
+    dealt = table.repartition(parts, *names).sortWithinPartitions(*names, "id")
+    groups = written(dealt.mapInArrow(_candidates(WIDE), "group long, id long, fp long").distinct(), "candidates")
+    # the texts of candidates, one for each node; a doc_id may bring texts of other nodes along
+    wanted = prints.join(groups.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_sets(size), "id long, hashes binary")
+    sets = sets.join(groups.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    shown = groups.join(sets, "id").select("group", "id", "fp", "hashes")
+    edges = shown.repartition(parts, "group").sortWithinPartitions("group", "id").mapInArrow(_confirmed(WIDE, similarity), "u long, v long").distinct()
+    return _classes(prints.select("doc_id", "fp", "id"), edges, "id")
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
