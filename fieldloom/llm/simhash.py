@@ -32,7 +32,7 @@ from .graph import components
 RADIUS = 2
 LIMIT = 4096
 WIDE = 24  # bits; candidates for Jaccard 0.8, whose sets differ in ten bits on average
-BLOCK_KEYS = 2  # band, key
+BLOCK_KEYS = 4  # band, key and the two parts of a block
 SEED = 42
 
 
@@ -274,16 +274,16 @@ def _blocked(size: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             n = batch.num_rows
-            prints, names, counts, least = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, tables), np.uint64)
+            prints, names, least = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, tables), np.uint64)
             for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
                 digest = shingle_set(text.as_py() or b"", size)
-                names[k], counts[k] = _name(digest), len(digest)
+                names[k] = _name(digest)
                 if len(digest):
                     prints[k] = _fold(digest)
                     least[k] = [(digest * f).min() for f in factors]
             flat = pa.array(least.view(np.int64).reshape(-1))
             keys = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), flat)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": prints.view(np.int64), "id": names.view(np.int64), "n": counts, "keys": keys})
+            yield pa.record_batch({"doc_id": batch.column(0), "fp": prints.view(np.int64), "id": names.view(np.int64), "keys": keys})
 
     return run
 
@@ -333,14 +333,19 @@ def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """(band, key, id, fp): the blocks of two nodes or more."""
-    table = nodes.select("id", "fp", "keys", F.posexplode("keys").alias("band", "key"))
+    """(band, key, i, j, id, fp): the blocks of two nodes or more.
+
+    A block of more than ``LIMIT`` nodes is dealt into parts of half of it, and any two parts i < j meet in one bucket:
+    every pair is compared, a bucket holds about ``LIMIT`` nodes, and a node of a block of p parts is in p - 1 buckets.
+    """
+    table = nodes.select("id", "fp", F.posexplode("keys").alias("band", "key"))
     sizes = table.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     sized = table.join(sizes, ["band", "key"])
-    once = sized.where(F.col("m") <= LIMIT).select("band", "key", "id", "fp")
-    finer = sized.where(F.col("m") > LIMIT).select("id", "fp", F.col("band").alias("b1"), F.col("key").alias("k1"), F.posexplode("keys").alias("b2", "k2")).where("b1 != b2")
-    finer = finer.select((F.lit(64) * (F.col("b1") + 1) + F.col("b2")).alias("band"), F.xxhash64("k1", "k2").alias("key"), "id", "fp")
-    return once.unionByName(finer)
+    zero = F.lit(0).cast("long")
+    once = sized.where(F.col("m") <= LIMIT).select("band", "key", zero.alias("i"), zero.alias("j"), "id", "fp")
+    dealt = sized.where(F.col("m") > LIMIT).withColumn("p", F.ceil(F.col("m") * 2 / LIMIT)).withColumn("own", F.expr("pmod(xxhash64(id), p)"))
+    other = dealt.withColumn("q", F.explode(F.sequence(zero, F.col("p") - 1))).where("q != own")
+    return once.unionByName(other.select("band", "key", F.least("own", "q").alias("i"), F.greatest("own", "q").alias("j"), "id", "fp"))
 
 
 def _candidates(radius: int, small: int = 96):
@@ -424,12 +429,12 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, tab
     Texts of one shingle set are one node.  Blocks are the nodes whose smallest shingle hash agrees under one of
     ``tables`` orders, which a pair of similarity j misses with (1-j)**tables (0.8: 3 in a million).  In a block the
     bit-sliced comparison finds candidates within ``WIDE`` bits of the sets' fingerprints, and the candidates are compared
-    exactly, by the shingle hashes of their texts.
+    exactly, by the shingle hashes of their texts.  Blocks of any size are compared completely (``_blocks``).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    prints = written(texts.mapInArrow(_blocked(size, tables), f"doc_id {kind}, fp long, id long, n long, keys array<long>"), "fingerprints")
-    nodes = prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    prints = written(texts.mapInArrow(_blocked(size, tables), f"doc_id {kind}, fp long, id long, keys array<long>"), "fingerprints")
+    nodes = prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     table = _blocks(nodes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = table.columns[:BLOCK_KEYS]

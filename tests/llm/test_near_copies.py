@@ -50,3 +50,27 @@ def rows():
 def test_near_copies_are_those_of_brute_force(spark, rows):
     got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_kept([(d, t or "") for d, t in rows])
+
+
+def test_large_blocks_are_compared_completely(spark, monkeypatch):
+    """All texts share a passage, so the blocks of its shingles hold them all; pairs of 0.82 often share no other key."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, rows = words(150), []
+    for k in range(60):
+        common = passage + words(30)
+        rows += [(2 * k, " ".join(common + words(18))), (2 * k + 1, " ".join(common + words(18)))]
+    monkeypatch.setattr(simhash, "LIMIT", 8)
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_kept(rows)
+
+
+def test_parts_of_a_block_meet_each_other(spark, monkeypatch):
+    """One key for 50 nodes and no second key: every pair shares a bucket, and no bucket holds the block."""
+    monkeypatch.setattr(simhash, "LIMIT", 10)
+    nodes = spark.createDataFrame([(k, k, [7, 1000 + k]) for k in range(50)], "id long, fp long, keys array<long>")
+    buckets = {}
+    for r in simhash._blocks(nodes).collect():
+        buckets.setdefault((r.band, r.key, r.i, r.j), set()).add(r.id)
+    assert {(a, b) for x in buckets.values() for a in x for b in x if a < b} == {(a, b) for b in range(50) for a in range(b)}
+    assert max(map(len, buckets.values())) < 30
