@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,18 +87,32 @@ def mode_gap(values: DataFrame, c_noise: float, keys: tuple[str, ...] = ("site_i
     return gaps.join(spread, list(keys)).select(*keys, F.when(F.col("n") >= 8, F.col("gap") / F.greatest("disp", F.lit(c_noise))).alias("sep"))
 
 
-def support(features: DataFrame, seeds: DataFrame, c_noise: float, most: int, windows: int = 3) -> DataFrame:
-    """(site_id, radius): smallest radius from 2 (or the limit) at which every measurable window's standard error is at
-    most the noise floor, else the limit.  All radii are counted in one pass: a cell belongs to its ring and all beyond."""
-    block = seed_block(features, seeds, most)
+def support(features: DataFrame, seeds: DataFrame, c_noise: float, windows: int = 3) -> DataFrame:
+    """(site_id, radius): smallest radius from 2 (or the grid's limit ``rmax``) at which every measurable window's standard
+    error is at most the noise floor, else the limit.  A window is measurable if the largest square holds two values of it;
+    the radius stays at its start if none is.  One kernel call a site widens the square and stops as the search does."""
+    names = [f"w{k}" for k in range(1, windows + 1)]
     ring = F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("c") - F.col("c0")))
-    limits = seeds.select("site_id", F.least(F.lit(most), F.col("rmax")).alias("limit"))
-    cells = long_windows(block, windows).join(block.select("site_id", "r", "c", ring.alias("ring")), ["site_id", "r", "c"])
-    radii = cells.withColumn("radius", F.explode(F.sequence(F.greatest("ring", F.lit(2)), F.lit(max(2, most)))))
-    stats = signature(radii, ("site_id", "radius", "w"))
-    fits = stats.groupBy("site_id", "radius").agg(F.max(F.when(F.col("disp").isNotNull(), F.lit(SE_SCALE) * F.col("disp") / F.sqrt("n"))).alias("se"))
-    first = fits.where(F.col("se") <= c_noise).groupBy("site_id").agg(F.min("radius").alias("found"))
-    return limits.join(first, "site_id", "left").select("site_id", F.least(F.coalesce("found", "limit"), "limit").cast("int").alias("radius"))
+    cells = features.join(seeds.select("site_id", "r0", "c0", "rmax"), "site_id").where(ring <= F.col("rmax"))
+
+    def widened(own: pd.DataFrame) -> pd.DataFrame:
+        limit = int(own["rmax"].iloc[0])
+        own = own.sort_values("ring", kind="stable")
+        rings, grid = own["ring"].to_numpy(), own[names].to_numpy(float)
+        measurable = [k for k in range(windows) if np.isfinite(grid[:, k]).sum() >= 2]
+        radius = min(2, limit)
+        while measurable and radius < limit and not all(_precise(grid[: np.searchsorted(rings, radius, "right"), k], c_noise) for k in measurable):
+            radius += 1
+        return pd.DataFrame({"site_id": own["site_id"].iloc[:1], "radius": [radius]})
+
+    kind = features.schema["site_id"].dataType.simpleString()
+    found = cells.select("site_id", "rmax", ring.alias("ring"), *names).groupBy("site_id").applyInPandas(widened, f"site_id {kind}, radius int")
+    return seeds.select("site_id", "rmax").join(found, "site_id", "left").select("site_id", F.coalesce("radius", F.least(F.lit(2), "rmax")).cast("int").alias("radius"))
+
+
+def _precise(values: np.ndarray, c_noise: float) -> bool:
+    own = values[np.isfinite(values)]
+    return len(own) >= 2 and SE_SCALE * (MAD_SCALE * np.median(np.abs(own - np.median(own)))) / math.sqrt(len(own)) <= c_noise
 
 
 def calibrated(values: DataFrame, index: str, strictness: str = "balanced", n_min: int = 5, low: float = 0.2, high: float = 0.7) -> DataFrame:

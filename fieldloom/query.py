@@ -48,18 +48,18 @@ class FieldQuery:
         p = self.params
         return raster.window_features(self.detection, "v", p.search_start_date or self.start, p.search_end_date or self.end, self.windows())
 
-    def calibration(self, most: int = 8) -> DataFrame | None:
+    def calibration(self) -> DataFrame | None:
         """Valid windows' signatures and tolerances; None for an index without a noise floor.
 
         The support is the prior's cells, one pixel eroded, or else the square around the seed that is large enough for
-        the noise floor, ``most`` cells at the furthest.
+        the noise floor, up to the largest that the grid holds.
         """
         floor = signature.noise_floor(self.params.search_index)
         if floor is None:
             return None
         features, cell = self.features(), ["site_id", "r", "c"]
-        radius = signature.support(features, self.seeds, floor, most, self.windows())
-        block = signature.seed_block(features, self.seeds, most).join(radius, "site_id")
+        radius = signature.support(features, self.seeds, floor, self.windows())
+        block = features.join(self.seeds.select("site_id", "r0", "c0").join(radius, "site_id"), "site_id")
         block = block.where(F.greatest(F.abs(F.col("r") - F.col("r0")), F.abs(F.col("c") - F.col("c0"))) <= F.col("radius")).select(features.columns)
         if self.prior is not None:
             inside = boundaries.eroded(self.prior.select(*cell), ["site_id"])

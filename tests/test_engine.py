@@ -321,3 +321,17 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(str(r.start)[:10], r.value, r.n) for r in spark.table("zonal").collect()} == {("2021-01-01", 1.0, 2), ("2021-01-02", 2.0, 1)}
+
+
+def test_support_widens_to_the_grid(spark):
+    """Noise that a square of radius 8 doesn't measure: the radius is about 11 where that is enough, else the grid's limit."""
+    wide = [(1, r, c, 0.4 + 0.05 * ((7 * r + 13 * c) % 5)) for r in range(1, 41) for c in range(1, 41)]
+    cells = spark.createDataFrame(wide, "site_id int, r int, c int, w1 double")
+    seeds = spark.createDataFrame([(1, 20, 20, 19)], "site_id int, r0 int, c0 int, rmax int")
+    se = lambda radius: signature.SE_SCALE * signature.MAD_SCALE * 0.05 / (2 * radius + 1)
+    at = lambda floor: signature.support(cells, seeds, floor, 1).first().radius
+    assert 9 <= at(1.1 * se(11)) <= 13 and at(1e-6) == 19
+    two = cells.withColumn("w2", F.when((F.abs(F.col("r") - 20) > 14) & (F.col("c") == 20), 0.3))
+    assert signature.support(two, seeds, 1.0, 2).first().radius == 15  # a window measurable further out only
+    none = cells.withColumn("w1", F.lit(None).cast("double"))
+    assert signature.support(none, seeds, 1.0, 1).first().radius == 2
