@@ -544,6 +544,22 @@ def polygon_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(signature.signature(signature.long_windows(features(spark, sf_dir).join(inside, ["site_id", "r", "c"], "left_semi"))), "mu", "disp")
 
 
+@query(
+    "polygon_support_all",
+    f"""WITH {FX}, {EDGES}, {RASTER}, er AS (SELECT a.site_id, a.poly_id, a.r, a.c FROM rst a JOIN rst b ON a.site_id = b.site_id AND a.poly_id = b.poly_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL HAVING count(*) = 9),
+ins AS (SELECT * FROM er UNION ALL SELECT site_id, poly_id, r, c FROM rst WHERE NOT EXISTS (SELECT 1 FROM er WHERE er.site_id = rst.site_id AND er.poly_id = rst.poly_id)),
+{LONG}, x AS (SELECT i.site_id, i.poly_id, l.w, l.v FROM lx l JOIN ins i USING (site_id, r, c) WHERE l.v IS NOT NULL),
+m AS (SELECT site_id, poly_id, w, count(*) AS n, median(v) AS mu FROM x GROUP BY ALL),
+d AS (SELECT x.site_id, x.poly_id, x.w, any_value(m.n) AS n, any_value(m.mu) AS mu, 1.4826::DOUBLE * median(abs(x.v - m.mu)) AS disp FROM x JOIN m USING (site_id, poly_id, w) GROUP BY ALL)
+SELECT site_id, poly_id, w, n, round(CASE WHEN n >= 2 THEN mu END, 9) AS mu, round(CASE WHEN n >= 2 THEN disp END, 9) AS disp FROM d""",
+)
+def polygon_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every polygon with a signature of its own."""
+    inside = boundaries.eroded(boundaries.rasterised(bridge.edges(spark, sf_dir), SIZE).select("site_id", "poly_id", "r", "c"), ["site_id", "poly_id"])
+    own = long_values(spark, sf_dir).join(inside, ["site_id", "r", "c"])
+    return rounded(signature.signature(own, ("site_id", "poly_id", "w")), "mu", "disp")
+
+
 # -- grids and delineation -------------------------------------------------------------------------
 
 ALIVE = "al AS (SELECT site_id, r, c FROM feat WHERE w1 >= 0.53)"
