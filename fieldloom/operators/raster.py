@@ -78,8 +78,8 @@ def window_features(pixels: DataFrame, value: str, start: str, end: str, windows
     return numbered.groupBy("site_id", "r", "c").agg(*(F.max(F.when(F.col("_w") == k, F.col(value))).alias(f"w{k}") for k in range(1, windows + 1)))
 
 
-def empty_windows(pixels: DataFrame, value: str, start: str, end: str, windows: int) -> DataFrame:
-    """(site_id, w) of windows without any value."""
-    numbered = pixels.select("site_id", window_number(F.col("scene_date"), start, end, windows).alias("w"), value)
-    seen = numbered.groupBy("site_id").agg(F.collect_set(F.when(F.col(value).isNotNull(), F.col("w"))).alias("_seen"))
-    return seen.select("site_id", F.explode(F.array_except(F.sequence(F.lit(1), F.lit(windows)), "_seen")).alias("w"))
+def empty_windows(pixels: DataFrame, value: str, start: str, end: str, windows: int, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
+    """(keys, w) of windows without any value."""
+    numbered = pixels.select(*keys, window_number(F.col("scene_date"), start, end, windows).alias("w"), value)
+    seen = numbered.groupBy(*keys).agg(F.collect_set(F.when(F.col(value).isNotNull(), F.col("w"))).alias("_seen"))
+    return seen.select(*keys, F.explode(F.array_except(F.sequence(F.lit(1), F.lit(windows)), "_seen")).alias("w"))

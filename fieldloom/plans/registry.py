@@ -213,6 +213,16 @@ def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.empty_windows(values(spark, sf_dir).where("r = 5 AND c = 5"), "v", START, END, 40)
 
 
+@query(
+    "empty_windows_grid",
+    f"""WITH {VX}, s AS (SELECT *, CAST(least(40, (datediff('day', DATE '{START}', scene_date) * 40) // {DAYS} + 1) AS INT) AS w FROM vx WHERE scene_date BETWEEN DATE '{START}' AND DATE '{END}')
+SELECT i.site_id, i.r, i.c, CAST(n.w AS INT) AS w FROM (SELECT DISTINCT site_id, r, c FROM vx) i, range(1, 41) n(w) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.site_id = i.site_id AND s.r = i.r AND s.c = i.c AND s.w = n.w AND s.v IS NOT NULL)""",
+)
+def empty_windows_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of every site."""
+    return raster.empty_windows(values(spark, sf_dir), "v", START, END, 40, ("site_id", "r", "c"))
+
+
 # -- series ----------------------------------------------------------------------------------------
 
 _BUCKET = {"daily": "%Y-%m-%d", "monthly": "%Y-%m", "yearly": "%Y"}
