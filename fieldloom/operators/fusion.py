@@ -48,19 +48,22 @@ def delta(fine: Column, first: Column, second: Column, largest: Column) -> Colum
     return F.when(fine.isNotNull() & first.isNotNull() & second.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), fine + weight * (second - first))))
 
 
-def fused(pairs: DataFrame, fine: DataFrame, coarse: DataFrame, bands: list[str]) -> DataFrame:
+def fused(pairs: DataFrame, fine: DataFrame, coarse: DataFrame, bands: list[str], index: str | None = None) -> DataFrame:
     """Estimated bands of every pair (site_id, scene_date, anchor, partner) and cell.
 
     The largest disagreement of a pair and band is a partial aggregate joined back, so no window holds a whole scene.
+    With ``index``, a column of both, the result has ``residual``, |fine - coarse| of it at the anchor, and ``anchor_value``, the fine one.
     """
+    carried = [*bands, index] if index else bands
     cell = ["site_id", "r", "c"]
-    at = lambda frame, day, tag: frame.select(*cell, F.col("scene_date").alias(day), *(F.col(b).alias(f"{tag}_{b}") for b in bands))
+    at = lambda frame, day, tag: frame.select(*cell, F.col("scene_date").alias(day), *(F.col(b).alias(f"{tag}_{b}") for b in carried))
     joined = pairs.join(at(fine, "anchor", "f"), ["site_id", "anchor"])
     joined = joined.join(at(coarse, "partner", "p"), [*cell, "partner"]).join(at(coarse, "scene_date", "q"), [*cell, "scene_date"])
     keys = ["site_id", "scene_date"]
     largest = joined.groupBy(*keys).agg(*(F.max(F.abs(F.col(f"f_{b}") - F.col(f"p_{b}"))).alias(f"m_{b}") for b in bands))
     out = joined.join(largest, keys)
-    return out.select(*keys, "r", "c", "anchor", *(delta(F.col(f"f_{b}"), F.col(f"p_{b}"), F.col(f"q_{b}"), F.col(f"m_{b}")).alias(b) for b in bands))
+    beside = [F.abs(F.col(f"f_{index}") - F.col(f"p_{index}")).alias("residual"), F.col(f"f_{index}").alias("anchor_value")] if index else []
+    return out.select(*keys, "r", "c", "anchor", *beside, *(delta(F.col(f"f_{b}"), F.col(f"p_{b}"), F.col(f"q_{b}"), F.col(f"m_{b}")).alias(b) for b in bands))
 
 
 def agreement(pairs: DataFrame, keys: list[str], least: int = 4, count: str = "n") -> DataFrame:

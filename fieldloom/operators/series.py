@@ -47,6 +47,29 @@ def area_series(pixels: DataFrame, mask: DataFrame, value: str, areas: list[int]
     return out.where(F.coalesce(*names).isNotNull())
 
 
+def fused_series(pixels: DataFrame, value: str, every: str = "daily", how: str = "mean", mask: DataFrame | None = None, areas: list[int] | None = None) -> DataFrame:
+    """(site_id, date, is_fused, value or area_1.., union, anchor_days, anchor_mae, anchor_nmae): on a day with an observation
+    estimates go; buckets hold estimates and observations apart.  The anchor's mean residual, alone and against the mean of
+    the fine index there, is that of the union of the cells."""
+    keys, names, parts = ["site_id", "r", "c"], ["value"], [F.col(value)]
+    if areas:
+        pixels = pixels.join(mask.groupBy(*keys).agg(*(F.max(F.col("area_num") == a).alias(f"_{a}") for a in areas)), keys)
+        names = [f"area_{a}" for a in areas] + ["union"]
+        parts = [F.when(F.col(f"_{a}"), F.col(value)) for a in areas] + [F.col(value)]
+    elif mask is not None:
+        pixels = pixels.join(mask.select(*keys).distinct(), keys, "left_semi")
+    scenes = pixels.groupBy("site_id", "scene_date", "is_fused").agg(
+        *(REDUCERS[how](p).alias(n) for n, p in zip(names, parts, strict=True)),
+        F.max("anchor_days").alias("anchor_days"), F.avg("residual").alias("anchor_mae"), F.abs(F.avg("anchor_value")).alias("_fine"),
+    ).where(F.coalesce(*names).isNotNull())
+    nmae = F.when(F.col("_fine") > 1e-6, F.col("anchor_mae") / F.col("_fine"))
+    scenes = observed_first(scenes.withColumn("anchor_nmae", nmae).drop("_fine"))
+    date, columns = bucket(F.col("scene_date"), every).alias("date"), [*names, "anchor_days", "anchor_mae", "anchor_nmae"]
+    if every == "daily":
+        return scenes.select("site_id", date, "is_fused", *columns)
+    return scenes.groupBy("site_id", date, "is_fused").agg(*(REDUCERS[how](n).alias(n) for n in columns))
+
+
 def custom_series(pixels: DataFrame, value: str, function: Callable, every: str = "daily") -> DataFrame:
     """The same with any function of an array of finite values, as an Arrow-backed grouped aggregate."""
 

@@ -127,9 +127,10 @@ class FieldQuery:
         fine, far = self.scenes.select(*cell, *bands), coarse.select(*cell, *bands)
         days = lambda x: x.select("site_id", "scene_date").distinct()
         pairs = fusion.anchored(days(far), days(fine))
-        made = fusion.fused(pairs, fine, far, bands).join(pairs.select("site_id", "scene_date", "anchor_days"), ["site_id", "scene_date"])
-        observed = fine.withColumns({"is_fused": F.lit(False), "anchor_days": F.lit(None).cast("int")})
-        both = observed.unionByName(made.select(*cell, *bands, F.lit(True).alias("is_fused"), "anchor_days"))
+        valued = lambda x: indices.with_index(x, self.index_name, "_index")
+        made = fusion.fused(pairs, valued(fine), valued(far), bands, "_index").join(pairs.select("site_id", "scene_date", "anchor_days"), ["site_id", "scene_date"])
+        observed = fine.withColumns({"is_fused": F.lit(False), "anchor_days": F.lit(None).cast("int"), "residual": F.lit(None).cast("double"), "anchor_value": F.lit(None).cast("double")})
+        both = observed.unionByName(made.select(*cell, *bands, F.lit(True).alias("is_fused"), "anchor_days", "residual", "anchor_value"))
         return replace(self, scenes=both, fused=True)
 
     def validate_fusion(self, coarse: DataFrame, by: str = "scene", min_valid_n: int = 4) -> DataFrame:
@@ -155,16 +156,16 @@ class FieldQuery:
         return raster.area_layers(out, mask, "v", ["site_id", "r", "c"], areas) if areas else raster.masked(out, mask, "v", ["site_id", "r", "c"])
 
     def as_time_series(self, every: str = "daily", how: str = "mean", mask: DataFrame | None = None, areas: list[int] | None = None) -> DataFrame:
-        """(site_id, date, value); on a fused query estimates give way to observations of the day and stay marked."""
+        """(site_id, date, value), or a column for each area and their union; on a fused query estimates give way to
+        observations of the day and stay marked, with is_fused, anchor_days, anchor_mae and anchor_nmae."""
         own, mask = self._values(), mask if mask is not None else self.mask()
+        if self.fused:
+            return series.fused_series(own, "v", every, how, mask, areas if mask is not None else None)
         if mask is not None and areas:
             return series.area_series(own, mask, "v", areas, every, how)
         if mask is not None:
             own = own.join(mask.select("site_id", "r", "c").distinct(), ["site_id", "r", "c"], "left_semi")
-        if not self.fused:
-            return series.series(own, "v", every, how)
-        scenes = series.observed_first(series.scene_values(own, "v", how, ("site_id", "scene_date", "is_fused")))
-        return scenes.groupBy("site_id", series.bucket(F.col("scene_date"), every).alias("date"), "is_fused").agg(raster.REDUCERS[how]("value").alias("value"))
+        return series.series(own, "v", every, how)
 
 
 def retrieve(scenes: DataFrame, seeds: DataFrame, rows: int, columns: int, start: str, end: str, index_name: str = "EVI2", source: str = "auto", params: Params = DEFAULTS) -> FieldQuery:

@@ -335,3 +335,25 @@ def test_support_widens_to_the_grid(spark):
     assert signature.support(two, seeds, 1.0, 2).first().radius == 15  # a window measurable further out only
     none = cells.withColumn("w1", F.lit(None).cast("double"))
     assert signature.support(none, seeds, 1.0, 1).first().radius == 2
+
+
+def test_fused_series_has_anchor_diagnostics(spark):
+    rows = lambda d, nirs: [(1, day(d), r, c, nirs[c - 1], 0.1) for r in (1, 2) for c in (1, 2)]
+    kind = "site_id int, scene_date date, r int, c int, nir double, red double"
+    fine = spark.createDataFrame(rows("2021-01-05", (0.5, 0.7)), kind)
+    coarse = spark.createDataFrame(rows("2021-01-06", (0.4, 0.4)) + rows("2021-01-12", (0.5, 0.5)), kind)
+    seeds = spark.createDataFrame([(1, 1, 1, 0)], "site_id int, r0 int, c0 int, rmax int")
+    q = retrieve(fine, seeds, 2, 2, "2021-01-01", "2021-03-01", "NDVI", "landsat-8", Params(search_index="NDVI")).add_coarse(coarse)
+    ndvi = lambda nir: (nir - 0.1) / (nir + 0.1)
+    apart = [ndvi(0.5) - ndvi(0.4), ndvi(0.7) - ndvi(0.4)]
+    mae, mean = sum(apart) / 2, (ndvi(0.5) + ndvi(0.7)) / 2
+    for every in ("daily", "monthly"):
+        got = {r.is_fused: r for r in q.as_time_series(every).collect()}
+        assert got[False].anchor_days is got[False].anchor_mae is got[False].anchor_nmae is None
+        assert (got[True].anchor_days, got[True].anchor_mae, got[True].anchor_nmae) == (7, pytest.approx(mae), pytest.approx(mae / mean))
+    mask = spark.createDataFrame([(1, r, c, c) for r in (1, 2) for c in (1, 2)], "site_id int, r int, c int, area_num int")
+    by_area = {r.is_fused: r for r in q.as_time_series("monthly", mask=mask, areas=[1, 2]).collect()}
+    assert by_area[False].area_1 == pytest.approx(ndvi(0.5)) and by_area[False].area_2 == pytest.approx(ndvi(0.7))
+    assert by_area[True].anchor_mae == pytest.approx(mae) and by_area[True].area_1 is not None
+    one_area = q.as_time_series(mask=mask.where("c = 2")).where("is_fused").first()
+    assert one_area.anchor_mae == pytest.approx(apart[1])
