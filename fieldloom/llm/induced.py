@@ -12,8 +12,9 @@ suffixes, in text order, so no common prefix goes beyond one.  One level works l
    neighbours in the queue's order follow from the tuples and, where these tie, from the minimum of the known
    values between both ranks.
 
-A queue keeps ``limit`` tuples in memory; beyond, it writes sorted runs to disk and merges them block by block.  The
-arrays of a level are files mapped into memory above the same limit, so a text far larger than memory only needs disk.
+A queue keeps ``limit`` tuples in memory; beyond, it writes sorted runs to disk and merges them block by block.  Four
+arrays of a level are files mapped into memory above the same limit; the others are plain arrays, so memory grows with
+the text, by about 160 bytes a symbol, and a text far larger than memory can't be sorted.
 """
 
 from __future__ import annotations

@@ -12,8 +12,8 @@ form a stretch.  Equal strings pick equal keys, so stretches are dealt to shards
    marked in a second table.  Blocks settle copies among their own documents before the exchange.
 3. The bytes of stretches with such keys go to their shard, one for each content.  A shard writes them to disk as
    terminated strings and sorts all suffixes by external induced sorting (induced.py); neighbours with a common
-   prefix of ``length`` or more form groups, and all of a group but the earliest go.  A shard's memory is bounded by
-   the queue's limit and file-backed arrays, not by its size.
+   prefix of ``length`` or more form groups, and all of a group but the earliest go.  A shard's memory grows
+   with its size, by about 160 bytes a symbol (README); shards are made about ``SHARD_BYTES``, but one key's are not cut.
 4. Spans join their documents.
 
 Strings are judged on the input, not on what is left.
