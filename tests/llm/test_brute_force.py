@@ -241,6 +241,43 @@ def test_mixing(spark, docs, corpus):
     assert {(r.doc_id, r.copies) for r in rows} == {(r.x0, r.x6) for r in again}
 
 
+def test_ties_are_split_by_count(spark):
+    """Rows that share a doc_id, or have none, and equal rows: every source ends within one document of its target."""
+    same = " ".join(["w"] * 50)
+    rows = [(7, same, "b")] * 400 + [(None, same, "c")] * 500 + [(k, f"{same} {k}", "a") for k in range(600)] + [(None, f"{same} {k}", "d") for k in range(300)] + [(9, "", "e")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    got = mixing.mixed(docs).toDF("doc_id", "text", "source", "size", "source_size", "target", "copies").collect()
+    assert len(got) == len(rows)
+    for name in "abcd":
+        own = [r for r in got if r.source == name]
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 51
+        assert max(r.copies for r in own) <= 3 and max(r.copies for r in own) - min(r.copies for r in own) <= 1
+    key = lambda r: (r.source, r.doc_id if r.doc_id is not None else -1, r.text, r.copies)
+    again = mixing.mixed(docs.repartition(3)).toDF("doc_id", "text", "source", "size", "source_size", "target", "copies").collect()
+    assert sorted(map(key, again)) == sorted(map(key, got))
+
+
+def test_targets_of_many_sources(spark, monkeypatch):
+    """Ranks and sums over ranges give the same targets as the rule followed source by source."""
+    rng = random.Random(3)
+    sizes = {f"s{k:03d}": rng.choice([0, 1, 5, 90, 3000]) * rng.randrange(1, 9) for k in range(200)} | {None: 777}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(9)).collect()}
+    names = sorted((x for x in sizes if x is not None)) + [None]
+    weight = {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}
+    want, open_, left = {}, set(names), sum(sizes.values())
+    while True:
+        share = {n: left * weight[n] / sum(weight[x] for x in open_) for n in open_}
+        above = {n for n in open_ if share[n] >= 3 * sizes[n]}
+        if not above:
+            break
+        want |= {n: 3 * sizes[n] for n in above}
+        left, open_ = left - sum(3 * sizes[n] for n in above), open_ - above
+        if not open_:
+            break
+    want |= share if open_ else {}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-6 for n in want)
+
+
 def test_targets_reshare(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 100)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
