@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,11 @@ BLOCK_BYTES = (1 << 20) - 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a fresh local folder only where that is unset (tests)."""
+    """The cluster's spark.checkpoint.dir; a fresh local folder only where that is unset and the session is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
@@ -162,17 +165,78 @@ class RunningHash:
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+LANES = 8  # words of up to this many 8-byte lanes are hashed together, longer ones by XXH64
+
+
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of words; a long document goes through in pieces, so memory follows its words and not eight times its bytes."""
-    names, at = np.empty(len(starts), np.uint64), 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
-        low = starts[at]
-        names[at:to] = RunningHash(BYTE_NAME[data[low : ends[to - 1]]]).slices(starts[at:to] - low, ends[at:to] - low)
-        at = to
+    """64-bit names of words: every 8-byte lane goes through a non-linear mix with what came before, so no arrangement of
+    the bytes makes two words of one name likelier than chance.  Memory follows the words, not the bytes."""
+    sizes = ends - starts
+    names = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    live = np.flatnonzero(sizes <= 8 * LANES)
+    at, left = starts[live], sizes[live]
+    while len(live):
+        lane = lanes[at]
+        short = left < 8
+        lane = np.where(short, lane & ((np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)), lane)
+        names[live] = mix((names[live] ^ lane) * np.uint64(0xD1342543DE82EF95) + np.uint64(1))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(sizes > 8 * LANES):
+        names[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]])
     return names
 
 
+def squeezed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space behind each, and where each begins (one entry more than words)."""
+    sizes = ends - starts
+    begins = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(begins[-1], 0x20, np.uint8)
+    out[np.repeat(begins[:-1] - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(int(sizes.sum()))] = data[~SPACE[data]]
+    return out, begins
+
+
+def checks(text: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of the bytes of words start..end of squeezed text: names only say where to look, these compare what stands there."""
+    data, begins = memoryview(text[0]), text[1]
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[x:y]) for x, y in zip(begins[start].tolist(), begins[end].tolist(), strict=True)), np.uint64, len(start))
+
+
+MARK_BITS = 26
+
+
+def marked(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys a bit table marks."""
+    place = (key >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+    return (marks[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def bit_table(keys: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
+    """A table of fixed size (8 MB) with the leading ``bits`` of 32-bit names (column name): at most 2**(bits-6) rows come to the driver."""
+    place = F.shiftright(F.col("name").cast("long"), 32 - bits)
+    rows = keys.select(place.alias("p")).selectExpr("shiftright(p, 6) AS word", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(1 << bits - 6, np.uint64)
+    marks[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return marks
+
+
+SALTS = 8
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner equi-join in which a key of ``left`` goes to ``SALTS`` tasks, for keys that many rows of ``left`` may share.
+
+    ``right`` has few rows for a key; they are repeated ``SALTS`` times.  The salt also keeps an aggregated ``right`` from
+    lending its partitioning, so the exchanges stand right below the join, where AQE can split what is still skewed.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values by doubling; the tail beyond the end counts as the largest."""
     out, span = values.copy(), 1

@@ -8,18 +8,22 @@ decided it (its context): wherever these words occur, the same symbol stands at
 them.  Every window of ``window`` words thus holds symbols that are its own; it picks the one of the highest level,
 then the smallest name, then the leftmost, as its anchor, so equal windows pick equal anchors.
 
-1. *Reveal.*  Consecutive windows with one anchor form a stretch.  Spark counts (anchor symbol, content of the
-   stretch); the anchor's key holds the symbol and the words that surround it.  Stretches with content seen twice
-   repeat as a whole.
+1. *Reveal.*  Consecutive windows with one anchor form a stretch; the anchor's key holds the symbol and the words that
+   surround it.  Keys are counted (a 32-bit name each), and those seen twice are marked in a bit table of fixed size
+   (8 MB), which is broadcast: a false mark only lets a stretch take part for nothing, a full table lets all take part.
+   Stretches with marked keys are listed with their content's name and a check, XXH3 of the words' bytes, and counted by
+   (key, content, check).  Those seen twice repeat as a whole.
 2. *Verify.*  A stretch whose anchor repeats while its content doesn't (the ends of a repeat) is opened into its
-   windows; those are counted by (key, content) against the windows of one stretch of every other content.
+   windows; those are counted by (key, content, check) against the windows of one stretch of every other content.
 3. The spans found are joined to their documents.
 
-Only anchors are shuffled (about one in nine words), blocks count equal ones before the exchange, and a hot key costs
-a row for each block and distinct content, not one for each document.  Windows are judged on the input.
+Only anchors are counted (about one in nine words) and only repeating ones exchanged.  Counts are aggregated before the
+exchange, and joins on what may be hot (a common key, a common window) are spread over tasks.  Windows are judged on
+the input.
 
 Defined results: null texts are empty; documents of under ``window`` words lose nothing; rows that repeat (doc_id and
-text too) are rows of their own and thus copies of each other; null doc_ids are allowed.
+text too) are rows of their own and thus copies of each other; null doc_ids are allowed; a document of 2**28 words or
+more raises ValueError.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RunningHash, blocks, bytes_of, mix, private, read_table, sliding_min, text_or_empty, word_bounds, word_names, written
+from .common import RunningHash, bit_table, blocks, bytes_of, checks, drop_written, marked, mix, private, read_table, sliding_min, spread_join, squeezed, text_or_empty, word_bounds, word_names, written
 
 WINDOW = 35
 ROUNDS = 3
@@ -115,31 +119,42 @@ def _anchors_of(batch: pa.RecordBatch, window: int):
     position, symbol, a, b, reach = anchors(names, bounds, window)
     content = RunningHash(names)
     key = mix(content.slices(position, position + reach) ^ symbol)
-    whole = mix(content.slices(a, b + window) + (position - a).astype(np.uint64))
-    return content, bounds, key.view(np.int64), whole.view(np.int64), a, b
+    return (data, starts, ends), content, bounds, key, position, a, b
 
 
-def _count_stretches(window: int):
+def _name_keys(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            _, _, key, whole, _, _ = _anchors_of(batch, window)
-            order = np.lexsort((whole, key))
-            key, whole = key[order], whole[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
-            at = np.flatnonzero(new)
-            counts = np.diff(np.append(at, len(key)))
-            yield pa.record_batch({"key": key[at], "content": whole[at], "n": counts.astype(np.int32)})
+            key = _anchors_of(batch, window)[3]
+            names, n = np.unique((key >> np.uint64(32)).astype(np.int64), return_counts=True)
+            yield pa.record_batch({"name": names, "n": np.minimum(n, 2).astype(np.int64)})
 
     return run
 
 
-def _list_stretches(window: int):
+def _list_stretches(window: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = sent.value
         for batch in blocks(batches):
-            _, bounds, key, whole, a, b = _anchors_of(batch, window)
+            words, content, bounds, key, position, a, b = _anchors_of(batch, window)
+            own = marked(marks, key)
+            key, position, a, b = (x[own] for x in (key, position, a, b))
+            if not len(key):
+                continue
+            whole = mix(content.slices(a, b + window) + (position - a).astype(np.uint64))
             row = np.searchsorted(bounds, a, "right") - 1
-            yield pa.record_batch({"key": key, "content": whole, "doc": batch.column(0).take(pa.array(row)), "th": batch.column(1).take(pa.array(row)), "a": (a - bounds[row]).astype(np.int32), "n": (b - a + window).astype(np.int32)})
+            at = pa.array(row)
+            yield pa.record_batch(
+                {
+                    "key": key.view(np.int64),
+                    "content": whole.view(np.int64),
+                    "check": checks(squeezed(*words), a, b + window).view(np.int64),
+                    "doc": batch.column(0).take(at),
+                    "th": batch.column(1).take(at),
+                    "a": (a - bounds[row]).astype(np.int32),
+                    "n": (b - a + window).astype(np.int32),
+                }
+            )
 
     return run
 
@@ -149,7 +164,7 @@ def _open_windows(window: int):
         for batch in blocks(batches):
             data, offsets = bytes_of(batch.column(2))
             starts, ends, bounds = word_bounds(data, offsets)
-            content = RunningHash(word_names(data, starts, ends))
+            content, text = RunningHash(word_names(data, starts, ends)), squeezed(data, starts, ends)
             spans = batch.column(3)
             row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
             spans = spans.flatten()
@@ -160,7 +175,17 @@ def _open_windows(window: int):
             start = a[of] + within
             at = bounds[row[of]] + start
             doc = pa.array(row[of])
-            yield pa.record_batch({"key": key[of], "content": content.slices(at, at + window).view(np.int64), "doc": batch.column(0).take(doc), "th": batch.column(1).take(doc), "a": start.astype(np.int32), "judged": judged[of]})
+            yield pa.record_batch(
+                {
+                    "key": key[of],
+                    "content": content.slices(at, at + window).view(np.int64),
+                    "check": checks(text, at, at + window).view(np.int64),
+                    "doc": batch.column(0).take(doc),
+                    "th": batch.column(1).take(doc),
+                    "a": start.astype(np.int32),
+                    "judged": judged[of],
+                }
+            )
 
     return run
 
@@ -178,22 +203,25 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, th, spans): word spans (a, n) covered by a window that starts elsewhere too; th: xxhash64 of the text."""
     source = _documents(docs)
     doc_type = source.schema["doc"].dataType.simpleString()
-    counted = source.select("doc", "th", "text").mapInArrow(_count_stretches(window), "key long, content long, n int").repartition("key")
-    same_key = Window.partitionBy("key")
-    seen = counted.groupBy("key", "content").agg(F.sum("n").alias("copies")).withColumns({"in_key": F.sum("copies").over(same_key), "kinds": F.count(F.lit(1)).over(same_key)}).where("in_key > 1")
-    seen = seen.select("key", "content", (F.col("copies") > 1).alias("whole"), (F.col("kinds") > 1).alias("mixed"))
-    listed = source.mapInArrow(_list_stretches(window), f"key long, content long, doc {doc_type}, th long, a int, n int")
-    found = written(listed.join(seen, ["key", "content"]), "stretches")
+    same = ["key", "content", "check"]
+    twice = source.mapInArrow(_name_keys(window), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    marks = docs.sparkSession.sparkContext.broadcast(bit_table(twice))
+    listed = written(source.mapInArrow(_list_stretches(window, marks), f"key long, content long, check long, doc {doc_type}, th long, a int, n int"), "listed")
+    seen = listed.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
+    keys = seen.groupBy("key").agg(F.sum("copies").alias("in_key"), F.count(F.lit(1)).alias("kinds")).where("in_key > 1")
+    seen = spread_join(seen, keys, ["key"]).select(*same, (F.col("copies") > 1).alias("whole"), (F.col("kinds") > 1).alias("mixed"))
+    found = written(spread_join(listed, seen, same), "stretches")
+    drop_written(listed)
     whole = found.where("whole").select("doc", "th", "a", "n")
     # the ends of repeats, and one stretch of each content that stands for its copies
     alone = found.where("not whole").select("doc", "th", F.struct("key", "a", "n", F.lit(True).alias("judged")).alias("span"))
-    one = found.where("whole and mixed").groupBy("key", "content").agg(F.min(F.struct("th", "a", "n", "doc")).alias("one"))
+    one = found.where("whole and mixed").groupBy(*same).agg(F.min(F.struct("th", "a", "n", "doc")).alias("one"))
     one = one.select("one.doc", "one.th", F.struct("key", "one.a", "one.n", F.lit(False).alias("judged")).alias("span"))
     asked = alone.unionByName(one).groupBy("doc", "th").agg(F.collect_list("span").alias("spans"))
     opened = source.join(asked, _same_document(source, asked)).select(source["doc"], source["th"], "text", "spans")
-    windows = written(opened.mapInArrow(_open_windows(window), f"key long, content long, doc {doc_type}, th long, a int, judged boolean"), "windows")
-    twice = windows.groupBy("key", "content").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("key", "content")
-    ends = windows.where("judged").join(twice, ["key", "content"]).select("doc", "th", "a", F.lit(window).alias("n"))
+    windows = written(opened.mapInArrow(_open_windows(window), f"key long, content long, check long, doc {doc_type}, th long, a int, judged boolean"), "windows")
+    again = windows.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(*same)
+    ends = spread_join(windows.where("judged"), again, same).select("doc", "th", "a", F.lit(window).alias("n"))
     return whole.unionByName(ends).distinct().groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
 
 

@@ -34,13 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_NAME, RunningHash, blocks, bytes_of, mix, private, read_table, sliding_min, text_or_empty, written
+from .common import BYTE_NAME, RunningHash, bit_table, blocks, bytes_of, marked, mix, private, read_table, sliding_min, text_or_empty, written
 from .induced import Sorter
 
 LENGTH = 100
 REACH = 32
 POSITION_BITS = 30
-MARK_BITS = 26
 SHARD_BYTES = 1 << 20
 
 
@@ -75,20 +74,6 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
     return np.searchsorted(offsets, a, "right") - 1, key, whole, a, b
 
 
-def _marked(marks: np.ndarray, key: np.ndarray) -> np.ndarray:
-    place = (key >> np.uint64(64 - MARK_BITS)).astype(np.int64)
-    return (marks[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-
-
-def bit_table(keys: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
-    """Bits of the leading ``bits`` of 32-bit names (column name): at most 2**(bits-6) rows come to the driver."""
-    place = F.shiftright(F.col("name").cast("long"), 32 - bits)
-    rows = keys.select(place.alias("p")).selectExpr("shiftright(p, 6) AS word", "shiftleft(1L, CAST(p & 63 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    marks = np.zeros(1 << bits - 6, np.uint64)
-    marks[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return marks
-
-
 def _names(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
@@ -114,7 +99,7 @@ def _list(length: int, sent):
         for batch in blocks(batches):
             _, offsets = bytes_of(batch.column(2))
             row, key, whole, a, b = stretches(*bytes_of(batch.column(2)), length)
-            own = _marked(marks, key)
+            own = marked(marks, key)
             row, key, whole, a, b = (x[own] for x in (row, key, whole, a, b))
             a, n = a - offsets[row], b - a + length
             order = np.lexsort((a, _ranked(batch)[row], whole, key))
@@ -212,7 +197,7 @@ def _bytes(length: int, sent):
         for batch in blocks(batches):
             data, offsets = bytes_of(batch.column(2))
             row, key, whole, a, b = stretches(data, offsets, length)
-            own = _marked(marks, key)
+            own = marked(marks, key)
             row, key, whole, a, b = (x[own] for x in (row, key, whole, a, b))
             order = np.lexsort((a, _ranked(batch)[row], whole, key))
             first = np.ones(len(order), bool)

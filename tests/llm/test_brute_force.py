@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
-from fieldloom.llm import bpe, chat, graph, induced, media, mixing, quality_mil, simhash, substring_dedup, suffix_dedup, toxicity
+from fieldloom.llm import bpe, chat, common, graph, induced, media, mixing, quality_mil, simhash, substring_dedup, suffix_dedup, toxicity
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,6 +56,35 @@ def test_substrings(docs, corpus, window):
     assert got == brute_windows([r[:2] for r in corpus], window)
 
 
+def thue_morse(n, a="a", b="b"):
+    return [(a, b)[bin(k).count("1") & 1] for k in range(n)]
+
+
+def test_words_of_one_polynomial_name_stay_apart(spark):
+    """Two words of 1,024 letters whose polynomial hashes modulo 2**64 agree whatever the base; sequences of words alike."""
+    one, other = "".join(thue_morse(1024)), "".join(thue_morse(1024, "b", "a"))
+    common = [f"w{k}" for k in range(34)]
+    rows = [(1, " ".join([*common, one])), (2, " ".join([*common, other])), (3, " ".join(thue_morse(64, "p", "q"))), (4, " ".join(thue_morse(64, "q", "p"))), (5, "x" * 65 + " " + "x" * 64 + " " + "x" * 8)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_windows(rows, 35) and got[1][1] == got[2][1] == 0
+
+
+def test_word_names_are_of_the_word_alone():
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 90))) for _ in range(3000)] + ["a" * n for n in range(1, 200)] + ["a" * n + "\x00" for n in range(1, 70)]
+    place = {}
+    for order in (words, words[::-1]):
+        text = "  ".join(order).encode()
+        data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+        starts, ends, _ = common.word_bounds(data, offsets)
+        names = common.word_names(data, starts, ends)
+        for w, name in zip(order, names.tolist(), strict=True):
+            assert place.setdefault(w, name) == name
+        out, begins = common.squeezed(data, starts, ends)
+        assert out.tobytes() == b"".join(w.encode() + b" " for w in order) and begins[-1] == len(out)
+    assert len(set(place.values())) == len(place)
+
+
 def test_removed_text_keeps_the_rest(docs, corpus):
     want = brute_windows([r[:2] for r in corpus], 35)
     for r in substring_dedup.remove_repeats(docs).collect():
