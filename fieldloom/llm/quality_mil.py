@@ -4,12 +4,15 @@ A document is a bag of passages of ``PASSAGE`` words.  Every passage of the whol
 and hashed words; a learned layer encodes it, a gated attention (tanh times sigmoid) weighs the passages of a bag, and
 the weighted mean is scored.  Only bags have labels; attention learns which passages tell.
 
-Vectors come from numpy over whole Arrow blocks.  The network is fitted on the driver on at most ``SAMPLE`` labelled
-documents and ``BAG`` evenly spaced passages of each (scoring reads all passages); its parameters, about 4,000
-numbers, go to the executors as a broadcast.  Scoring shuffles nothing.
+Vectors come from numpy over whole Arrow blocks.  The network is fitted on the driver on a bounded sample of labelled
+documents, all passages of each: at most ``SAMPLE`` documents in the order of a hash of their doc_id, ending before
+their passages exceed ``PASSAGES`` together.  Its parameters, about 4,000 numbers, go to the executors as a broadcast.
+Scoring shuffles nothing.
 
 Defined results: null and empty texts are a bag of one zero vector and get a score; a table without usable labels
-gives 0.5 throughout; repeated rows score alike; labels, lang, source and doc_id are never inputs of a score.
+gives 0.5 throughout; a null label or doc_id teaches nothing, nor do rows of one doc_id whose labels differ; of
+documents that share a doc_id the one with the smallest hash of its text teaches; repeated rows score alike; labels,
+lang, source and doc_id are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bytes_of, mix, read_table, text_or_empty, word_bounds, word_names
+from .common import blocks, bytes_of, drop_written, mix, read_table, text_or_empty, word_bounds, word_names, written
+from .toxicity import one_document, one_label
 
 PASSAGE = 96
 HASHED = 48
 SAMPLE = 8_000
-BAG = 24
+PASSAGES = 200_000  # vectors of 250 bytes
 HIDDEN = 24
 THRESHOLD = 0.7
 
@@ -163,24 +167,24 @@ class Network:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         vectors, before = passages(*bytes_of(batch.column(1)))
-        rows = []
-        for k in range(batch.num_rows):
-            n = before[k + 1] - before[k]
-            rows.append(vectors[before[k] + np.unique(np.linspace(0, n - 1, min(n, BAG)).astype(int))].reshape(-1))
-        yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float32())), batch.column(2)], names=["doc_id", "h", "y"])
+        rows = [vectors[low:high].reshape(-1) for low, high in zip(before[:-1], before[1:], strict=True)]
+        yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float32())), *batch.columns[2:], pa.array(np.diff(before))], names=["doc_id", "h", *batch.schema.names[2:], "n"])
 
 
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network for ``labels`` (doc_id, y), on at most ``sample`` rows; which rows may teach is the caller's choice."""
-    own = labels.select(F.col("doc_id").alias("_id"), F.col("y").cast("double").alias("y")).dropna().dropDuplicates(["_id"])
-    own = own.orderBy(F.crc32(F.concat(F.lit("bags"), F.col("_id").cast("string"))), "_id").limit(sample)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = PASSAGES) -> Network:
+    """A network for ``labels`` (doc_id, y), on at most ``sample`` documents and ``most`` passages; which rows may teach is the caller's choice."""
+    own = one_label(labels.select(F.col("doc_id").alias("_id"), F.col("y").cast("double").alias("y")), ["y"])
+    own = own.withColumn("o", F.crc32(F.concat(F.lit("bags"), F.col("_id").cast("string")))).orderBy("o", "_id").limit(sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = docs.select("doc_id", text_or_empty().alias("text")).join(own, F.col("doc_id") == F.col("_id")).drop("_id")
-    table = made.mapInArrow(_vectors, f"doc_id {kind}, h array<float>, y double").toArrow()
+    made = written(one_document(docs, own).mapInArrow(_vectors, f"doc_id {kind}, h array<float>, y double, o long, n long"), "bags")
+    sizes = made.groupBy("o").agg(F.sum("n").alias("n")).orderBy("o").toArrow()  # ``sample`` rows at most
+    fits = sizes["o"].to_numpy()[np.cumsum(sizes["n"].to_numpy()) <= most]
+    table = made.where(F.col("o") <= (int(fits[-1]) if len(fits) else -1)).toArrow()
+    drop_written(made)
     net = Network()
     if not table.num_rows:
         net.p["c"][:] = 0

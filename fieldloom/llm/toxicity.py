@@ -1,15 +1,18 @@
 """Toxicity by a classifier chain.
 
 Categories are 0/1 label columns in a fixed order.  Each has a sparse linear model over the hashed words and word
-stems of a text; the model of a later category also gets the logits of all earlier ones, which in training come out
-of fold (three folds, each predicted by a model that didn't see it) and in scoring from the models of the whole sample.
+stems of a text; the model of a later category also gets the probabilities of all earlier ones, which in training come
+out of fold (three folds, each predicted by a model that didn't see it) and in scoring from the models of the whole sample.
 
-The models are fitted on the driver on at most ``SAMPLE`` labelled rows (those of smallest hash of their doc_id, so
-reruns agree); features are made on the executors.  A fitted chain is a fixed-size table of 2**18 weights for each
-category, whatever the corpus, and goes to the executors as a broadcast; scoring reads whole texts and shuffles nothing.
+The models are fitted on the driver on at most ``SAMPLE`` labelled documents (those of smallest hash of their doc_id, so
+reruns agree); features are made on the executors, one document for a label, so what the driver gets is bounded by the
+sample.  A model has weights for the ``SELECTED`` of the 2**18 hashed features that tell its category best, whatever
+the corpus.  The chain goes to the executors as a broadcast of fixed size; scoring reads whole texts and shuffles nothing.
 
 Defined results: null texts are empty (the models' intercepts decide); labelled rows without a document, with a null
-label or a null doc_id teach nothing; a category with one class only is predicted as its share; repeated rows score alike.
+label or a null doc_id teach nothing, nor do rows of one doc_id whose labels differ; of documents that share a doc_id
+the one with the smallest hash of its text teaches; a category with one class only is predicted as its share; repeated
+rows score alike.
 """
 
 from __future__ import annotations
@@ -65,17 +68,20 @@ class Linear:
     bias: float
     chained: np.ndarray
 
+    def probability(self, flat: np.ndarray, offsets: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        return sigmoid(_sums(self.weights[flat], offsets) + self.bias + earlier @ self.chained)
+
 
 @dataclass
 class Chain:
     names: list[str]
     models: list[Linear]
 
-    def logits(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def probabilities(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(rows, categories) from the rows' features, laid end to end."""
         out = np.zeros((len(offsets) - 1, len(self.models)))
         for k, m in enumerate(self.models):
-            out[:, k] = _sums(m.weights[flat], offsets) + m.bias + np.clip(out[:, :k], -8, 8) @ m.chained
+            out[:, k] = m.probability(flat, offsets, out[:, :k])
         return out
 
 
@@ -88,8 +94,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_linear(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, extra: np.ndarray, l1: float = 2e-4, steps: int = 400) -> Linear:
-    """Logistic regression with an L1 penalty (accelerated proximal gradient) on the features that separate the classes best."""
+def fit_linear(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, extra: np.ndarray, l1: float = 2e-4, steps: int = 400, selected: int = SELECTED) -> Linear:
+    """Logistic regression with an L1 penalty (accelerated proximal gradient) on the ``selected`` features that separate the classes best."""
     n, size = len(y), 1 << BITS
     share = min(max(float(y.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
     empty = Linear(np.zeros(size), float(np.log(share / (1 - share))), np.zeros(extra.shape[1]))
@@ -100,14 +106,14 @@ def fit_linear(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, extra: np.n
     expected = seen * share
     z = (hit - expected) / np.sqrt(expected * (1 - share) + 1)  # evidence for the class only: its absence has no words
     z[seen < 3] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:SELECTED])
+    chosen = np.sort(np.argsort(-z, kind="stable")[:selected])
     chosen = chosen[z[chosen] > 1]
     place = np.full(size, -1)
     place[chosen] = np.arange(len(chosen))
     own = place[flat]
     row, own = row[own >= 0], own[own >= 0]
     width = len(chosen)
-    dense = np.column_stack([np.clip(extra, -8, 8) / 4, np.ones(n)])
+    dense = np.column_stack([extra, np.ones(n)])
     w, d = np.zeros(width), np.zeros(dense.shape[1])
     d[-1] = empty.bias
     per_row = np.bincount(row, minlength=n).max(initial=1) if width else 1
@@ -129,7 +135,7 @@ def fit_linear(flat: np.ndarray, offsets: np.ndarray, y: np.ndarray, extra: np.n
         w, d, t = nw, nd, u
     weights = np.zeros(size)
     weights[chosen] = w * scale
-    return Linear(weights, float(d[-1]), d[:-1] / 4)
+    return Linear(weights, float(d[-1]), d[:-1])
 
 
 def fit_chain(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, fold: np.ndarray, names: list[str]) -> Chain:
@@ -147,19 +153,33 @@ def fit_chain(flat: np.ndarray, offsets: np.ndarray, labels: np.ndarray, fold: n
                 continue
             keep = np.repeat(learn, sizes)
             part = fit_linear(flat[keep], np.concatenate([[0], np.cumsum(sizes[learn])]), y[learn], earlier[learn])
-            raw = _sums(part.weights[flat], offsets) + part.bias + np.clip(earlier, -8, 8) @ part.chained
-            out[hold] = raw[hold]
+            out[hold] = part.probability(flat, offsets, earlier)[hold]
         earlier = np.column_stack([earlier, out])
     return Chain(names, models)
 
 
+def one_label(labels: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each ``_id``; ids with a null label, or with labels that differ, have none."""
+    out = labels.dropna().groupBy("_id").agg(*(F.min(n).alias(n) for n in names), *(F.max(n).alias(f"_max_{k}") for k, n in enumerate(names)))
+    for k, n in enumerate(names):
+        out = out.where(F.col(n) == F.col(f"_max_{k}"))
+    return out.select("_id", *names)
+
+
+def one_document(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, labels' columns): for each row of ``labels`` (_id, ...) the document of that id, the one with the smallest hash of its text."""
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(labels, F.col("doc_id") == F.col("_id")).drop("_id")
+    rest = [c for c in labels.columns if c != "_id"]
+    one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text", *rest)).alias("x"))
+    return one.select("doc_id", "x.text", *(F.col(f"x.{c}") for c in rest))
+
+
 def train(docs: DataFrame, labels: DataFrame, names: list[str], sample: int = SAMPLE) -> Chain:
     """A chain over the label columns ``names`` of ``labels`` (doc_id and 0/1 columns), on at most ``sample`` rows."""
-    own = labels.select(F.col("doc_id").alias("_id"), *names).dropna().dropDuplicates(["_id"])
+    own = one_label(labels.select(F.col("doc_id").alias("_id"), *names), names)
     own = own.orderBy(F.crc32(F.concat(F.lit("chain"), F.col("_id").cast("string"))), "_id").limit(sample)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("_id")).drop("_id")  # ``sample`` rows at most
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = texts.mapInArrow(_features, ", ".join([f"doc_id {kind}", "features array<int>", *(f"`{n}` {labels.schema[n].dataType.simpleString()}" for n in names)]))
+    made = one_document(docs, own).mapInArrow(_features, ", ".join([f"doc_id {kind}", "features array<int>", *(f"`{n}` {labels.schema[n].dataType.simpleString()}" for n in names)]))
     table = made.toArrow()
     rows = sorted(zip(table["doc_id"].to_pylist(), range(table.num_rows), strict=True), key=lambda x: (str(x[0]), x[1]))
     lists = table["features"].combine_chunks()
@@ -186,7 +206,7 @@ def score(docs: DataFrame, chain: Chain, keep: list[str], text: str = "text") ->
         for batch in blocks(batches, "_text"):
             rows = [words.features(x.as_py() or b"") for x in batch.column(len(keep)).cast(pa.large_binary())]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-            p = sigmoid(own.logits(np.concatenate(rows), offsets))
+            p = own.probabilities(np.concatenate(rows), offsets)
             yield pa.record_batch([*batch.columns[: len(keep)], *(pa.array(p[:, k]) for k in range(p.shape[1]))], names=[*keep, *(f"p_{n}" for n in own.names)])
 
     return docs.select(*keep, text_or_empty(text).alias("_text")).mapInArrow(run, schema)

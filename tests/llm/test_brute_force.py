@@ -377,6 +377,92 @@ def test_chain_uses_earlier_categories():
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     labels = np.column_stack([y, y[:, 0] & y[:, 1]])
     chain = toxicity.fit_chain(np.concatenate(rows), offsets, labels, np.arange(n) % 3, ["a", "b", "c"])
-    p = chain.logits(np.concatenate(rows), offsets)
-    assert [((p[:, k] > 0) == labels[:, k]).mean() > 0.95 for k in range(3)] == [True] * 3
+    p = chain.probabilities(np.concatenate(rows), offsets)
+    assert [((p[:, k] > 0.5) == labels[:, k]).mean() > 0.95 for k in range(3)] == [True] * 3
     assert len(chain.models[2].chained) == 2
+
+
+def test_chain_steps(monkeypatch):
+    """Every model sees the out-of-fold probabilities of the earlier ones in training and the full models' in scoring."""
+    rng = np.random.default_rng(2)
+    n = 90
+    y = rng.integers(0, 2, (n, 2))
+    rows = [np.unique(np.concatenate([rng.integers(100, 900, 9), np.array([1] * a + [2] * b, int)])) for a, b in y]
+    flat, offsets, fold = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.arange(n) % 3
+    seen, plain = [], toxicity.fit_linear
+
+    def noted(flat, offsets, y, extra, **more):
+        seen.append((len(y), extra.copy()))
+        return plain(flat, offsets, y, extra, **more)
+
+    monkeypatch.setattr(toxicity, "fit_linear", noted)
+    chain = toxicity.fit_chain(flat, offsets, y, fold, ["a", "b"])
+
+    def one(model, k, earlier):
+        z = model.bias + sum(model.weights[f] for f in rows[k]) + sum(c * e for c, e in zip(model.chained, earlier, strict=True))
+        return 1 / (1 + np.exp(-z))
+
+    by_hand = np.zeros(n)
+    for f in range(3):
+        keep = [k for k in range(n) if fold[k] != f]
+        sizes = [len(rows[k]) for k in keep]
+        part = plain(np.concatenate([rows[k] for k in keep]), np.concatenate([[0], np.cumsum(sizes)]), y[keep, 0].astype(float), np.zeros((len(keep), 0)))
+        for k in np.flatnonzero(fold == f):
+            by_hand[k] = one(part, k, ())
+    second = next(x for m, x in seen if m == n and x.shape[1] == 1)
+    assert np.allclose(second[:, 0], by_hand) and 0 <= second.min() <= second.max() <= 1
+    p = chain.probabilities(flat, offsets)
+    for k in range(n):
+        first = one(chain.models[0], k, ())
+        assert np.isclose(p[k, 0], first) and np.isclose(p[k, 1], one(chain.models[1], k, (first,)))
+
+
+def test_attention_forward_and_gradients():
+    """One bag after the other in plain Python, and gradients by differences."""
+    rng = np.random.default_rng(4)
+    net = quality_mil.Network()
+    bags, target = np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0])
+    h = rng.normal(size=(9, quality_mil.WIDTH))
+    net.mean, net.scale = h.mean(axis=0), h.std(axis=0)
+    p, got = net.p, net.scores(h, bags)
+
+    def score(rows):
+        e = [np.tanh(np.clip((x - net.mean) / net.scale, -6, 6) @ p["W"] + p["b"]) for x in rows]
+        s = [float((np.tanh(x @ p["V"]) / (1 + np.exp(-(x @ p["U"])))) @ p["w"]) for x in e]
+        a = np.exp(s) / np.exp(s).sum()
+        return 1 / (1 + np.exp(-(sum(w * x for w, x in zip(a, e, strict=True)) @ p["c"] + p["d"][0])))
+
+    assert np.allclose(got, [score(h[low:high]) for low, high in zip(bags[:-1], bags[1:], strict=True)])
+
+    def loss():
+        y = net.scores(h, bags)
+        return -float((target * np.log(y) + (1 - target) * np.log(1 - y)).mean())
+
+    for name, g in net.gradients(h, bags, target).items():
+        for at in [tuple(rng.integers(0, k) for k in g.shape) for _ in range(4)]:
+            keep = p[name][at]
+            p[name][at] = keep + 1e-6
+            up = loss()
+            p[name][at] = keep - 1e-6
+            down = loss()
+            p[name][at] = keep
+            assert np.isclose((up - down) / 2e-6, g[at], atol=1e-6)
+
+
+def test_training_is_bounded_and_fixed(spark):
+    """Labels that differ teach nothing, an id that many rows share brings one document, passages are never cut from one."""
+    rows = [(k, f"good words here {k}" if k % 2 else f"# $ junk {k} ! !", "x") for k in range(60)]
+    docs = spark.createDataFrame(rows + [(1, f"another text {j}", "x") for j in range(300)] + [(2, "long " * 2000, "x")], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(5, 0, 1), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    own = toxicity.one_label(labels.select(F.col("doc_id").alias("_id"), "quality", "toxic"), ["quality", "toxic"])
+    kept = {r._id for r in own.collect()}
+    assert kept == set(range(60)) - {5, 7}
+    for d in (docs, docs.repartition(5)):
+        taught = {r.doc_id: r.text for r in toxicity.one_document(d, own).collect()}
+        assert taught.keys() == kept
+        assert taught == {r.doc_id: r.text for r in toxicity.one_document(docs, own).collect()}
+    teach = labels.select("doc_id", F.col("quality").alias("y"))
+    one, other = (quality_mil.train(d, teach) for d in (docs, docs.repartition(5)))
+    assert all(np.array_equal(one.p[k], other.p[k]) for k in one.p)
+    few = quality_mil.train(docs, teach, most=12)
+    assert not np.array_equal(few.p["W"], one.p["W"])
