@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, spread_join, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step.  edges: (u, v) with u > v.  The minimum of a node is pre-aggregated; a hot node is a skewed join side that AQE can split."""
+    """One star step.  edges: (u, v) with u > v.  The minimum of a node is pre-aggregated; AQE can split the edges of a hot node."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
-    joined = both.join(least, both["u"] == least["node"]).select("u", "v", "m")
+    joined = spread_join(both.withColumnRenamed("u", "node"), least, ["node"]).select(F.col("node").alias("u"), "v", "m")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, bytes_of, mix, private, read_table, text_or_empty, written
+from .common import blocks, bytes_of, mix, private, read_table, spread_join, text_or_empty, written
 from .graph import components
 
 RADIUS = 2
@@ -247,8 +247,8 @@ def _classes(prints: DataFrame, edges: DataFrame, node: str = "fp") -> DataFrame
     found = components(edges)
     classed = each.join(found, each["_own"] == found["node"], "left").select("_own", "least", F.coalesce("root", "_own").alias("root"))
     named = classed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classed.join(named, "root").select("_own", "component_id")
-    return prints.join(named, F.col(node) == F.col("_own")).select("doc_id", "fp", "component_id")
+    named = spread_join(classed, named, ["root"]).select("_own", "component_id")  # a root may have any number of members
+    return spread_join(prints.withColumn("_own", F.col(node)), named, ["_own"]).select("doc_id", "fp", "component_id")  # a node any number of rows
 
 
 def near_classes(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -283,7 +283,7 @@ def _blocked(size: int, tables: int):
                     least[k] = [(digest * f).min() for f in factors]
             flat = pa.array(least.view(np.int64).reshape(-1))
             keys = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), flat)
-            yield pa.record_batch({"doc_id": batch.column(0), "fp": prints.view(np.int64), "id": names.view(np.int64), "keys": keys})
+            yield pa.record_batch({"doc_id": batch.column(0), "th": batch.column(2), "fp": prints.view(np.int64), "id": names.view(np.int64), "keys": keys})
 
     return run
 
@@ -432,18 +432,20 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, tab
     exactly, by the shingle hashes of their texts.  Blocks of any size are compared completely (``_blocks``).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_or_empty().alias("text"))
-    prints = written(texts.mapInArrow(_blocked(size, tables), f"doc_id {kind}, fp long, id long, keys array<long>"), "fingerprints")
+    text = text_or_empty()
+    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
+    prints = written(texts.mapInArrow(_blocked(size, tables), f"doc_id {kind}, th long, fp long, id long, keys array<long>"), "fingerprints")
     nodes = prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     table = _blocks(nodes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = table.columns[:BLOCK_KEYS]
     dealt = table.repartition(parts, *names).sortWithinPartitions(*names, "id")
     groups = written(dealt.mapInArrow(_candidates(WIDE), "group long, id long, fp long").distinct(), "candidates")
-    # the texts of candidates, one for each node; a doc_id may bring texts of other nodes along
-    wanted = prints.join(groups.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    sets = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(_sets(size), "id long, hashes binary")
-    sets = sets.join(groups.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    # the texts of candidates, one for each node; the join's key holds doc_id too, so copies of a text are spread
+    wanted = prints.groupBy("id").agg(F.min(F.struct("th", "doc_id")).alias("x")).join(groups.select("id").distinct(), "id", "left_semi")
+    wanted = wanted.select(F.col("x.th").alias("_th"), F.col("x.doc_id").alias("_id")).distinct()
+    sets = texts.join(wanted, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    sets = sets.mapInArrow(_sets(size), "id long, hashes binary").dropDuplicates(["id"])
     shown = groups.join(sets, "id").select("group", "id", "fp", "hashes")
     edges = shown.repartition(parts, "group").sortWithinPartitions("group", "id").mapInArrow(_confirmed(WIDE, similarity), "u long, v long").distinct()
     return _classes(prints.select("doc_id", "fp", "id"), edges, "id")
