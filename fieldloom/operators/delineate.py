@@ -5,6 +5,8 @@ A site's group is its grid, whose size the query fixes; sites never meet in one
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,32 @@ from ..plans.params import DEFAULTS, Params
 from . import kernel
 
 STAGES = ("trace", "area", "split", "interior", "boundary")
-CELLS = "site_id int, r int, c int, area_num int, decided boolean"
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A stage with the settings of its own call and, for the boundary sequence, the number of its middle pairs."""
+
+    name: str
+    params: Params | None = None
+    cleanups: int = 2
+
+    def __post_init__(self):
+        if self.name not in STAGES:
+            raise ValueError(f"unknown stage {self.name!r}; known: {', '.join(STAGES)}")
+        kernel.check_cleanups(self.cleanups)
+
+    def run(self, site: kernel.Site, default: Params) -> None:
+        site.params = self.params or default
+        site.boundary(self.cleanups) if self.name == "boundary" else getattr(site, self.name)()
+
+
+def _with_site(group, out):
+    """``out`` with the group's site_id in front, of whatever type the caller's is."""
+    import pandas as pd
+
+    out.insert(0, "site_id", pd.Series([group["site_id"].iloc[0]] * len(out), dtype=group["site_id"].dtype, index=out.index))
+    return out
 
 
 def _cube(group, windows: int, rows: int, columns: int) -> np.ndarray:
@@ -24,15 +51,14 @@ def _cube(group, windows: int, rows: int, columns: int) -> np.ndarray:
     return cube
 
 
-def delineated(features: DataFrame, seeds: DataFrame, rows: int, columns: int, params: Params = DEFAULTS, stages: tuple[str, ...] = ("boundary",), windows: int = 3, calibration: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
-    """Mask cells (site_id, r, c, area_num, decided) after the stages.
+def delineated(features: DataFrame, seeds: DataFrame, rows: int, columns: int, params: Params = DEFAULTS, stages: tuple[Stage | str, ...] = ("boundary",), windows: int = 3, calibration: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
+    """Mask cells (site_id, r, c, area_num, decided) after the stages, each under its own settings or ``params``.
 
     features: (site_id, r, c, w1..); seeds: (site_id, r0, c0); calibration: (site_id, w, mu, tol, valid) of valid windows;
     prior: (site_id, r, c, strength) of a polygon's cells.  A site without a mask gives no rows.
     """
-    for stage in stages:
-        if stage not in STAGES:
-            raise ValueError(f"unknown stage {stage!r}; known: {', '.join(STAGES)}")
+    stages = tuple(Stage(x) if isinstance(x, str) else x for x in stages)
+    kind = features.schema["site_id"].dataType.simpleString()
     own = features.join(seeds.select("site_id", "r0", "c0"), "site_id")
     if calibration is not None:
         usable = calibration.where("valid").groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("w", F.struct("mu", "tol")))).alias("_cal"))
@@ -61,14 +87,13 @@ def delineated(features: DataFrame, seeds: DataFrame, rows: int, columns: int, p
             strength = float(held["_prior"].iloc[0])
         site = kernel.Site(cube, seed, params, mu, tol, polygon, strength)
         for stage in stages:
-            getattr(site, stage)()
+            stage.run(site, params)
         cells = [(r + 1, c + 1, a.rank, bool(site.decided[r, c])) for a in kernel.separated(site.mask, seed, params.area_separation_strict) for r, c in a.cells] if site.mask is not None and site.mask.any() else []
         out = pd.DataFrame(cells, columns=["r", "c", "area_num", "decided"]).astype({"r": "int32", "c": "int32", "area_num": "int32", "decided": bool})
-        out.insert(0, "site_id", np.int32(group["site_id"].iloc[0]))
-        return out
+        return _with_site(group, out)
 
     run.__annotations__ = {}
-    return own.groupBy("site_id").applyInPandas(run, CELLS)
+    return own.groupBy("site_id").applyInPandas(run, f"site_id {kind}, r int, c int, area_num int, decided boolean")
 
 
 def labelled(mask: DataFrame, seeds: DataFrame, rows: int, columns: int, four: bool = False) -> DataFrame:
@@ -81,7 +106,7 @@ def labelled(mask: DataFrame, seeds: DataFrame, rows: int, columns: int, four: b
         grid[group["r"].to_numpy() - 1, group["c"].to_numpy() - 1] = True
         cells = [(r + 1, c + 1, a.label) for a in kernel.areas(grid, (0, 0), four) for r, c in a.cells]
         out = pd.DataFrame(cells, columns=["r", "c", "label"]).astype("int32")
-        out.insert(0, "site_id", np.int32(group["site_id"].iloc[0]))
-        return out
+        return _with_site(group, out)
 
-    return mask.groupBy("site_id").applyInPandas(run, "site_id int, r int, c int, label int")
+    kind = mask.schema["site_id"].dataType.simpleString()
+    return mask.groupBy("site_id").applyInPandas(run, f"site_id {kind}, r int, c int, label int")

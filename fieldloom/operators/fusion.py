@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import indices
 
 def spread_days(dates: DataFrame, days: int, name: str) -> DataFrame:
     """(site_id, scene_date, name): every day within ``days`` of a date, and that date."""
@@ -80,8 +81,12 @@ def agreement(pairs: DataFrame, keys: list[str], least: int = 4, count: str = "n
     return out.select(*keys, *(F.when(enough, F.col(x)).alias(x) for x in ("rmse", "mae", "bias")), F.when(enough, r).alias("r"), count)
 
 
-def leave_one_out(fine: DataFrame, coarse: DataFrame, value: str, pad: int = 1) -> DataFrame:
-    """(site_id, scene_date, r, c, obs, pred): every fine date estimated from its nearest other fine date."""
+def leave_one_out(fine: DataFrame, coarse: DataFrame, name: str, pad: int = 1) -> DataFrame:
+    """(site_id, scene_date, r, c, obs, pred): every fine date estimated from its nearest other fine date.
+
+    Bands are estimated and the index ``name`` is computed from the estimated ones, as a fused scene's is.
+    """
+    bands = indices.needed_bands(name)
     dates, others = (x.select("site_id", "scene_date").distinct() for x in (fine, coarse))
     order = Window.partitionBy("site_id").orderBy("scene_date")
     near = dates.withColumns({"_b": F.lag("scene_date").over(order), "_a": F.lead("scene_date").over(order)})
@@ -92,8 +97,10 @@ def leave_one_out(fine: DataFrame, coarse: DataFrame, value: str, pad: int = 1)
     then = partner.select("site_id", F.col("scene_date").alias("anchor"), F.col("partner").alias("then"))
     pairs = near.join(at, ["site_id", "scene_date"]).join(then, ["site_id", "anchor"]).where("now != then")
     cell = ["site_id", "r", "c"]
-    v = lambda frame, day, name: frame.select(*cell, F.col("scene_date").alias(day), F.col(value).alias(name))
-    out = pairs.join(v(fine, "scene_date", "obs"), ["site_id", "scene_date"]).join(v(fine, "anchor", "f"), [*cell, "anchor"])
+    held = indices.with_index(fine, name, "obs").select(*cell, "scene_date", "obs")
+    v = lambda frame, day, tag: frame.select(*cell, F.col("scene_date").alias(day), *(F.col(b).alias(f"{tag}_{b}") for b in bands))
+    out = pairs.join(held, ["site_id", "scene_date"]).join(v(fine, "anchor", "f"), [*cell, "anchor"])
     out = out.join(v(coarse, "then", "p"), [*cell, "then"]).join(v(coarse, "now", "q"), [*cell, "now"])
-    top = out.groupBy("site_id", "scene_date").agg(F.max(F.abs(F.col("f") - F.col("p"))).alias("m"))
-    return out.join(top, ["site_id", "scene_date"]).select(*cell, "scene_date", "obs", delta(F.col("f"), F.col("p"), F.col("q"), F.col("m")).alias("pred"))
+    top = out.groupBy("site_id", "scene_date").agg(*(F.max(F.abs(F.col(f"f_{b}") - F.col(f"p_{b}"))).alias(f"m_{b}") for b in bands))
+    made = out.join(top, ["site_id", "scene_date"]).select(*cell, "scene_date", "obs", *(delta(F.col(f"f_{b}"), F.col(f"p_{b}"), F.col(f"q_{b}"), F.col(f"m_{b}")).alias(b) for b in bands))
+    return indices.with_index(made, name, "pred").select(*cell, "scene_date", "obs", "pred")

@@ -222,8 +222,8 @@ def walk(mask: np.ndarray) -> Walk:
         count += 1
         done = at in pivots and count >= 3
         pivots.add(at)
-        memory = memory[-1:]
         way = LEFT[way]
+        memory = [furthest(at, way)]  # sight begins anew along the new heading
         return done
 
     def accept(p) -> None:
@@ -513,10 +513,11 @@ class Site:
         self.centre = float(np.median(usable)) if len(usable) else np.nan
         self.mask, self.decided, self.staged = None, np.zeros(cube.shape[:2], bool), None
 
-    def trace(self, values=None, iterations: int = 1) -> Site:
-        """Cleanup now, or kept for the fill if there is no mask yet."""
+    def trace(self, values=None, iterations: int | None = None) -> Site:
+        """Cleanup now, or kept for the fill if there is no mask yet; margins and iterations are the settings' if not given."""
         p = self.params
         values = p.perimeter_margins if values is None else values
+        iterations = p.trace_iter if iterations is None else iterations
         if self.mask is None:
             self.staged = (values, iterations)
         else:
@@ -570,11 +571,17 @@ class Site:
         return self
 
     def boundary(self, cleanups: int = 2) -> Site:
-        """The fixed sequence of stages."""
-        if not isinstance(cleanups, int) or isinstance(cleanups, bool) or not 0 <= cleanups <= 5:
-            raise ValueError("cleanups is a whole number from 0 to 5")
-        n = self.params.trace_iter
-        self.trace(iterations=n).area().trace(iterations=n).split().trace(iterations=n).interior().trace(iterations=n)
+        """The fixed sequence of stages, ``cleanups`` of its middle pairs; on a mask that is there already nothing is decided or staged."""
+        check_cleanups(cleanups)
+        if self.mask is not None:
+            self.decided, self.staged = np.zeros(self.cube.shape[:2], bool), None
+        self.trace().area().trace().split().trace().interior().trace()
         for _ in range(cleanups):
-            self.split().trace(iterations=n)
-        return self.split().trace((0.3, 0.9), n).split().trace((0.5, 0.5, 1), n)
+            self.split().trace()
+        return self.split().trace((0.3, 0.9)).split().trace((0.5, 0.5, 1))
+
+
+def check_cleanups(n) -> int:
+    if not isinstance(n, int) or isinstance(n, bool) or not 0 <= n <= 5:
+        raise ValueError("cleanup_boundary is a whole number from 0 to 5")
+    return n

@@ -206,19 +206,10 @@ def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "empty_windows",
-    f"""WITH {VX}, s AS (SELECT *, CAST(least(40, (datediff('day', DATE '{START}', scene_date) * 40) // {DAYS} + 1) AS INT) AS w FROM vx WHERE r = 5 AND c = 5 AND scene_date BETWEEN DATE '{START}' AND DATE '{END}')
-SELECT i.site_id, CAST(n.w AS INT) AS w FROM (SELECT DISTINCT site_id FROM s) i, range(1, 41) n(w) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.site_id = i.site_id AND s.w = n.w AND s.v IS NOT NULL)""",
-)
-def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.empty_windows(values(spark, sf_dir).where("r = 5 AND c = 5"), "v", START, END, 40)
-
-
-@query(
-    "empty_windows_grid",
     f"""WITH {VX}, s AS (SELECT *, CAST(least(40, (datediff('day', DATE '{START}', scene_date) * 40) // {DAYS} + 1) AS INT) AS w FROM vx WHERE scene_date BETWEEN DATE '{START}' AND DATE '{END}')
 SELECT i.site_id, i.r, i.c, CAST(n.w AS INT) AS w FROM (SELECT DISTINCT site_id, r, c FROM vx) i, range(1, 41) n(w) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.site_id = i.site_id AND s.r = i.r AND s.c = i.c AND s.w = n.w AND s.v IS NOT NULL)""",
 )
-def empty_windows_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def empty_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell of every site."""
     return raster.empty_windows(values(spark, sf_dir), "v", START, END, 40, ("site_id", "r", "c"))
 
@@ -322,26 +313,13 @@ def calibrate_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "support_radius",
     f"""WITH {FX}, {LONG}, {SEEDS}, x AS (SELECT l.*, greatest(abs(r - r0), abs(c - c0)) AS ring FROM lx l JOIN seeds USING (site_id) WHERE v IS NOT NULL),
-a AS (SELECT x.site_id, x.w, x.v, CAST(q.radius AS INT) AS radius FROM x, range(2, 9) q(radius) WHERE ring <= q.radius),
-m AS (SELECT site_id, w, radius, count(*) AS n, median(v) AS mu FROM a GROUP BY ALL),
-d AS (SELECT a.site_id, a.w, a.radius, any_value(m.n) AS n, 1.4826::DOUBLE * median(abs(a.v - m.mu)) AS disp FROM a JOIN m USING (site_id, w, radius) GROUP BY ALL),
-e AS (SELECT site_id, radius, max(1.166::DOUBLE * disp / sqrt(n)) AS se FROM d WHERE n >= 2 GROUP BY ALL)
-SELECT s.site_id, CAST(coalesce((SELECT min(radius) FROM e WHERE e.site_id = s.site_id AND se <= 0.03::DOUBLE), 8) AS INT) AS radius FROM seeds s""",
-)
-def support_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signature.support(features(spark, sf_dir), seeds(spark).withColumn("rmax", F.lit(8)), 0.03)
-
-
-@query(
-    "support_radius_grid",
-    f"""WITH {FX}, {LONG}, {SEEDS}, x AS (SELECT l.*, greatest(abs(r - r0), abs(c - c0)) AS ring FROM lx l JOIN seeds USING (site_id) WHERE v IS NOT NULL),
 a AS (SELECT x.site_id, x.w, x.v, CAST(q.radius AS INT) AS radius FROM x, range(2, 12) q(radius) WHERE ring <= q.radius),
 m AS (SELECT site_id, w, radius, count(*) AS n, median(v) AS mu FROM a GROUP BY ALL),
 d AS (SELECT a.site_id, a.w, a.radius, any_value(m.n) AS n, 1.4826::DOUBLE * median(abs(a.v - m.mu)) AS disp FROM a JOIN m USING (site_id, w, radius) GROUP BY ALL),
 e AS (SELECT site_id, radius, max(1.166::DOUBLE * disp / sqrt(n)) AS se FROM d WHERE n >= 2 GROUP BY ALL)
 SELECT s.site_id, CAST(coalesce((SELECT min(radius) FROM e WHERE e.site_id = s.site_id AND se <= 0.005::DOUBLE), rmax) AS INT) AS radius FROM seeds s""",
 )
-def support_radius_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def support_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid is the only bound; the noise floor is so low that sites reach it."""
     return signature.support(features(spark, sf_dir), seeds(spark), 0.005)
 
@@ -420,20 +398,22 @@ def fuse_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _METRICS = """CASE WHEN count(*) >= 4 THEN round(sqrt(avg((pred - obs) * (pred - obs))), 9) END AS rmse, CASE WHEN count(*) >= 4 THEN round(avg(abs(pred - obs)), 9) END AS mae, CASE WHEN count(*) >= 4 THEN round(avg(pred - obs), 9) + 0.0::DOUBLE END AS bias,
   CASE WHEN count(*) >= 4 AND stddev_pop(obs) > 1e-12 AND stddev_pop(pred) > 1e-12 THEN round(covar_pop(obs, pred) / (stddev_pop(obs) * stddev_pop(pred)), 6) + 0.0::DOUBLE END AS r"""
+_EVI2_OF = "(2.5 * ({n} - {d})) / nullif({n} + 2.4 * {d} + 1, 0)"
 LOO = f"""ld AS (SELECT site_id, scene_date, lag(scene_date) OVER w AS b, lead(scene_date) OVER w AS a FROM fd WINDOW w AS (PARTITION BY site_id ORDER BY scene_date)),
 ln AS (SELECT site_id, scene_date, CASE WHEN a IS NULL OR datediff('day', b, scene_date) <= datediff('day', scene_date, a) THEN b ELSE a END AS anchor FROM ld WHERE a IS NOT NULL OR b IS NOT NULL),
 lp AS (SELECT * FROM (SELECT fd.site_id, fd.scene_date, {_NEAR.format(a="fd", b="cd")} AS partner FROM fd JOIN cd USING (site_id) GROUP BY ALL) WHERE abs(datediff('day', scene_date, partner)) <= 1),
 lk AS MATERIALIZED (SELECT n.site_id, n.scene_date, n.anchor, x.partner AS now, y.partner AS thn FROM ln n JOIN lp x ON x.site_id = n.site_id AND x.scene_date = n.scene_date JOIN lp y ON y.site_id = n.site_id AND y.scene_date = n.anchor WHERE x.partner <> y.partner),
-l1 AS MATERIALIZED (SELECT k.*, o.r, o.c, o.nir AS obs FROM lk k JOIN fb o ON o.site_id = k.site_id AND o.scene_date = k.scene_date),
-l2 AS MATERIALIZED (SELECT l1.*, f.nir AS f_v FROM l1 JOIN fb f ON f.site_id = l1.site_id AND f.scene_date = l1.anchor AND f.r = l1.r AND f.c = l1.c),
-l3 AS MATERIALIZED (SELECT l2.*, p.nir AS p_v FROM l2 JOIN cb p ON p.site_id = l2.site_id AND p.scene_date = l2.thn AND p.r = l2.r AND p.c = l2.c),
-lj AS MATERIALIZED (SELECT l3.*, q.nir AS q_v FROM l3 JOIN cb q ON q.site_id = l3.site_id AND q.scene_date = l3.now AND q.r = l3.r AND q.c = l3.c),
-lm AS (SELECT *, max(abs(f_v - p_v)) OVER (PARTITION BY site_id, scene_date) AS m_v FROM lj), lo AS (SELECT *, {_delta_sql("v")} AS pred FROM lm)"""
+l1 AS MATERIALIZED (SELECT k.*, o.r, o.c, {_EVI2_OF.format(n="o.nir", d="o.red")} AS obs FROM lk k JOIN fb o ON o.site_id = k.site_id AND o.scene_date = k.scene_date),
+l2 AS MATERIALIZED (SELECT l1.*, f.nir AS f_nir, f.red AS f_red FROM l1 JOIN fb f ON f.site_id = l1.site_id AND f.scene_date = l1.anchor AND f.r = l1.r AND f.c = l1.c),
+l3 AS MATERIALIZED (SELECT l2.*, p.nir AS p_nir, p.red AS p_red FROM l2 JOIN cb p ON p.site_id = l2.site_id AND p.scene_date = l2.thn AND p.r = l2.r AND p.c = l2.c),
+lj AS MATERIALIZED (SELECT l3.*, q.nir AS q_nir, q.red AS q_red FROM l3 JOIN cb q ON q.site_id = l3.site_id AND q.scene_date = l3.now AND q.r = l3.r AND q.c = l3.c),
+lm AS (SELECT *, max(abs(f_nir - p_nir)) OVER w AS m_nir, max(abs(f_red - p_red)) OVER w AS m_red FROM lj WINDOW w AS (PARTITION BY site_id, scene_date)),
+le AS (SELECT *, {_delta_sql("nir")} AS e_nir, {_delta_sql("red")} AS e_red FROM lm), lo AS (SELECT *, {_EVI2_OF.format(n="e_nir", d="e_red")} AS pred FROM le)"""
 
 
 def left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine, coarse = blocks(spark, sf_dir)
-    return fusion.leave_one_out(fine, coarse, "nir")
+    return fusion.leave_one_out(fine, coarse, "EVI2")
 
 
 def _metrics(df: DataFrame) -> DataFrame:
@@ -544,18 +524,6 @@ def mask_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "polygon_support",
-    f"""WITH {FX}, {EDGES}, {RASTER}, g AS (SELECT DISTINCT site_id, r, c FROM rst WHERE poly_id < 5), er AS (SELECT a.site_id, a.r, a.c FROM g a JOIN g b ON a.site_id = b.site_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL HAVING count(*) = 9),
-lx AS (SELECT site_id, r, c, 1 AS w, w1 AS v FROM feat SEMI JOIN er USING (site_id, r, c) UNION ALL SELECT site_id, r, c, 2, w2 FROM feat SEMI JOIN er USING (site_id, r, c) UNION ALL SELECT site_id, r, c, 3, w3 FROM feat SEMI JOIN er USING (site_id, r, c)), {SIG}
-SELECT site_id, w, n, round(CASE WHEN n >= 2 THEN mu END, 9) AS mu, round(CASE WHEN n >= 2 THEN disp END, 9) AS disp FROM sg""",
-)
-def polygon_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = boundaries.rasterised(bridge.edges(spark, sf_dir).where("poly_id < 5"), SIZE)
-    inside = boundaries.eroded(cells.select("site_id", "r", "c"), ["site_id"])
-    return rounded(signature.signature(signature.long_windows(features(spark, sf_dir).join(inside, ["site_id", "r", "c"], "left_semi"))), "mu", "disp")
-
-
-@query(
-    "polygon_support_all",
     f"""WITH {FX}, {EDGES}, {RASTER}, er AS (SELECT a.site_id, a.poly_id, a.r, a.c FROM rst a JOIN rst b ON a.site_id = b.site_id AND a.poly_id = b.poly_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL HAVING count(*) = 9),
 ins AS (SELECT * FROM er UNION ALL SELECT site_id, poly_id, r, c FROM rst WHERE NOT EXISTS (SELECT 1 FROM er WHERE er.site_id = rst.site_id AND er.poly_id = rst.poly_id)),
 {LONG}, x AS (SELECT i.site_id, i.poly_id, l.w, l.v FROM lx l JOIN ins i USING (site_id, r, c) WHERE l.v IS NOT NULL),
@@ -563,7 +531,7 @@ m AS (SELECT site_id, poly_id, w, count(*) AS n, median(v) AS mu FROM x GROUP BY
 d AS (SELECT x.site_id, x.poly_id, x.w, any_value(m.n) AS n, any_value(m.mu) AS mu, 1.4826::DOUBLE * median(abs(x.v - m.mu)) AS disp FROM x JOIN m USING (site_id, poly_id, w) GROUP BY ALL)
 SELECT site_id, poly_id, w, n, round(CASE WHEN n >= 2 THEN mu END, 9) AS mu, round(CASE WHEN n >= 2 THEN disp END, 9) AS disp FROM d""",
 )
-def polygon_support_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def polygon_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every polygon with a signature of its own."""
     inside = boundaries.eroded(boundaries.rasterised(bridge.edges(spark, sf_dir), SIZE).select("site_id", "poly_id", "r", "c"), ["site_id", "poly_id"])
     own = long_values(spark, sf_dir).join(inside, ["site_id", "r", "c"])

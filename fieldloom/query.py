@@ -5,6 +5,7 @@ A ``FieldQuery`` holds lazy tables and settings; each step returns a new one and
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -30,12 +31,12 @@ class FieldQuery:
     source: str
     index_name: str
     params: Params = DEFAULTS
-    stages: tuple[str, ...] = ()
+    stages: tuple[delineate.Stage, ...] = ()
     prior: DataFrame | None = None
     fused: bool = False
 
     def __repr__(self) -> str:
-        return f"FieldQuery({self.source}, {self.index_name}, {self.start}..{self.end}, {self.rows}x{self.columns}, stages={' > '.join(self.stages) or 'none'})"
+        return f"FieldQuery({self.source}, {self.index_name}, {self.start}..{self.end}, {self.rows}x{self.columns}, stages={' > '.join(x.name for x in self.stages) or 'none'})"
 
     # -- detection ---------------------------------------------------------------------------------
     def windows(self) -> int:
@@ -64,13 +65,22 @@ class FieldQuery:
         if self.prior is not None:
             inside = boundaries.eroded(self.prior.select(*cell), ["site_id"])
             block = block.join(self.prior.select("site_id").distinct(), "site_id", "left_anti").unionByName(features.join(inside, cell, "left_semi"))
-        low, high = self.params.area_threshold
-        return signature.calibrated(signature.long_windows(block, self.windows()), self.params.search_index, self.params.strictness, low=low, high=high)
+        fill = self._fill()
+        low, high = fill.area_threshold
+        return signature.calibrated(signature.long_windows(block, self.windows()), self.params.search_index, fill.strictness, low=low, high=high)
 
-    def _staged(self, stage: str, given: Params | dict | None, inline: dict[str, Any]) -> FieldQuery:
-        if stage in ("split", "interior") and not {"area", "boundary"} & set(self.stages):
+    def _has_mask(self) -> bool:
+        return any(x.name in ("area", "boundary") for x in self.stages)
+
+    def _staged(self, stage: str, given: Params | dict | None, inline: dict[str, Any], cleanups: int = 2) -> FieldQuery:
+        """What a call sets holds for its own stage."""
+        if stage in ("split", "interior") and not self._has_mask():
             raise ValueError(f"{stage} needs an area first")
-        return replace(self, params=resolved(self.params, given, inline), stages=(*self.stages, stage))
+        return replace(self, stages=(*self.stages, delineate.Stage(stage, resolved(self.params, given, inline), cleanups)))
+
+    def _fill(self) -> Params:
+        """The settings of the stage that fills; windows, calibration and areas follow them."""
+        return next((x.params for x in self.stages if x.name in ("area", "boundary")), self.params)
 
     def trace_perimeter(self, params: Params | dict | None = None, perimeter_margins: Any = UNSET, trace_iter: Any = UNSET) -> FieldQuery:
         return self._staged("trace", params, {"perimeter_margins": perimeter_margins, "trace_iter": trace_iter})
@@ -84,14 +94,14 @@ class FieldQuery:
     def segment_interior(self, params: Params | dict | None = None, **inline: Any) -> FieldQuery:
         return self._staged("interior", params, inline)
 
-    def boundary_delineation(self, params: Params | dict | None = None, **inline: Any) -> FieldQuery:
-        """The fixed sequence; vi_sensitivity and vi_threshold set all of their kind that aren't given."""
+    def boundary_delineation(self, params: Params | dict | None = None, cleanup_boundary: int = 2, **inline: Any) -> FieldQuery:
+        """The fixed sequence with ``cleanup_boundary`` (0 to 5) middle pairs; vi_sensitivity and vi_threshold set all of their kind that aren't given."""
         every = {"vi_sensitivity": ("area_sensitivity", "interior_sensitivity", "split_sensitivity"), "vi_threshold": ("area_threshold", "interior_threshold")}
         for name, own in every.items():
             if name in inline:
                 value = inline.pop(name)
                 inline = {k: value for k in own} | inline
-        return self._staged("boundary", params, inline)
+        return self._staged("boundary", params, inline, cleanup_boundary)
 
     def add_prior(self, cells: DataFrame) -> FieldQuery:
         """cells: (site_id, r, c, strength) of a boundary polygon (boundaries.prior)."""
@@ -113,14 +123,17 @@ class FieldQuery:
 
     def mask(self) -> DataFrame | None:
         """Mask cells, or None before any delineation."""
-        if not {"area", "boundary"} & set(self.stages):
+        if not self._has_mask():
             return None
-        return delineate.delineated(self.features(), self.seeds, self.rows, self.columns, self.params, self.stages, self.windows(), self.calibration(), self.prior)
+        return delineate.delineated(self.features(), self.seeds, self.rows, self.columns, self._fill(), self.stages, self.windows(), self.calibration(), self.prior)
 
     # -- fusion ------------------------------------------------------------------------------------
     def add_coarse(self, coarse: DataFrame) -> FieldQuery:
         """Estimated scenes on coarse dates without a fine date near; nothing for unsupported indices, fine 10 m scenes or a fused query."""
-        if self.fused or self.source == "sentinel-2" or self.index_name in indices.unsupported_by_fusion():
+        if self.fused or self.source == "sentinel-2":
+            return self
+        if self.index_name in indices.unsupported_by_fusion():
+            warnings.warn(f"{self.index_name} has no coarse counterpart; nothing is added", stacklevel=2)
             return self
         bands = indices.needed_bands(self.index_name)
         cell = ["site_id", "scene_date", "r", "c"]
@@ -133,15 +146,23 @@ class FieldQuery:
         both = observed.unionByName(made.select(*cell, *bands, F.lit(True).alias("is_fused"), "anchor_days", "residual", "anchor_value"))
         return replace(self, scenes=both, fused=True)
 
-    def validate_fusion(self, coarse: DataFrame, by: str = "scene", min_valid_n: int = 4) -> DataFrame:
-        """Leave-one-out agreement by scene or pixel, or the daily series with each scene's agreement beside it."""
+    def validate_fusion(self, coarse: DataFrame, by: str = "scene", min_valid_n: int = 4) -> DataFrame | None:
+        """Leave-one-out agreement by scene or pixel, or the daily series with each scene's agreement beside it; None for an index
+        that can't be fused."""
         if by not in ("scene", "pixel", "series"):
             raise ValueError("by is scene, pixel or series")
+        if not isinstance(min_valid_n, int) or isinstance(min_valid_n, bool) or min_valid_n < 1:
+            raise ValueError("min_valid_n is a positive whole number")
+        if self.source not in ("landsat-8", "landsat-5"):
+            raise ValueError(f"validation needs Landsat scenes, not {self.source}")
+        if self.index_name in indices.unsupported_by_fusion():
+            warnings.warn(f"{self.index_name} has no coarse counterpart; nothing is validated", stacklevel=2)
+            return None
         if by == "series":
             found = self.validate_fusion(coarse, "scene", min_valid_n).withColumn("date", F.date_format("scene_date", "yyyy-MM-dd")).drop("scene_date")
             return self.as_time_series().join(found, ["site_id", "date"], "left")
-        own, far = (indices.with_index(x, self.index_name, "v") for x in (self.scenes, coarse))
-        pairs = fusion.leave_one_out(own, far, "v")
+        fine = self.scenes.where(~F.col("is_fused")) if self.fused else self.scenes  # estimates are no observations
+        pairs = fusion.leave_one_out(fine, coarse, self.index_name)
         return fusion.agreement(pairs, ["site_id", "scene_date"], min_valid_n, "n_pixels") if by == "scene" else fusion.agreement(pairs, ["site_id", "r", "c"], min_valid_n, "n_scenes")
 
     # -- output ------------------------------------------------------------------------------------

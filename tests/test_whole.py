@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 def test_every_polygon_has_a_support(spark, sf_dir):
     polygons = {r.poly_id for r in bridge.edges(spark, sf_dir).select("poly_id").distinct().collect()}
-    got = {r.poly_id for r in registry.QUERIES["polygon_support_all"](spark, sf_dir).collect()}
+    got = {r.poly_id for r in registry.QUERIES["polygon_support"](spark, sf_dir).collect()}
     assert len(polygons) == 25 and got == polygons
 
 
 def test_empty_windows_of_all_cells(spark, sf_dir):
-    cells = registry.QUERIES["empty_windows_grid"](spark, sf_dir).select("site_id", "r", "c").distinct()
+    cells = registry.QUERIES["empty_windows"](spark, sf_dir).select("site_id", "r", "c").distinct()
     whole = bridge.pixels(spark, sf_dir).select("site_id", "r", "c").distinct()
     assert cells.count() == whole.count() > 1000
     # a site has a value in its first window by one cell alone, and none in the last
