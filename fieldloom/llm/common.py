@@ -223,18 +223,14 @@ def bit_table(keys: DataFrame, bits: int = MARK_BITS) -> np.ndarray:
     return marks
 
 
-SALTS = 8
-
-
 def spread_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner equi-join in which a key of ``left`` goes to ``SALTS`` tasks, for keys that many rows of ``left`` may share.
+    """Inner equi-join on columns without nulls that lets AQE split a key which many rows of ``left`` share.
 
-    ``right`` has few rows for a key; they are repeated ``SALTS`` times.  The salt also keeps an aggregated ``right`` from
-    lending its partitioning, so the exchanges stand right below the join, where AQE can split what is still skewed.
+    An aggregated ``right`` would lend its partitioning to the join, and the join then couldn't be split; a second key,
+    fixed by the first, asks both sides for exchanges of their own right below the join.
     """
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+    fresh = lambda x: x.withColumn("_fresh", F.xxhash64(*on))
+    return fresh(left).join(fresh(right), [*on, "_fresh"]).drop("_fresh")
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

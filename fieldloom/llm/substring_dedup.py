@@ -18,7 +18,7 @@ then the smallest name, then the leftmost, as its anchor, so equal windows pick
 3. The spans found are joined to their documents.
 
 Only anchors are counted (about one in nine words) and only repeating ones exchanged.  Counts are aggregated before the
-exchange, and joins on what may be hot (a common key, a common window) are spread over tasks.  Windows are judged on
+exchange, and AQE can split the joins on what may be hot (a common key, a common window).  Windows are judged on
 the input.
 
 Defined results: null texts are empty; documents of under ``window`` words lose nothing; rows that repeat (doc_id and
