@@ -80,3 +80,45 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
         y = y + F.lit(a) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     k = 0.9996 * rectifying
     return F.lit(500000.0) + F.lit(k) * x, F.when(epsg >= 32700, F.lit(1e7)).otherwise(0.0) + F.lit(k) * y
+
+
+def lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of UTM coordinates (Krueger's inverse series), or of geographic ones (4326) unchanged."""
+    n = FLATTENING / (2 - FLATTENING)
+    rectifying = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    k = 0.9996 * rectifying
+    xi, eta = (y - F.when(epsg >= 32700, F.lit(1e7)).otherwise(0.0)) / F.lit(k), (x - F.lit(500000.0)) / F.lit(k)
+    a, b = xi, eta
+    for j, c in enumerate(beta, 1):
+        a = a - F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        b = b - F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + F.lit(c) * F.sin(2 * j * chi)
+    lon = (epsg % 100) * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a)))
+    plain = epsg == 4326
+    return F.when(plain, x).otherwise(lon), F.when(plain, y).otherwise(F.degrees(lat))
+
+
+def from_lonlat(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    """Coordinates in a UTM zone, or geographic ones (4326)."""
+    x, y = utm(lon, lat, epsg)
+    plain = epsg == 4326
+    return F.when(plain, lon).otherwise(x), F.when(plain, lat).otherwise(y)
+
+
+def parallel_area(lat: Column) -> Column:
+    """Square metres of the ellipsoid between the equator and a parallel, for one radian of longitude."""
+    e, s = math.sqrt(E2), F.sin(F.radians(lat))
+    return F.lit(A * A * (1 - E2) / 2) * (s / (1 - F.lit(E2) * s * s) + F.atanh(F.lit(e) * s) / F.lit(e))
+
+
+def padded(box: Column, degrees: float = 5000 / 111320) -> Column:
+    """A box (xmin, ymin, xmax, ymax) wider by so many degrees on each side, clamped to the world."""
+    return F.struct(
+        F.greatest(box["xmin"] - degrees, F.lit(-180.0)).alias("xmin"), F.greatest(box["ymin"] - degrees, F.lit(-90.0)).alias("ymin"),
+        F.least(box["xmax"] + degrees, F.lit(180.0)).alias("xmax"), F.least(box["ymax"] + degrees, F.lit(90.0)).alias("ymax"),
+    )

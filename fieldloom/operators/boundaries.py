@@ -6,6 +6,7 @@ crosses an odd number of edges; boxes prune the join.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ def rasterised(edges: DataFrame, size: int) -> DataFrame:
 def selected(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(site_id, poly_id): the smallest polygon of the site that holds its point (x, y)."""
     near = points.join(edges, "site_id").where(F.col("x").isNotNull())
-    hits = near.groupBy("site_id", "poly_id").agg(F.sum(_crosses(F.col("x"), F.col("y"))).alias("_n")).where("_n % 2 = 1")
-    sized = hits.join(areas(edges), "poly_id")
+    area = F.abs(F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))) / 2
+    sized = near.groupBy("site_id", "poly_id").agg(F.sum(_crosses(F.col("x"), F.col("y"))).alias("_n"), area.alias("area")).where("_n % 2 = 1")
     best = Window.partitionBy("site_id").orderBy("area", "poly_id")
     return sized.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("site_id", "poly_id")
 
@@ -94,3 +95,118 @@ def prior(points: DataFrame, edges: DataFrame, size: int, scene_year: int, erode
         cells = eroded(cells, ["site_id", "poly_id"], erode)
     years = edges.groupBy("poly_id").agg(F.max("source_year").alias("_year"))
     return cells.join(years, "poly_id").select("site_id", "r", "c", prior_strength(F.lit(scene_year), F.col("_year")).alias("strength"))
+
+
+def touched(edges: DataFrame, size: int) -> DataFrame:
+    """(site_id, poly_id, r, c) of cells that a polygon touches: those whose centre is inside and those that an edge crosses.
+
+    An edge is spread over the rows it spans, and in each over the columns between where it enters and leaves.  A border
+    that only runs along a cell's side doesn't touch the cell.
+    """
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    last = F.greatest(F.ceil(high).cast("int"), F.floor(low).cast("int") + 1)
+    rows = edges.withColumn("r", F.explode(F.sequence(F.floor(low).cast("int") + 1, last)))
+    # x where the edge enters and leaves the row's band
+    at = lambda y: F.when(F.col("y1") == F.col("y2"), F.col("x1")).otherwise(F.col("x1") + (y - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
+    level = F.col("y1") == F.col("y2")
+    a = F.when(level, F.col("x1")).otherwise(at(F.greatest(low, (F.col("r") - 1).cast("double"))))
+    b = F.when(level, F.col("x2")).otherwise(at(F.least(high, F.col("r").cast("double"))))
+    spans = rows.withColumns({"_x1": F.least(a, b), "_x2": F.greatest(a, b)})
+    # along a side of cells: neither row (column) is entered
+    spans = spans.where(~(level & (F.col("y1") == F.floor("y1"))) & ~((F.col("x1") == F.col("x2")) & (F.col("x1") == F.floor("x1"))))
+    first, final = F.greatest(F.lit(1), F.floor("_x1").cast("int") + 1), F.least(F.lit(size), F.greatest(F.ceil("_x2").cast("int"), F.floor("_x1").cast("int") + 1))
+    hit = spans.withColumns({"_a": first, "_b": final}).where((F.col("_a") <= F.col("_b")) & F.col("r").between(1, size)).select("site_id", "poly_id", "r", F.explode(F.sequence("_a", "_b")).alias("c"))
+    return rasterised(edges, size).unionByName(hit).distinct()
+
+
+def dissolved(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """The border of all areas of ``keys`` together: borders between areas vanish."""
+    return outlines(cells.select(*keys, "r", "c").distinct(), keys)
+
+
+def measured(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, area, length) of outlines, by the shoelace sum."""
+    twice = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+    length = F.sum(F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)))
+    return edges.groupBy(*keys).agg((F.abs(twice) / 2).cast("double").alias("area"), length.alias("length"))
+
+
+def shrunk(edges: DataFrame, size: int, distance: float) -> DataFrame:
+    """(site_id, poly_id, r, c) of cells whose centre is inside and at least ``distance`` from every edge (a negative buffer).
+
+    A cell meets only the edges of its own polygon.
+    """
+    cells = rasterised(edges, size)
+    own = cells.join(edges.select("site_id", "poly_id", "x1", "y1", "x2", "y2"), ["site_id", "poly_id"])
+    x, y = F.col("c") - 0.5, F.col("r") - 0.5
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    along = F.coalesce(F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    away = F.pow(x - F.col("x1") - t * dx, 2) + F.pow(y - F.col("y1") - t * dy, 2)
+    near = own.groupBy("site_id", "poly_id", "r", "c").agg(F.min(away).alias("_d"))
+    return near.where(F.col("_d") >= distance * distance).drop("_d")
+
+
+def of_points(points: DataFrame, edges: DataFrame, size: float = 8.0) -> DataFrame:
+    """``edges`` with site_id: the polygons whose box holds a site's point (site_id, x, y).
+
+    Polygons are dealt to the squares of ``size`` that their boxes touch and a point to the one it lies in, so the join has
+    an equality and no pair outside a square is made.
+    """
+    boxes = areas(edges).select("poly_id", "xmin", "xmax", "ymin", "ymax")
+    square = lambda v: F.floor(v / size).cast("int")
+    dealt = boxes.withColumn("_tx", F.explode(F.sequence(square(F.col("xmin")), square(F.col("xmax"))))).withColumn("_ty", F.explode(F.sequence(square(F.col("ymin")), square(F.col("ymax")))))
+    placed = points.where("x is not null and y is not null").withColumns({"_tx": square(F.col("x")), "_ty": square(F.col("y"))})
+    near = placed.join(dealt, ["_tx", "_ty"]).where(F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax")))
+    return edges.drop("site_id").join(near.select("site_id", "poly_id"), "poly_id")
+
+
+def ring_texts(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ring, wkt): closed rings of outlines made by ``outlines``, as POLYGON text, each from its lowest corner on.
+
+    A group's edges are one area's border; they are chained in one call for each group.  Where four edges meet, the ring
+    turns left, so areas that touch by a corner keep rings of their own.
+    """
+    kinds = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in keys)
+
+    def chained(own: pd.DataFrame) -> pd.DataFrame:
+        leaving: dict[tuple, list[tuple]] = {}
+        for e in own[["x1", "y1", "x2", "y2"]].itertuples(index=False):
+            leaving.setdefault((e.x1, e.y1), []).append((e.x2, e.y2))
+        rings = []
+        for start in sorted(leaving, key=lambda p: (p[1], p[0])):
+            while leaving.get(start):
+                ring, at, way = [start], start, None
+                while True:
+                    options = leaving[at]
+                    if way is None or len(options) == 1:
+                        to = options.pop()
+                    else:
+                        turn = lambda p: (way[0] * (p[1] - at[1]) - way[1] * (p[0] - at[0]))  # noqa: B023, E731
+                        to = max(options, key=turn)
+                        options.remove(to)
+                    step = (to[0] - at[0], to[1] - at[1])
+                    if step == way:
+                        ring[-1] = to
+                    else:
+                        ring.append(to)
+                    at, way = to, step
+                    if at == start:
+                        break
+                rings.append("POLYGON ((" + ", ".join(f"{x:g} {y:g}" for x, y in ring) + "))")
+        out = pd.DataFrame({"ring": range(1, len(rings) + 1), "wkt": rings})
+        for i, k in enumerate(keys):
+            out.insert(i, k, [own[k].iloc[0]] * len(out))
+        return out
+
+    return edges.groupBy(*keys).applyInPandas(chained, f"{kinds}, ring int, wkt string")
+
+
+def check_mask(mask: DataFrame) -> DataFrame:
+    """A mask of cells that an output may use; an error for one without the columns of cells or without cells."""
+    missing = [c for c in ("site_id", "r", "c") if c not in mask.columns]
+    if missing:
+        raise ValueError(f"a mask needs the columns {', '.join(missing)}")
+    if mask.isEmpty():
+        raise ValueError("the mask is empty")
+    return mask

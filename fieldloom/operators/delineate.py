@@ -54,12 +54,14 @@ def _cube(group, windows: int, rows: int, columns: int) -> np.ndarray:
 def delineated(features: DataFrame, seeds: DataFrame, rows: int, columns: int, params: Params = DEFAULTS, stages: tuple[Stage | str, ...] = ("boundary",), windows: int = 3, calibration: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
     """Mask cells (site_id, r, c, area_num, decided) after the stages, each under its own settings or ``params``.
 
-    features: (site_id, r, c, w1..); seeds: (site_id, r0, c0); calibration: (site_id, w, mu, tol, valid) of valid windows;
+    features: (site_id, r, c, w1..); seeds: (site_id, r0, c0), with nrow and ncol where sites have grids of their own sizes
+    (``rows`` and ``columns`` count for none then); calibration: (site_id, w, mu, tol, valid) of valid windows;
     prior: (site_id, r, c, strength) of a polygon's cells.  A site without a mask gives no rows.
     """
     stages = tuple(Stage(x) if isinstance(x, str) else x for x in stages)
     kind = features.schema["site_id"].dataType.simpleString()
-    own = features.join(seeds.select("site_id", "r0", "c0"), "site_id")
+    sized = {"nrow", "ncol"} <= set(seeds.columns)
+    own = features.join(seeds.select("site_id", "r0", "c0", *(("nrow", "ncol") if sized else ())), "site_id")
     if calibration is not None:
         usable = calibration.where("valid").groupBy("site_id").agg(F.map_from_entries(F.collect_list(F.struct("w", F.struct("mu", "tol")))).alias("_cal"))
         own = own.join(usable, "site_id", "left")
@@ -73,7 +75,7 @@ def delineated(features: DataFrame, seeds: DataFrame, rows: int, columns: int, p
     def run(group):
         import pandas as pd
 
-        cube = _cube(group, windows, rows, columns)
+        cube = _cube(group, windows, *((int(group["nrow"].iloc[0]), int(group["ncol"].iloc[0])) if sized else (rows, columns)))
         seed = (int(group["r0"].iloc[0]) - 1, int(group["c0"].iloc[0]) - 1)
         mu = tol = polygon = None
         strength = 0.0

@@ -36,6 +36,12 @@ def series(pixels: DataFrame, value: str, every: str = "daily", how: str = "mean
     return scenes.groupBy("site_id", bucket(F.col("scene_date"), every).alias("date")).agg(REDUCERS[how]("value").alias("value"))
 
 
+def rolled_up(pixels: DataFrame, value: str, how: str = "mean") -> DataFrame:
+    """(site_id, year, month, value, n): scene values by month, year, site and in all, NULLs marking totals; one pass."""
+    scenes = scene_values(pixels, value, how).select("site_id", F.year("scene_date").alias("year"), F.month("scene_date").alias("month"), "value")
+    return scenes.rollup("site_id", "year", "month").agg(REDUCERS[how]("value").alias("value"), F.count(F.lit(1)).alias("n"))
+
+
 def area_series(pixels: DataFrame, mask: DataFrame, value: str, areas: list[int], every: str = "daily", how: str = "mean") -> DataFrame:
     """(site_id, date, area_1.., union): one pass; a cell counts in its area and in the union."""
     flags = mask.groupBy("site_id", "r", "c").agg(*(F.max(F.col("area_num") == a).alias(f"_{a}") for a in areas))

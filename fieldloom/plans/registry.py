@@ -677,3 +677,6 @@ def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly series of the mean vegetation index of each site."""
     return QUERIES["series_monthly"](spark, sf_dir)
+
+
+from . import registry_more  # noqa: E402, F401  the rest of the queries register themselves

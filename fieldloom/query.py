@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass, replace
+from datetime import date
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import indices
-from .operators import boundaries, catalogue, delineate, fusion, raster, series, signature
+from .functions import geo, indices
+from .operators import boundaries, catalogue, delineate, fusion, georef, raster, retrieval, series, signature
 from .plans.params import DEFAULTS, UNSET, Params, iso_date, resolved
 
 
@@ -40,8 +41,6 @@ class FieldQuery:
 
     # -- detection ---------------------------------------------------------------------------------
     def windows(self) -> int:
-        from datetime import date
-
         first, last = (date.fromisoformat(x) for x in (self.params.search_start_date or self.start, self.params.search_end_date or self.end))
         return raster.window_count((last - first).days, 10 if self.source == "sentinel-2" else 30)
 
@@ -189,16 +188,19 @@ class FieldQuery:
         return series.series(own, "v", every, how)
 
 
-def retrieve(scenes: DataFrame, seeds: DataFrame, rows: int, columns: int, start: str, end: str, index_name: str = "EVI2", source: str = "auto", params: Params = DEFAULTS) -> FieldQuery:
-    """A query over pixel rows (site_id, scene_date, r, c, bands).  All arguments are checked before any plan is built."""
+def _period(start: str, end: str, source: str) -> tuple[str, str, str]:
+    """Both ends of a period of two days at least, and the sensor that has it."""
     first, last = iso_date(start, "start"), iso_date(end, "end")
     if first is None or last is None:
         raise ValueError("start and end are needed")
-    from datetime import date
-
     if (date.fromisoformat(last) - date.fromisoformat(first)).days < 2:
         raise ValueError("the period needs two days at least")
-    source = catalogue.check_source(source, first)
+    return first, last, catalogue.check_source(source, first)
+
+
+def retrieve(scenes: DataFrame, seeds: DataFrame, rows: int, columns: int, start: str, end: str, index_name: str = "EVI2", source: str = "auto", params: Params = DEFAULTS) -> FieldQuery:
+    """A query over pixel rows (site_id, scene_date, r, c, bands).  All arguments are checked before any plan is built."""
+    first, last, source = _period(start, end, source)
     if index_name not in indices.supported(source):
         raise ValueError(f"{source} has no {index_name}")
     own = scenes.where(F.col("scene_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
@@ -206,5 +208,31 @@ def retrieve(scenes: DataFrame, seeds: DataFrame, rows: int, columns: int, start
     return FieldQuery(own, detection, seeds, rows, columns, first, last, source, index_name, params)
 
 
+def get_scenes(
+    sites: DataFrame, items: DataFrame, pixels: DataFrame, grids: DataFrame, start: str, end: str, index_name: str = "EVI2", source: str = "auto", params: Params = DEFAULTS,
+    max_cloud: float | None = 50, mask: list[int] | None = None, x_metres: float = 1000, y_metres: float | None = None,
+) -> FieldQuery:
+    """A query over the scenes of sites (site_id, longitude, latitude): search, reading, cleaning and mosaics (operators/retrieval.py),
+    seed cells and their limits from the sites' grids.  All arguments are checked before any plan is built.
+
+    A site whose point lies outside its grid is an error when the query runs.
+    """
+    first, last, source = _period(start, end, source)
+    for name in (index_name, params.search_index):
+        if name not in indices.supported(source):
+            raise ValueError(f"{source} has no {name}")
+    for metres in (x_metres, y_metres):
+        if metres is not None and not 0 < metres < float("inf"):
+            raise ValueError("a box needs a positive width and height in metres")
+    if max_cloud is not None and not 0 <= max_cloud <= 100:
+        raise ValueError("max_cloud is a share from 0 to 100")
+    scenes = retrieval.scenes(sites, items, pixels, source, first, last, (index_name, params.search_index), max_cloud, mask, params.s2_processing, x_metres, y_metres)
+    placed = sites.join(grids.select("site_id", "epsg"), "site_id")
+    x, y = geo.from_lonlat(F.col("longitude"), F.col("latitude"), F.col("epsg"))
+    seeds = georef.checked_seeds(georef.seeds(placed.select("site_id", x.alias("x"), y.alias("y")), grids)).join(grids.select("site_id", "nrow", "ncol"), "site_id")
+    detection = indices.with_index(scenes, params.search_index, "v")
+    return FieldQuery(scenes, detection, seeds, 0, 0, first, last, source, index_name, params)
+
+
 def is_query(x: object) -> bool:
     return isinstance(x, FieldQuery)

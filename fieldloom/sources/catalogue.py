@@ -29,6 +29,24 @@ def catalogue(spark: SparkSession, path: str, source: str, start: str, end: str,
     return ops.items(items, start, end, None if source == "mcd43a4" else max_cloud, own.platforms, box)
 
 
+#: What is read of an item's JSON text.
+ITEM_JSON = "id string, collection string, bbox array<double>, properties struct<datetime:string,start_datetime:string,platform:string,`eo:cloud_cover`:double,`s2:mgrs_tile`:string,`sat:relative_orbit`:int,`s2:processing_baseline`:string,`s2:generation_time`:string>, assets map<string,struct<href:string>>"
+
+
+def items_from_json(texts: DataFrame, column: str = "text") -> DataFrame:
+    """Catalogue rows from items as JSON text; a text that can't be read goes."""
+    from pyspark.sql import functions as F
+
+    own = texts.select(F.from_json(column, ITEM_JSON).alias("i")).where("i.id is not null")
+    p = "i.properties"
+    return own.select(
+        F.col("i.id").alias("item_id"), F.col("i.collection").alias("collection"), F.col(f"{p}.platform").alias("platform"), F.col(f"{p}.datetime").alias("datetime"), F.col(f"{p}.start_datetime").alias("start_datetime"),
+        F.col(f"{p}.`eo:cloud_cover`").alias("cloud"), *(F.get("i.bbox", F.lit(k)).alias(n) for k, n in enumerate(("xmin", "ymin", "xmax", "ymax"))),
+        F.col(f"{p}.`s2:mgrs_tile`").alias("mgrs_tile"), F.col(f"{p}.`sat:relative_orbit`").alias("relative_orbit"), F.col(f"{p}.`s2:processing_baseline`").alias("baseline"), F.col(f"{p}.`s2:generation_time`").alias("generation"),
+        F.transform_values("i.assets", lambda k, v: v["href"]).alias("assets"),
+    )
+
+
 class _Slice(InputPartition):
     def __init__(self, start: str, end: str):
         self.start, self.end = start, end
