@@ -160,6 +160,12 @@ class RunningHash:
         np.cumsum(names * powers(_BASE, n), out=self.sums[1:])
         self.inverse = powers(_INVERSE, n + 1)
 
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of every ``width`` consecutive names, not mixed: their leading bits are good enough to choose by."""
+        raw = self.sums[width:] - self.sums[:-width]
+        raw *= self.inverse[: len(raw)]
+        return raw
+
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))

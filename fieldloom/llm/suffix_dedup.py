@@ -8,19 +8,23 @@ form a stretch.  Equal strings pick equal keys, so stretches are dealt to shards
 1. Keys are counted (a 32-bit name each).  Those seen twice are marked in a bit table of fixed size (8 MB), which is
    broadcast; a false mark only lets a stretch take part for nothing, a full table lets all take part.
 2. Stretches with marked keys are sorted by (key, content, document, place) and read as a stream: a stretch whose
-   whole content occurred earlier goes whole; equal stretches so share one suffix tuple.  Keys with several contents are
-   marked in a second table.  Blocks settle copies among their own documents before the exchange.
-3. The bytes of stretches with such keys go to their shard, one for each content.  A shard writes them to disk as
-   terminated strings and sorts all suffixes by external induced sorting (induced.py); neighbours with a common
-   prefix of ``length`` or more form groups, and all of a group but the earliest go.  A shard's memory grows
-   with its size, by about 160 bytes a symbol (README); shards are made about ``SHARD_BYTES``, but one key's are not cut.
-4. Spans join their documents.
+   whole content occurred earlier goes whole; equal stretches so share one suffix tuple.  Blocks settle copies among
+   their own documents before the exchange.
+3. Strings of one key that are equal agree on at least two thirds of their bytes around the key, those on its left or
+   those on its right: a stretch has two sides, each with the name of what all its strings hold.  Sides whose name
+   belongs to several contents are marked in a second table.
+4. The bytes of marked sides go to their shard, one for each content; a side's name decides the shard.  There are at
+   most ``SHARDS`` shards for a core, so a shard grows with the input.  It writes its strings to disk, terminated, and
+   sorts all suffixes by external induced sorting (induced.py) in memory that doesn't grow with it; neighbours with a
+   common prefix of ``length`` or more form groups, which are read as a stream, and all of a group but the earliest go.
+   In memory a shard keeps the place and document of each string, about two bytes for a byte of text at most.
+5. Spans join their documents.
 
 Strings are judged on the input, not on what is left.
 
 Defined results: null texts are empty; documents of under ``length`` bytes lose nothing; rows of equal doc_id are
 documents in the order of a hash of their text, rows that also share the text are one document; a null doc_id comes
-after all others.
+after all others; a document of 2**30 bytes or more raises ValueError.
 """
 
 from __future__ import annotations
@@ -35,49 +39,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BYTE_NAME, RunningHash, bit_table, blocks, bytes_of, marked, mix, private, read_table, sliding_min, text_or_empty, written
-from .induced import Sorter
+from .induced import DiskQueue, Sorter, Vector
 
 LENGTH = 100
 REACH = 32
 POSITION_BITS = 30
-SHARD_BYTES = 1 << 20
-
-
-def stretches(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Row, key, content name, first and last start (in the block) of every stretch of a block."""
-    reach = max(1, length * REACH // LENGTH)
-    n = len(data)
-    if n >= 1 << POSITION_BITS:
-        raise ValueError(f"a document has more than {1 << POSITION_BITS} bytes")
-    valid = np.zeros(n + 1, np.int32)
-    low, high = offsets[:-1], offsets[1:] - length + 1
-    has = high > low
-    np.add.at(valid, low[has], 1)
-    np.add.at(valid, high[has], -1)
-    at = np.flatnonzero(np.cumsum(valid[:-1]))
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    content = RunningHash(BYTE_NAME[data])
-    starts = np.arange(n - reach + 1)
-    score = content.slices(starts, starts + reach)
-    score = (score >> np.uint64(POSITION_BITS) << np.uint64(POSITION_BITS)) | starts.astype(np.uint64)
-    best = sliding_min(score, length - reach + 1)[at]
-    new = np.ones(len(at), bool)
-    new[1:] = best[1:] != best[:-1]
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(at)) - 1
-    anchor = (best[head] & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
-    a, b = at[head], at[tail]
-    key = mix(content.slices(anchor, anchor + reach))
-    whole = mix(content.slices(a, b + length) + (anchor - a).astype(np.uint64))
-    return np.searchsorted(offsets, a, "right") - 1, key, whole, a, b
+SHARD_BYTES = 3 << 17
+SHARDS = 64
+SORT_LIMIT = 1 << 19
+
+
+class Stretches:
+    """The stretches of a block: row, key, content name, first and last start and place of the key (in the block)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
+        self.length, self.reach = length, max(1, length * REACH // LENGTH)
+        n = len(data)
+        if n >= 1 << POSITION_BITS:
+            raise ValueError(f"a document has more than {1 << POSITION_BITS} bytes")
+        self.content = RunningHash(BYTE_NAME[data])
+        place = np.uint64((1 << POSITION_BITS) - 1)
+        score = self.content.every(self.reach) if n >= length else np.zeros(0, np.uint64)
+        score &= ~place
+        score |= np.arange(len(score), dtype=np.uint64)
+        best = sliding_min(score, length - self.reach + 1)[: max(0, n - length + 1)]
+        # a stretch begins where the choice or the document changes; starts whose string leaves its document are left out
+        new = np.ones(len(best), bool)
+        new[1:] = best[1:] != best[:-1]
+        first, last = offsets[:-1], offsets[1:] - length
+        own = last >= first
+        new[first[own]] = True
+        stops = last[own] + 1
+        new[stops[stops < len(new)]] = True
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(best)) - 1 if len(head) else head
+        self.row = np.searchsorted(offsets, head, "right") - 1
+        inside = head <= offsets[1:][self.row] - length
+        head, tail, self.row = head[inside], tail[inside], self.row[inside]
+        self.a, self.b = head, tail
+        self.anchor = (best[head] & place).astype(np.int64)
+        self.key = mix(self.content.slices(self.anchor, self.anchor + self.reach))
+
+    def only(self, own: np.ndarray) -> Stretches:
+        """Those of a selection, with the names of their contents."""
+        self.row, self.key, self.a, self.b, self.anchor = (x[own] for x in (self.row, self.key, self.a, self.b, self.anchor))
+        self.whole = mix(self.content.slices(self.a, self.b + self.length) + (self.anchor - self.a).astype(np.uint64))
+        return self
+
+    def sides(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For the strings with much on the key's left and for the others: whether there are any, their name, first and last start."""
+        cut = self.anchor - -(-(self.length - self.reach) // 2)
+        left, right = (self.a, np.minimum(self.b, cut)), (np.maximum(self.a, cut + 1), self.b)
+        # left: from the last start to the key's end; right: from the key to the first string's end
+        held = ((cut, self.anchor + self.reach), (self.anchor, cut + 1 + self.length))
+        out = []
+        for k, ((low, high), (x, y)) in enumerate(zip((left, right), held, strict=True)):
+            some = low <= high
+            out.append((some, mix(self.content.slices(np.where(some, x, 0), np.where(some, y, 0)) + np.uint64(k)), low, high))
+        return out
 
 
 def _names(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            _, key, _, _, _ = stretches(*bytes_of(batch.column(2)), length)
+            key = Stretches(*bytes_of(batch.column(2)), length).key
             names, n = np.unique((key >> np.uint64(32)).astype(np.int64), return_counts=True)
             yield pa.record_batch({"name": names, "n": np.minimum(n, 2).astype(np.int64)})
 
@@ -91,24 +116,32 @@ def _ranked(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([distinct[x] for x in rows], np.int64)
 
 
+def _firsts(key: np.ndarray, whole: np.ndarray, rank: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key, content and document, and which rows in it are the first of their content."""
+    order = np.lexsort((place, rank, whole, key))
+    key, whole = key[order], whole[order]
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+    return order, first
+
+
 def _list(length: int, sent):
-    """Stretches with marked keys, the first of each content in the block; copies behind it come as settled (key null)."""
+    """Stretches with marked keys, the first of each content in the block with the names of its sides (-1: no such strings);
+    copies behind it come as settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = sent.value
         for batch in blocks(batches):
-            _, offsets = bytes_of(batch.column(2))
-            row, key, whole, a, b = stretches(*bytes_of(batch.column(2)), length)
-            own = marked(marks, key)
-            row, key, whole, a, b = (x[own] for x in (row, key, whole, a, b))
-            a, n = a - offsets[row], b - a + length
-            order = np.lexsort((a, _ranked(batch)[row], whole, key))
-            row, key, whole, a, n = (x[order] for x in (row, key, whole, a, n))
-            first = np.ones(len(key), bool)
-            first[1:] = (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])
+            data, offsets = bytes_of(batch.column(2))
+            found = Stretches(data, offsets, length)
+            found.only(marked(marks, found.key))
+            sides = [np.where(some, (name >> np.uint64(32)).astype(np.int64), -1) for some, name, _, _ in found.sides()]
+            row, key, whole, a, n = found.row, found.key, found.whole, found.a - offsets[found.row], found.b - found.a + length
+            rank = _ranked(batch)
+            order, first = _firsts(key, whole, rank[row], a)
+            row, key, whole, a, n, left, right = (x[order] for x in (row, key, whole, a, n, *sides))
             head = np.flatnonzero(first)
             head = head[np.cumsum(first) - 1] if len(head) else head
-            rank = _ranked(batch)
             again = ~first & ((a != a[head]) | (rank[row] != rank[row[head]]))  # a repeated row is the same document
             # copies in the block are settled: merged, and dealt by place
             gone = np.flatnonzero(again)
@@ -121,153 +154,157 @@ def _list(length: int, sent):
             size = (reach[np.append(head[1:], len(gone)) - 1] - low[head]) if len(gone) else low
             gone = gone[head]
             ask = np.flatnonzero(first)
-            at = pa.array(np.concatenate([row[ask], row[gone]]))
+            both = np.concatenate([ask, gone])
+            at = pa.array(row[both])
             spread = mix(low[head].astype(np.uint64) + key[gone])
+            settled = np.arange(len(both)) >= len(ask)
             yield pa.record_batch(
                 {
                     "key": np.concatenate([key[ask], spread]).view(np.int64),
-                    "content": whole[np.concatenate([ask, gone])].view(np.int64),
+                    "content": whole[both].view(np.int64),
                     "doc": batch.column(0).take(at),
                     "th": batch.column(1).take(at),
-                    "a": np.concatenate([a[ask], a[gone]]).astype(np.int64),
+                    "a": a[both].astype(np.int64),
                     "n": np.concatenate([n[ask], size]).astype(np.int32),
-                    "again": np.arange(len(ask) + len(gone)) >= len(ask),
+                    "again": settled,
+                    "left": pa.array(left[both], mask=settled),
+                    "right": pa.array(right[both], mask=settled),
                 }
             )
 
     return run
 
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted stretches, streamed: spans of copies (name null) and the names of keys with several contents (doc null)."""
-    last = None  # key, content, doc, th, a of the row before; contents of its key so far
-    contents = 0
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted stretches, streamed: spans of copies (n not null), and the sides of the first stretch of each content (n null)."""
+    last = None  # key, content, doc, th, a of the first row of the content that the batch before ended in
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, content, a, again = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 4, 6))
-        th = batch.column(3).to_numpy()
-        doc = batch.column(2)
-        new_key, new_content = np.ones(len(key), bool), np.ones(len(key), bool)
-        new_key[1:] = key[1:] != key[:-1]
-        new_content[1:] = new_key[1:] | (content[1:] != content[:-1])
-        start = None
-        if last is not None:
-            new_key[0] = key[0] != last[0]
-            new_content[0] = new_key[0] or content[0] != last[1]
-            start = None if new_content[0] else last[2:5]
-        head = np.maximum.accumulate(np.where(new_content, np.arange(len(key)), -1))
-        copy = ~new_content | again
+        key, content, a, th = (batch.column(k).to_numpy() for k in (0, 1, 4, 3))
+        again, doc = batch.column(6).to_numpy(zero_copy_only=False), batch.column(2)
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
+        first[0] = last is None or (key[0], content[0]) != last[:2]
+        head = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
         same = np.zeros(len(key), bool)  # rows of one document and place, from repeated rows of the table
-        inner = np.flatnonzero(~new_content & (head >= 0))
-        if len(inner):
-            near = inner[(a[inner] == a[head[inner]]) & (th[inner] == th[head[inner]])]
-            same[[k for k in near if doc[int(k)].as_py() == doc[int(head[k])].as_py()]] = True
-        if start is not None:
-            for k in np.flatnonzero(head < 0):
-                same[k] = (doc[int(k)].as_py(), th[k], a[k]) == start
-        gone = pa.array(np.flatnonzero(copy & ~same))
-        spans = {"doc": doc.take(gone), "th": batch.column(3).take(gone), "a": batch.column(4).take(gone), "n": batch.column(5).take(gone)}
-        yield pa.record_batch({"name": pa.nulls(len(gone), pa.int64()), **spans})
-        # keys with several contents
-        number = np.cumsum(new_key)
-        kinds = np.bincount(number, weights=new_content & ~again, minlength=number[-1] + 1).astype(int)
-        firsts = np.flatnonzero(new_key)
-        several = [k for k in firsts if kinds[number[k]] > 1]
-        if not new_key[0]:
-            if contents + kinds[0] > 1:
-                several.append(0)
-            tail = contents + kinds[0] if number[-1] == 0 else kinds[number[-1]]
-        else:
-            tail = kinds[number[-1]]
-        contents = int(tail)
-        names = (key[np.array(several, int)].view(np.uint64) >> np.uint64(32)).astype(np.int64)
-        none = len(names)
-        yield pa.record_batch({"name": names, "doc": pa.nulls(none, doc.type), "th": pa.nulls(none, pa.int64()), "a": pa.nulls(none, pa.int64()), "n": pa.nulls(none, pa.int32())})
-        if start is None or (head >= 0).any():
+        inner = np.flatnonzero(~first & (head >= 0))
+        near = inner[(a[inner] == a[head[inner]]) & (th[inner] == th[head[inner]])]
+        same[[k for k in near if doc[int(k)].as_py() == doc[int(head[k])].as_py()]] = True
+        for k in np.flatnonzero(head < 0):
+            same[k] = (doc[int(k)].as_py(), th[k], a[k]) == last[2:]
+        gone, new = pa.array(np.flatnonzero((~first | again) & ~same)), pa.array(np.flatnonzero(first & ~again))
+        out = batch.select(["doc", "th", "a", "n", "left", "right"])
+        yield out.take(gone)
+        sides = out.take(new)
+        yield sides.set_column(3, "n", pa.nulls(len(new), pa.int32()))
+        if head[-1] >= 0:
             k = int(head[-1])
             last = (key[-1], content[-1], doc[k].as_py(), th[k], a[k])
 
 
 def _bytes(length: int, sent):
-    """The bytes of stretches whose key has several contents, the first of each content in the block."""
+    """The bytes of marked sides, the first of each content in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = sent.value
         for batch in blocks(batches):
             data, offsets = bytes_of(batch.column(2))
-            row, key, whole, a, b = stretches(data, offsets, length)
-            own = marked(marks, key)
-            row, key, whole, a, b = (x[own] for x in (row, key, whole, a, b))
-            order = np.lexsort((a, _ranked(batch)[row], whole, key))
-            first = np.ones(len(order), bool)
-            k, w = key[order], whole[order]
-            first[1:] = (k[1:] != k[:-1]) | (w[1:] != w[:-1])
-            order = order[first]
-            row, key, whole, a, b = (x[order] for x in (row, key, whole, a, b))
-            at = pa.array(row)
-            text = pa.array([data[x : y + length].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())
-            yield pa.record_batch({"key": pa.array(key.view(np.int64)), "content": pa.array(whole.view(np.int64)), "doc": batch.column(0).take(at), "th": batch.column(1).take(at), "a": (a - offsets[row]).astype(np.int64), "text": text})
+            found = Stretches(data, offsets, length)
+            rank = _ranked(batch)
+            for some, name, low, high in found.sides():
+                own = np.flatnonzero(some & marked(marks, name))
+                if not len(own):
+                    continue
+                row, name, low, high = found.row[own], name[own], low[own], high[own]
+                whole = mix(found.content.slices(found.a[own], found.b[own] + length) + (found.anchor - found.a)[own].astype(np.uint64))
+                order, first = _firsts(name, whole, rank[row], low)
+                order = order[first]
+                row, name, whole, low, high = (x[order] for x in (row, name, whole, low, high))
+                at = pa.array(row)
+                text = pa.array([data[x : y + length].tobytes() for x, y in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+                yield pa.record_batch({"key": name.view(np.int64), "content": whole.view(np.int64), "doc": batch.column(0).take(at), "th": batch.column(1).take(at), "a": (low - offsets[row]).astype(np.int64), "text": text})
 
     return run
 
 
-def later_starts(text: np.ndarray, bounds: np.ndarray, earlier: np.ndarray, place: np.ndarray, length: int, folder: str) -> np.ndarray:
-    """Positions of ``text`` whose string of ``length`` bytes also starts earlier.
+def later_starts(text: Vector, bounds: np.ndarray, earlier: np.ndarray, place: np.ndarray, length: int, folder: str, limit: int = SORT_LIMIT) -> Iterator[np.ndarray]:
+    """Positions of ``text`` whose string of ``length`` bytes also starts earlier, in order, in blocks.
 
     text: terminated strings (byte + 1, then 0), string k from bounds[k]; earlier[k]: the order of its document, place[k]:
-    its start there.
+    its start there.  Groups are streamed: what is known of the last one is its earliest start.
     """
-    suffixes, lcp = Sorter(length, folder).sort(text)
-    string = np.searchsorted(bounds, suffixes, "right") - 1
-    offset = suffixes - bounds[string]
-    full = offset + length <= np.diff(bounds)[string] - 1
-    # groups of neighbours; what lies between two full suffixes of a group has the common prefix too
-    group = np.cumsum(lcp < length)
-    group, string, offset, suffixes = group[full], string[full], offset[full], suffixes[full]
-    order = np.lexsort((place[string] + offset, earlier[string], group))
-    group = group[order]
-    first = np.ones(len(group), bool)
-    first[1:] = group[1:] != group[:-1]
-    s, o = string[order], offset[order]
-    head = np.flatnonzero(first)
-    head = head[np.cumsum(first) - 1] if len(head) else head
-    same = (earlier[s] == earlier[s[head]]) & (place[s] + o == place[s[head]] + o[head])
-    return suffixes[order][~same]
+    suffixes, lcp = Sorter(length, folder, limit).sort(text)
+    gone, sizes = DiskQueue(1, 0, folder, limit), np.diff(bounds)
+    group, kept = 0, None  # the last group, and (order of the document, start, suffix) of its earliest string
+    for low, at in suffixes.blocks(limit // 4):
+        # what lies between two full suffixes of a group has the common prefix too
+        groups = group + np.cumsum(lcp.read(low, low + len(at)) < length)
+        group = int(groups[-1])
+        string = np.searchsorted(bounds, at, "right") - 1
+        offset = at - bounds[string]
+        full = offset + length <= sizes[string] - 1
+        groups, at, when, where = groups[full], at[full], earlier[string[full]], (place[string] + offset)[full]
+        if kept is not None:
+            groups, when, where, at = (np.concatenate([[x], y]) for x, y in zip(kept, (groups, when, where, at), strict=True))
+        if not len(at):
+            continue
+        order = np.lexsort((where, when, groups))
+        groups, when, where, at = (x[order] for x in (groups, when, where, at))
+        first = np.ones(len(groups), bool)
+        first[1:] = groups[1:] != groups[:-1]
+        head = np.flatnonzero(first)
+        kept = tuple(int(x[head[-1]]) for x in (groups, when, where, at))
+        head = head[np.cumsum(first) - 1]
+        later = ~first & ((when != when[head]) | (where != where[head]))
+        gone.push(at[later])
+    for rows in gone.drain():
+        yield rows[0].astype(np.int64)
 
 
 def _sort_shard(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            docs, hashes, places, sizes, last = [], [], [], [], None
-            with open(f"{folder}/text", "wb") as out:  # the rows come sorted by key and content
-                for batch in batches:
-                    for k, c, d, t, a, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                        if (k, c) != last:
-                            last = (k, c)
-                            docs.append(d)
-                            hashes.append(t)
-                            places.append(a)
-                            sizes.append(len(x) + 1)
-                            out.write((np.frombuffer(x, np.uint8).astype(np.int16) + 1).tobytes() + b"\0\0")
+            docs, hashes, places, sizes, last, kind = [], [], [], [], None, None
+            text = Vector(np.int16, folder, SORT_LIMIT)
+            for batch in batches:  # the rows come sorted by key and content
+                kind = batch.schema.field(2).type
+                parts = []
+                for k, c, d, t, a, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                    if (k, c) != last:
+                        last = (k, c)
+                        docs.append(d)
+                        hashes.append(t)
+                        places.append(a)
+                        sizes.append(len(x) + 1)
+                        parts += [np.frombuffer(x, np.uint8).astype(np.int16) + np.int16(1), np.zeros(1, np.int16)]
+                if parts:
+                    text.append(np.concatenate(parts))
             if not sizes:
                 return
-            kind = batch.schema.field(2).type
-            text = np.memmap(f"{folder}/text", np.int16, "r")
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             ids = sorted(set(zip(docs, hashes, strict=True)), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
             number = {x: i for i, x in enumerate(ids)}
             earlier = np.array([number[x] for x in zip(docs, hashes, strict=True)], np.int64)
             place = np.array(places, np.int64)
-            gone = np.sort(later_starts(text, bounds, earlier, place, length, folder))
-            string = np.searchsorted(bounds, gone, "right") - 1
-            new = np.ones(len(gone), bool)
-            new[1:] = (np.diff(gone) > 1) | (string[1:] != string[:-1])
-            head = np.flatnonzero(new)
-            tail = np.append(head[1:], len(gone)) - 1
-            own = string[head].tolist()
-            del text
-            yield pa.record_batch({"doc": pa.array([docs[k] for k in own], kind), "th": pa.array([hashes[k] for k in own], pa.int64()), "a": gone[head] - bounds[own] + place[own] if own else np.zeros(0, np.int64), "n": (gone[tail] - gone[head] + length).astype(np.int32)})
+            del ids, number, places
+            for gone in later_starts(text, bounds, earlier, place, length, folder):
+                if not len(gone):
+                    continue
+                string = np.searchsorted(bounds, gone, "right") - 1
+                new = np.ones(len(gone), bool)
+                new[1:] = (np.diff(gone) > 1) | (string[1:] != string[:-1])
+                head = np.flatnonzero(new)
+                tail = np.append(head[1:], len(gone)) - 1
+                own = string[head]
+                yield pa.record_batch(
+                    {
+                        "doc": pa.array([docs[k] for k in own], kind),
+                        "th": pa.array([hashes[k] for k in own], pa.int64()),
+                        "a": gone[head] - bounds[own] + place[own],
+                        "n": (gone[tail] - gone[head] + length).astype(np.int32),
+                    }
+                )
 
     return run
 
@@ -283,18 +320,21 @@ def later_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kind = source.schema["doc"].dataType.simpleString()
     twice = source.mapInArrow(_names(length), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
     first = spark.sparkContext.broadcast(bit_table(twice))
-    listed = source.mapInArrow(_list(length, first), f"key long, content long, doc {kind}, th long, a long, n int, again boolean")
+    listed = source.mapInArrow(_list(length, first), f"key long, content long, doc {kind}, th long, a long, n int, again boolean, left long, right long")
     sort = ["key", "content", F.col("doc").asc_nulls_last(), "th", "a"]
-    settled = listed.repartition("key").sortWithinPartitions(*sort).mapInArrow(_classify, f"name long, doc {kind}, th long, a long, n int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    settled = listed.repartition(parts, "key", "content").sortWithinPartitions(*sort).mapInArrow(_settle, f"doc {kind}, th long, a long, n int, left long, right long")
     settled = written(settled, "settled")
-    mixed = settled.where("name IS NOT NULL").select("name")
-    second = spark.sparkContext.broadcast(bit_table(mixed))
+    sides = settled.where("n is null").select(F.explode(F.array("left", "right")).alias("name")).where("name >= 0")
+    shared = sides.groupBy("name").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
+    second = spark.sparkContext.broadcast(bit_table(shared))
     held = source.mapInArrow(_bytes(length, second), f"key long, content long, doc {kind}, th long, a long, text binary")
-    size = mixed.count() * 4 * (length + length // 3)
-    shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    size = (shared.agg(F.sum("contents")).first()[0] or 0) * (length + length // 3)
+    cores = spark.sparkContext.defaultParallelism
+    shards = max(cores, min(-(-size // SHARD_BYTES), SHARDS * cores))
     dealt = held.repartition(shards, "key").sortWithinPartitions(*sort)
     sorted_spans = dealt.mapInArrow(_sort_shard(length), f"doc {kind}, th long, a long, n int")
-    copies = settled.where("name IS NULL").select("doc", "th", "a", "n")
+    copies = settled.where("n is not null").select("doc", "th", "a", "n")
     return copies.unionByName(sorted_spans).groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
 
 

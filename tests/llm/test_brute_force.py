@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -148,6 +150,61 @@ def test_induced_sorting(tmp_path, limit):
         assert (list(order), list(common)) == plain_order(text, cap)
 
 
+def test_queue_merges_runs_of_runs(tmp_path, monkeypatch):
+    monkeypatch.setattr(induced, "FAN_IN", 4)
+    rng = np.random.default_rng(1)
+    queue = induced.DiskQueue(2, 1, str(tmp_path), 50)
+    rows = rng.integers(0, 40, (2, 3000)).astype(np.uint64)
+    for low in range(0, 3000, 7):
+        queue.push(*rows[:, low : low + 7], np.arange(low, min(low + 7, 3000)))
+    got = np.concatenate(list(queue.drain()), axis=1)
+    assert got.shape == (3, 3000) and sorted(got[2].tolist()) == list(range(3000))
+    assert (rows[:, got[2].astype(int)] == got[:2]).all()
+    assert list(map(tuple, got[:2].T)) == sorted(map(tuple, rows.T))
+
+
+@pytest.mark.parametrize("limit", [1 << 18, 40])
+def test_later_starts_in_blocks(tmp_path, limit):
+    """Groups that go over any number of blocks: all starts of a string but the earliest."""
+    rng = random.Random(limit)
+    for _ in range(12):
+        common = bytes(rng.choice(b"ab") for _ in range(30))
+        strings = [common[rng.randrange(9) :] + bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(25)]
+        place, document = [rng.randrange(1000) for _ in strings], [rng.randrange(9) for _ in strings]
+        text = induced.Vector(np.int16, str(tmp_path), limit)
+        for x in strings:
+            text.append(np.append(np.frombuffer(x, np.uint8).astype(np.int16) + 1, 0))
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in strings])])
+        got = np.concatenate(list(suffix_dedup.later_starts(text, bounds, np.array(document), np.array(place), 12, str(tmp_path), limit)) or [np.zeros(0, int)])
+        seen, want = {}, []
+        for k, x in enumerate(strings):
+            for o in range(len(x) - 11):
+                seen.setdefault(x[o : o + 12], []).append(((document[k], place[k] + o), int(bounds[k]) + o))
+        for starts in seen.values():
+            want += [p for at, p in starts if at != min(starts)[0]]
+        assert got.tolist() == sorted(want)
+
+
+def test_sorting_takes_no_memory_for_long_texts(tmp_path):
+    """Peak memory of a sort of 2**22 symbols against one of 2**20, with 2**15 entries in memory."""
+    code = """
+import resource, sys
+import numpy as np
+from fieldloom.llm.induced import Sorter, Vector
+rng, text = np.random.default_rng(0), Vector(np.int16, sys.argv[1], 1 << 15)
+while len(text) < int(sys.argv[2]):
+    part = rng.integers(1, 30, 131 * 200).astype(np.int16)
+    part[130::131] = 0
+    text.append(part)
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+order, lcp = Sorter(100, sys.argv[1], 1 << 15).sort(text)
+assert len(order) == len(lcp) == len(text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    small, large = (int(subprocess.run([sys.executable, "-c", code, str(tmp_path), str(n)], capture_output=True, text=True, check=True).stdout) for n in (1 << 20, 1 << 22))
+    assert large < 80 and large - small < 40
+
+
 def fingerprint(text, size):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     own = [" ".join(words[k : k + size]) for k in range(len(words) - size + 1)] if len(words) >= size else [" ".join(words)] if words else []
@@ -322,6 +379,40 @@ def test_media_round_trip(docs, corpus):
         assert (got[d].n_bytes, got[d].payload_bytes, got[d].payload_sha256, got[d].tail_crc32) == (len(e), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
 
 
+def test_stored_form_by_hand(spark):
+    """Cuts by the gear hash byte by byte, digests, compression and the features, for every distinct payload."""
+    import struct
+
+    import zstandard
+
+    rng = random.Random(12)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(9000))
+    texts = ["", None, "short", "é" * 5000, "a" * 40_000, long, long[7000:] + "tail", "x" + long[:20_000]]
+    got = {r.doc_id: r for r in (lambda s: s.lists.join(s.values(), "key"))(media.Store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert len(got) == len(texts)
+    pack = zstandard.ZstdCompressor(level=3)
+    for k, text in enumerate(texts):
+        own = (text or "").encode()
+        payload = own + b" " * (max(1, -(-len(own) // 192)) * 192 - len(own))
+        chunks, start, h = [], 0, 0
+        for i, byte in enumerate(payload):
+            h = (h << 1) + int(media.GEAR[byte]) & 0xFFFFFFFF
+            size = i + 1 - start
+            # the hash sees 32 bytes, whatever chunk they are in; what a block holds before a payload can't reach past LEAST bytes
+            if (size >= 1024 and len(payload) - start > 1024 and h >> 20 == 0) or size == 16384 or i + 1 == len(payload):
+                chunks.append(payload[start : i + 1])
+                start = i + 1
+        names = [hashlib.sha256(c).digest() for c in chunks]
+        stored = b"CDC1" + struct.pack("<QI", len(payload), len(chunks)) + b"".join(n + struct.pack("<I", len(c)) for n, c in zip(names, chunks, strict=True)) + b"".join(pack.compress(c) for c in chunks)
+        data = np.frombuffer(payload, np.uint8)
+        shares = ",".join(str(int(((data >> 5) == b).sum()) * 1000 // len(data)) for b in range(8))
+        r = got[k]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(own), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert list(r.digests) == [bytearray(n) for n in names]
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == f"chunks={len(chunks)};mean={int(data.astype(int).sum()) * 1000 // len(data)};ranges={shares}"
+
+
 def test_chunks_survive_a_shift():
     rng = np.random.default_rng(2)
     data = rng.integers(0, 256, 200_000).astype(np.uint8)
