@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The WGS84 ellipsoid.
@@ -82,32 +82,39 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     return F.lit(500000.0) + F.lit(k) * x, F.when(epsg >= 32700, F.lit(1e7)).otherwise(0.0) + F.lit(k) * y
 
 
-def lonlat(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
-    """Longitude and latitude of UTM coordinates (Krueger's inverse series), or of geographic ones (4326) unchanged."""
+def with_lonlat(frame: DataFrame, x: Column, y: Column, epsg: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """``frame`` with longitude and latitude of UTM coordinates (Krueger's inverse series), or of geographic ones (4326) unchanged.
+
+    Intermediate values are columns of steps of their own, so no term of the series is computed or compiled twice.
+    """
     n = FLATTENING / (2 - FLATTENING)
     rectifying = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
     delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
-    k = 0.9996 * rectifying
-    xi, eta = (y - F.when(epsg >= 32700, F.lit(1e7)).otherwise(0.0)) / F.lit(k), (x - F.lit(500000.0)) / F.lit(k)
-    a, b = xi, eta
+    k = F.lit(0.9996 * rectifying)
+    own = frame.withColumns({"_gx": x, "_gy": y, "_ge": epsg})
+    own = own.withColumns({"_xi": (F.col("_gy") - F.when(F.col("_ge") >= 32700, F.lit(1e7)).otherwise(0.0)) / k, "_eta": (F.col("_gx") - F.lit(500000.0)) / k})
+    a, b = F.col("_xi"), F.col("_eta")
     for j, c in enumerate(beta, 1):
-        a = a - F.lit(c) * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        b = b - F.lit(c) * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(a) / F.cosh(b))
-    lat = chi
+        a = a - F.lit(c) * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
+        b = b - F.lit(c) * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
+    own = own.withColumns({"_a": a, "_b": b})
+    own = own.withColumn("_chi", F.asin(F.sin("_a") / F.cosh("_b")))
+    up = F.col("_chi")
     for j, c in enumerate(delta, 1):
-        lat = lat + F.lit(c) * F.sin(2 * j * chi)
-    lon = (epsg % 100) * 6 - 183 + F.degrees(F.atan2(F.sinh(b), F.cos(a)))
-    plain = epsg == 4326
-    return F.when(plain, x).otherwise(lon), F.when(plain, y).otherwise(F.degrees(lat))
-
-
-def from_lonlat(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
-    """Coordinates in a UTM zone, or geographic ones (4326)."""
-    x, y = utm(lon, lat, epsg)
-    plain = epsg == 4326
-    return F.when(plain, lon).otherwise(x), F.when(plain, lat).otherwise(y)
+        up = up + F.lit(c) * F.sin(2 * j * F.col("_chi"))
+    plain = F.col("_ge") == 4326
+    own = own.withColumns({"_lon": (F.col("_ge") % 100) * 6 - 183 + F.degrees(F.atan2(F.sinh("_b"), F.cos("_a"))), "_lat": F.degrees(up)})
+    own = own.withColumns({lon: F.when(plain, F.col("_gx")).otherwise(F.col("_lon")), lat: F.when(plain, F.col("_gy")).otherwise(F.col("_lat"))})
+    return own.drop("_xi", "_eta", "_a", "_b", "_chi", "_gx", "_gy", "_ge", *(c for c in ("_lon", "_lat") if c not in (lon, lat)))
+
+
+def with_xy(frame: DataFrame, lon: Column, lat: Column, epsg: Column, x: str = "x", y: str = "y") -> DataFrame:
+    """``frame`` with coordinates in a UTM zone, or geographic ones (4326)."""
+    own = frame.withColumns({"_glon": lon, "_glat": lat, "_ge": epsg})
+    plain, moved = F.col("_ge") == 4326, utm(F.col("_glon"), F.col("_glat"), F.col("_ge"))
+    own = own.withColumns({"_gx": moved[0], "_gy": moved[1]})
+    return own.withColumns({x: F.when(plain, F.col("_glon")).otherwise(F.col("_gx")), y: F.when(plain, F.col("_glat")).otherwise(F.col("_gy"))}).drop("_glon", "_glat", "_ge", "_gx", "_gy")
 
 
 def parallel_area(lat: Column) -> Column:

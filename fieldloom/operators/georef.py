@@ -149,11 +149,10 @@ def projected(cells: DataFrame, values: list[str], source: DataFrame, target: Da
         raise ValueError("method is bilinear or near")
     own = cells_of(target.select("site_id", *GRID)).select("site_id", "epsg", "r", "c", "x", "y")
     sides = own.join(source.select("site_id", *(F.col(g).alias(f"s_{g}") for g in GRID)), "site_id")
-    lon, lat = geo.lonlat(F.col("x"), F.col("y"), F.col("epsg"))
-    sides = sides.withColumns({"_lon": lon, "_lat": lat})
-    there = geo.from_lonlat(F.col("_lon"), F.col("_lat"), F.col("s_epsg"))
+    sides = geo.with_lonlat(sides, F.col("x"), F.col("y"), F.col("epsg"), "_lon", "_lat")
+    sides = geo.with_xy(sides, F.col("_lon"), F.col("_lat"), F.col("s_epsg"), "_tx", "_ty")
     same = F.col("epsg") == F.col("s_epsg")
-    sides = sides.withColumns({"_x": F.when(same, F.col("x")).otherwise(there[0]), "_y": F.when(same, F.col("y")).otherwise(there[1])})
+    sides = sides.withColumns({"_x": F.when(same, F.col("x")).otherwise(F.col("_tx")), "_y": F.when(same, F.col("y")).otherwise(F.col("_ty"))})
     fr, fc = (F.col("s_ymax") - F.col("_y")) / F.col("s_res_y") + 0.5, (F.col("_x") - F.col("s_xmin")) / F.col("s_res_x") + 0.5
     if method == "near":
         near = sides.withColumns({"_r": F.floor(fr + 0.5).cast("int"), "_c": F.floor(fc + 0.5).cast("int")}).select("site_id", "r", "c", "_r", "_c")

@@ -131,9 +131,9 @@ def project_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 def utm_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """To UTM and back."""
     own = bridge.sites(spark, sf_dir).withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat"))).where("epsg is not null")
-    x, y = geo.utm(F.col("lon"), F.col("lat"), F.col("epsg"))
-    back = own.withColumns({"x": x, "y": y})
-    lon, lat = geo.lonlat(F.col("x"), F.col("y"), F.col("epsg"))
+    there = geo.with_xy(own, F.col("lon"), F.col("lat"), F.col("epsg"))
+    back = geo.with_lonlat(there, F.col("x"), F.col("y"), F.col("epsg"), "lon2", "lat2")
+    lon, lat = F.col("lon2"), F.col("lat2")
     lon = F.when(F.abs(lon - F.col("lon")) > 180, lon - 360 * F.signum(lon)).otherwise(lon)  # the zone east of the antimeridian
     return rounded(back.select("site_id", lon.alias("lon"), lat.alias("lat")), "lon", "lat", digits=6)
 

@@ -228,8 +228,8 @@ def get_scenes(
         raise ValueError("max_cloud is a share from 0 to 100")
     scenes = retrieval.scenes(sites, items, pixels, source, first, last, (index_name, params.search_index), max_cloud, mask, params.s2_processing, x_metres, y_metres)
     placed = sites.join(grids.select("site_id", "epsg"), "site_id")
-    x, y = geo.from_lonlat(F.col("longitude"), F.col("latitude"), F.col("epsg"))
-    seeds = georef.checked_seeds(georef.seeds(placed.select("site_id", x.alias("x"), y.alias("y")), grids)).join(grids.select("site_id", "nrow", "ncol"), "site_id")
+    points = geo.with_xy(placed, F.col("longitude"), F.col("latitude"), F.col("epsg")).select("site_id", "x", "y")
+    seeds = georef.checked_seeds(georef.seeds(points, grids)).join(grids.select("site_id", "nrow", "ncol"), "site_id")
     detection = indices.with_index(scenes, params.search_index, "v")
     return FieldQuery(scenes, detection, seeds, 0, 0, first, last, source, index_name, params)
 
