@@ -167,8 +167,9 @@ def one_label(labels: DataFrame, names: list[str]) -> DataFrame:
 
 
 def one_document(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, labels' columns): for each row of ``labels`` (_id, ...) the document of that id, the one with the smallest hash of its text."""
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(labels, F.col("doc_id") == F.col("_id")).drop("_id")
+    """(doc_id, text, labels' columns): for each row of ``labels`` (_id, ...; a sample of bounded size, which is broadcast) the document
+    of that id, the one with the smallest hash of its text."""
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(labels), F.col("doc_id") == F.col("_id")).drop("_id")
     rest = [c for c in labels.columns if c != "_id"]
     one = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text", *rest)).alias("x"))
     return one.select("doc_id", "x.text", *(F.col(f"x.{c}") for c in rest))
