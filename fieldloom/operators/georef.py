@@ -109,6 +109,24 @@ def cropped_grid(grids: DataFrame, boxes: DataFrame) -> DataFrame:
     return own.withColumns(moved).select("site_id", *GRID)
 
 
+def renumbered(cells: DataFrame, grids: DataFrame, boxes: DataFrame) -> DataFrame:
+    """``cropped`` cells with the rows and columns of ``cropped_grid``."""
+    windows = grids.join(boxes.select("site_id", "box"), "site_id").select("site_id", window_of().alias("_w")).where("_w is not null")
+    inside = F.col("r").between(F.col("_w.r1"), F.col("_w.r2")) & F.col("c").between(F.col("_w.c1"), F.col("_w.c2"))
+    return cells.join(windows, "site_id").where(inside).withColumns({"r": F.col("r") - F.col("_w.r1") + 1, "c": F.col("c") - F.col("_w.c1") + 1}).drop("_w")
+
+
+def moved_boxes(boxes: DataFrame, grids: DataFrame) -> DataFrame:
+    """(site_id, box): boxes (site_id, epsg, box) in the system of their site's grid: what their four corners span there."""
+    corners = F.explode(F.array(*(F.struct(F.col(f"box.{a}").alias("x"), F.col(f"box.{b}").alias("y")) for a in ("xmin", "xmax") for b in ("ymin", "ymax"))))
+    own = boxes.select("site_id", "epsg", corners.alias("p")).join(grids.select("site_id", F.col("epsg").alias("_own")), "site_id")
+    own = geo.with_lonlat(own, F.col("p.x"), F.col("p.y"), F.col("epsg"), "_lon", "_lat")
+    own = geo.with_xy(own, F.col("_lon"), F.col("_lat"), F.col("_own"), "_x", "_y")
+    same = F.col("epsg") == F.col("_own")
+    x, y = F.when(same, F.col("p.x")).otherwise(F.col("_x")), F.when(same, F.col("p.y")).otherwise(F.col("_y"))
+    return own.groupBy("site_id").agg(F.struct(F.min(x).alias("xmin"), F.min(y).alias("ymin"), F.max(x).alias("xmax"), F.max(y).alias("ymax")).alias("box"))
+
+
 def trimmed(cells: DataFrame, value: str, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
     """``cells`` without the empty rows and columns around those that have a value: bounds by one partial aggregate, joined back."""
     bounds = cells.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min("r").alias("_r1"), F.max("r").alias("_r2"), F.min("c").alias("_c1"), F.max("c").alias("_c2"))

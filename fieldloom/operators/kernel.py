@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
@@ -29,36 +30,50 @@ def eligible(cube: np.ndarray, mu: np.ndarray, tol: np.ndarray, threshold: tuple
 def flood(open_: np.ndarray, match: np.ndarray, seed: tuple[int, int], box: tuple[int, int, int, int], density: float, windows: int, prior: np.ndarray | None = None, strength: float = 0.0, cross: float = 0.75) -> tuple[np.ndarray, int]:
     """Breadth-first growth from the seed in box (r0, r1, c0, c1, ends in).  A neighbour joins if enough of the visited cells around it are open; it is asked once.  Returns the mask and the number of box sides touched."""
     r0, r1, c0, c1 = box
-    alive, visited, sides = np.zeros(open_.shape, bool), np.zeros(open_.shape, bool), set()
+    alive = np.zeros(open_.shape, bool)
     if not open_[seed]:
         return alive, 0
-    alive[seed] = visited[seed] = True
-    queue = deque([seed])
+    # flat bytes with a ring around the box; the ring knows its sides
+    rows, width = r1 - r0 + 1, c1 - c0 + 3
+    part = np.zeros((rows + 2, width), np.uint8)
+    part[1:-1, 1:-1] = open_[r0 : r1 + 1, c0 : c1 + 1]
+    opened, ring = part.tobytes(), np.zeros_like(part)
+    ring[0] |= 1
+    ring[-1] |= 2
+    ring[:, 0] |= 4
+    ring[:, -1] |= 8
+    border, sides = ring.tobytes(), 0
+    bars = None
+    if prior is not None:
+        bar = np.full(part.shape, density)
+        bar[1:-1, 1:-1] += np.where(~prior[r0 : r1 + 1, c0 : c1 + 1] & (match[r0 : r1 + 1, c0 : c1 + 1] / windows < cross), strength, 0.0)
+        bars = bar.ravel().tolist()
+    visited, good, joined = bytearray(len(opened)), bytearray(len(opened)), bytearray(len(opened))
+    around = [i * width + j for i, j in EIGHT]
+    a, b, c, d, e, f, g, h = around
+    start = (seed[0] - r0 + 1) * width + seed[1] - c0 + 1
+    visited[start] = good[start] = joined[start] = 1
+    queue = deque([start])
     while queue:
-        r, c = queue.popleft()
-        for i, j in EIGHT:
-            a, b = r + i, c + j
-            if not (r0 <= a <= r1 and c0 <= b <= c1):
-                sides |= {k for k, out in (("N", a < r0), ("S", a > r1), ("W", b < c0), ("E", b > c1)) if out}
+        p = queue.popleft()
+        for o in around:
+            q = p + o
+            if visited[q]:
                 continue
-            if visited[a, b]:
+            if border[q]:
+                sides |= border[q]
                 continue
-            visited[a, b] = True
-            if not open_[a, b]:
+            visited[q] = 1
+            if not opened[q]:
                 continue
-            seen = good = 0
-            for p, q in EIGHT:
-                x, y = a + p, b + q
-                if r0 <= x <= r1 and c0 <= y <= c1 and visited[x, y]:
-                    seen += 1
-                    good += bool(open_[x, y])
-            bar = density
-            if prior is not None and not prior[a, b] and match[a, b] / windows < cross:
-                bar += strength
-            if good / seen >= bar:
-                alive[a, b] = True
-                queue.append((a, b))
-    return alive, len(sides)
+            seen = visited[q + a] + visited[q + b] + visited[q + c] + visited[q + d] + visited[q + e] + visited[q + f] + visited[q + g] + visited[q + h]
+            fits = good[q + a] + good[q + b] + good[q + c] + good[q + d] + good[q + e] + good[q + f] + good[q + g] + good[q + h]
+            good[q] = 1
+            if fits / seen >= (density if bars is None else bars[q]):
+                joined[q] = 1
+                queue.append(q)
+    alive[r0 : r1 + 1, c0 : c1 + 1] = np.frombuffer(joined, np.uint8).reshape(part.shape)[1:-1, 1:-1]
+    return alive, sides.bit_count()
 
 
 def rungs(rows: int, columns: int) -> list[tuple[int, int]]:
@@ -91,30 +106,62 @@ def ladder(open_: np.ndarray, match: np.ndarray, seed: tuple[int, int], density:
 @dataclass
 class Area:
     label: int
-    cells: list[tuple[int, int]]
+    at: np.ndarray  # rows and columns of its cells
     distance: int
     rank: int = 0
 
+    @cached_property
+    def cells(self) -> list[tuple[int, int]]:
+        return list(zip(*self.at.tolist(), strict=True))
+
+    @property
+    def size(self) -> int:
+        return self.at.shape[1]
+
 
 def areas(mask: np.ndarray, seed: tuple[int, int], four: bool = False) -> list[Area]:
-    """Connected areas, labelled by first cell in column order, ranked by distance to the seed, size and label."""
-    seen, found = np.zeros(mask.shape, bool), []
-    for c, r in zip(*np.nonzero(mask.T), strict=True):
-        if seen[r, c]:
-            continue
-        seen[r, c] = True
-        cells, queue = [], deque([(int(r), int(c))])
-        while queue:
-            x, y = queue.popleft()
-            cells.append((x, y))
-            for i, j in FOUR if four else EIGHT:
-                a, b = x + i, y + j
-                if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not seen[a, b]:
-                    seen[a, b] = True
-                    queue.append((a, b))
-        far = min(max(abs(x - seed[0]), abs(y - seed[1])) for x, y in cells)
-        found.append(Area(len(found) + 1, cells, far))
-    for rank, area in enumerate(sorted(found, key=lambda x: (x.distance, -len(x.cells), x.label)), 1):
+    """Connected areas, labelled by first cell in column order, ranked by distance to the seed, size and label.
+
+    Cells of a column that follow each other are one run; runs of neighbouring columns that meet are united.
+    """
+    rows, columns = mask.shape
+    flat = np.zeros((columns, rows + 1), bool)  # column by column, each ended by a dead cell
+    flat[:, :-1] = mask.T
+    flat = np.concatenate([[False], flat.ravel()])
+    change = np.flatnonzero(flat[1:] != flat[:-1])
+    low, high = change[::2], change[1::2]  # first and one past the last, in column order
+    if not len(low):
+        return []
+    column, reach = low // (rows + 1), 0 if four else 1
+    # runs of the column before that meet each run: from the first that ends above ... to the last that begins below
+    above = np.searchsorted(high, low - (rows + 1) - reach, "right")
+    below = np.searchsorted(low, high - (rows + 1) + reach, "left")
+    edge = np.searchsorted(column, np.maximum(column - 1, 0), "left")
+    own = np.searchsorted(column, column, "left")
+    above, below = np.maximum(above, edge), np.minimum(below, own)
+    parent = list(range(len(low)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k in np.flatnonzero((below > above) & (column > 0)).tolist():
+        for j in range(above[k], below[k]):
+            x, y = find(k), find(j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    roots = np.array([find(k) for k in range(len(low))])
+    _, label = np.unique(roots, return_inverse=True)
+    length = high - low
+    of = np.repeat(label, length)
+    place = np.repeat(low - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
+    c, r = np.divmod(place, rows + 1)
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(np.bincount(of))
+    far = np.maximum(np.abs(r - seed[0]), np.abs(c - seed[1]))
+    found = [Area(k + 1, np.stack([r[own], c[own]]), int(far[own].min())) for k, own in enumerate(np.split(order, ends[:-1]))]
+    for rank, area in enumerate(sorted(found, key=lambda x: (x.distance, -x.size, x.label)), 1):
         area.rank = rank
     return found
 
@@ -129,11 +176,11 @@ def separated(mask: np.ndarray, seed: tuple[int, int], strict) -> list[Area]:
     near = np.zeros(mask.shape, bool)
     for area in whole:
         if area.rank <= strict[1]:
-            near[tuple(np.array(area.cells).T)] = True
+            near[tuple(area.at)] = True
     parts = areas(near, seed, True) + areas(mask & ~near, seed)
-    for k, area in enumerate(sorted(parts, key=lambda x: min((c, r) for r, c in x.cells)), 1):
+    for k, area in enumerate(sorted(parts, key=lambda x: (int(x.at[1, 0]), int(x.at[0, 0]))), 1):
         area.label = k
-    for rank, area in enumerate(sorted(parts, key=lambda x: (x.distance, -len(x.cells), x.label)), 1):
+    for rank, area in enumerate(sorted(parts, key=lambda x: (x.distance, -x.size, x.label)), 1):
         area.rank = rank
     return sorted(parts, key=lambda x: x.label)
 
@@ -141,7 +188,7 @@ def separated(mask: np.ndarray, seed: tuple[int, int], strict) -> list[Area]:
 def only(mask: np.ndarray, area: Area | None) -> np.ndarray:
     out = np.zeros(mask.shape, bool)
     if area is not None:
-        out[tuple(np.array(area.cells).T)] = True
+        out[tuple(area.at)] = True
     return out
 
 
@@ -198,30 +245,51 @@ def walk(mask: np.ndarray) -> Walk:
     alive = lambda p: 0 <= p[0] < rows and 0 <= p[1] < columns and bool(mask[p])
     move = lambda p, d: (p[0] + STEP[d][0], p[1] + STEP[d][1])
 
-    def sight(p, d) -> list[bool]:
-        seen, q = [], move(p, LEFT[d])
-        while inside(q):
-            seen.append(alive(q))
-            q = move(q, LEFT[d])
-        return seen
+    # the line of sight by sums along rows and columns and the outermost cells of each
+    along = {False: np.pad(np.cumsum(mask, axis=1), ((0, 0), (1, 0))).tolist(), True: np.pad(np.cumsum(mask, axis=0), ((1, 0), (0, 0))).T.tolist()}
+    ends = {}
+    for upright, grid in ((False, mask), (True, mask.T)):
+        some = grid.any(axis=1)
+        ends[upright] = (np.where(some, grid.argmax(axis=1), grid.shape[1]).tolist(), np.where(some, grid.shape[1] - 1 - grid[:, ::-1].argmax(axis=1), -1).tolist())
+
+    def line(p, d) -> tuple[bool, int, int, int]:
+        """Whether the sight to the left is a column, which line it is, the place in it and the direction."""
+        to = LEFT[d]
+        upright = to in "NS"
+        return (upright, p[1], p[0], -1 if to == "N" else 1) if upright else (upright, p[0], p[1], -1 if to == "W" else 1)
 
     def furthest(p, d) -> int:
-        seen = sight(p, d)
-        return max((k for k, a in enumerate(seen) if a), default=-1)
+        """How many cells lie between p and the last alive one to its left; -1 without one."""
+        upright, which, place, way = line(p, d)
+        low, high = ends[upright]
+        if not 0 <= which < len(low):
+            return -1
+        return max(-1, high[which] - place - 1 if way > 0 else place - low[which] - 1)
+
+    def sees(p, d, n) -> bool:
+        """Whether one of the first n cells to the left is alive."""
+        upright, which, place, way = line(p, d)
+        sums = along[upright]
+        if not 0 <= which < len(sums) or n <= 0:
+            return False
+        size = len(sums[which]) - 1
+        a, b = (place + 1, place + 1 + n) if way > 0 else (place - n, place)
+        a, b = max(0, min(a, size)), max(0, min(b, size))
+        return sums[which][b] > sums[which][a]
 
     first = tuple(int(x) for x in np.argwhere(mask)[0])
     at, way, state, before = (first[0] - 1, first[1] - 1), "S", "walk", None
     out.trail, out.heading = [at], [way]
-    out.scouted_empty = not any(sight(at, way))
-    memory, pivots, edge_start, edge_alive, count = [furthest(at, way)], set(), 0, False, 0
+    out.scouted_empty = furthest(at, way) < 0
+    memory, pivots, edge_start, edge_alive, count = [furthest(at, way)], {at}, 0, False, 1  # the start is a pivot
 
     def pivot() -> bool:
         nonlocal way, memory, edge_start, edge_alive, count
         out.edges.append(Edge(edge_start, len(out.trail) - 1, edge_alive))
         edge_start, edge_alive = len(out.trail) - 1, False
-        count += 1
         done = at in pivots and count >= 3
         pivots.add(at)
+        count += 1
         way = LEFT[way]
         memory = [furthest(at, way)]  # sight begins anew along the new heading
         return done
@@ -251,10 +319,10 @@ def walk(mask: np.ndarray) -> Walk:
         if state == "scout":
             side = (ahead, move(ahead, LEFT[way]), move(ahead, LEFT[LEFT[LEFT[way]]]))
             reach = memory[-2] if len(memory) >= 2 else -1
-            if any(map(alive, side)) or any(sight(at, way)[: reach + 1]):
+            if any(map(alive, side)) or sees(at, way, reach + 1):
                 state = "pending"
                 continue
-        elif any(sight(at, way)[:2]):
+        elif sees(at, way, 2):
             accept(at)
             state = "walk"
             continue
@@ -296,9 +364,8 @@ def classify(own: Walk, mask: np.ndarray, decided: np.ndarray, area: Area, below
                     if sum(grid(q) and (bool(mask[q]) or q in revive) for q in around) >= 2:
                         revive.add(p)
     trail = set(own.trail)
-    cells = np.array(area.cells)
-    row_span, column_span = np.ptp(cells[:, 0]) + 1, np.ptp(cells[:, 1]) + 1
-    in_row, in_column = np.bincount(cells[:, 0], minlength=rows), np.bincount(cells[:, 1], minlength=columns)
+    row_span, column_span = np.ptp(area.at[0]) + 1, np.ptp(area.at[1]) + 1
+    in_row, in_column = np.bincount(area.at[0], minlength=rows), np.bincount(area.at[1], minlength=columns)
     for r, c in perimeter(area.cells):
         if (r, c) in trail or decided[r, c]:
             continue
@@ -472,7 +539,7 @@ def bridge(mask: np.ndarray, decided: np.ndarray, found: list[Area], cube: np.nd
     """Dead cells that touch two areas come alive if a window with a signature matches inside the threshold."""
     label = np.zeros(mask.shape, int)
     for area in found:
-        label[tuple(np.array(area.cells).T)] = area.label
+        label[tuple(area.at)] = area.label
     with np.errstate(invalid="ignore"):
         fits = (np.isfinite(mu) & (cube >= threshold[0]) & (cube <= threshold[1]) & (np.abs(cube - mu) < sensitivity)).any(axis=2)
     out = mask.copy()

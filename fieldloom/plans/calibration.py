@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import warnings
 from collections.abc import Callable
 from typing import Any
 
@@ -44,5 +45,6 @@ class Invocation:
                 self.made[key] = make()
                 return self.made[key]
             except Exception as error:  # a failed calibration leaves the query as it was
+                warnings.warn(f"calibration failed: {error}", stacklevel=2)
                 self.failed[key] = error
         return before

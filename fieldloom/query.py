@@ -6,7 +6,8 @@ A ``FieldQuery`` holds lazy tables and settings; each step returns a new one and
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from datetime import date
 from typing import Any
 
@@ -15,12 +16,18 @@ from pyspark.sql import functions as F
 
 from .functions import geo, indices
 from .operators import boundaries, catalogue, delineate, fusion, georef, raster, retrieval, series, signature
+from .plans.calibration import Invocation, snapshot
 from .plans.params import DEFAULTS, UNSET, Params, iso_date, resolved
 
 
+#: Columns that the tables of a query need.
+NEEDED = {"scenes": ("site_id", "scene_date", "r", "c"), "detection": ("site_id", "scene_date", "r", "c", "v"), "seeds": ("site_id", "r0", "c0", "rmax")}
+
+
 @dataclass(frozen=True)
 class FieldQuery:
-    """scenes: pixels wide by band; detection: pixels of the search index; stages: what delineates; extra: prior and so on."""
+    """scenes: pixels wide by band; detection: pixels of the search index; stages: what delineates; view: the cells that outputs
+    show, (site_id, box) on ``grids``, all if None; reader: scenes with the bands of other indices."""
 
     scenes: DataFrame
     detection: DataFrame
@@ -35,10 +42,41 @@ class FieldQuery:
     stages: tuple[delineate.Stage, ...] = ()
     prior: DataFrame | None = None
     fused: bool = False
+    grids: DataFrame | None = None
+    view: DataFrame | None = None
+    reader: Callable[[tuple[str, ...]], DataFrame] | None = None
+    memory: Invocation = field(default_factory=Invocation, compare=False, repr=False)
+
+    def __post_init__(self):
+        for name, needed in NEEDED.items():
+            missing = [c for c in needed if c not in getattr(self, name).columns]
+            if missing:
+                raise ValueError(f"{name} of a query needs the columns {', '.join(missing)}")
+        if not isinstance(self.params, Params):
+            raise ValueError("params of a query are Params")
+        if self.index_name not in indices.FORMULAS:
+            raise ValueError(f"unknown index {self.index_name!r}")
 
     def __repr__(self) -> str:
         return f"FieldQuery({self.source}, {self.index_name}, {self.start}..{self.end}, {self.rows}x{self.columns}, stages={' > '.join(x.name for x in self.stages) or 'none'})"
 
+    def summary(self) -> dict[str, Any]:
+        """What the query is; no job runs."""
+        return {
+            "source": self.source, "index": self.index_name, "search_index": self.params.search_index, "period": (self.start, self.end), "windows": self.windows(), "bands": [c for c in self.scenes.columns if c in indices.BANDS["sentinel-2"]],
+            "stages": [x.name for x in self.stages], "set": sorted(self.params.user_set), "prior": self.prior is not None, "fused": self.fused,
+        }
+
+    def compose(self, index_name: str) -> FieldQuery:
+        """The same scenes with another index; bands that are missing are read late, under the same mask."""
+        if index_name not in indices.supported(self.source):
+            raise ValueError(f"{self.source} has no {index_name}")
+        if set(indices.needed_bands(index_name)) <= set(self.scenes.columns):
+            return replace(self, index_name=index_name)
+        if self.reader is None or self.fused:
+            raise ValueError(f"{index_name} needs bands that the scenes don't have")
+        return replace(self, index_name=index_name, scenes=self.reader((index_name, self.params.search_index)))
+
     # -- detection ---------------------------------------------------------------------------------
     def windows(self) -> int:
         first, last = (date.fromisoformat(x) for x in (self.params.search_start_date or self.start, self.params.search_end_date or self.end))
@@ -124,7 +162,11 @@ class FieldQuery:
         """Mask cells, or None before any delineation."""
         if not self._has_mask():
             return None
-        return delineate.delineated(self.features(), self.seeds, self.rows, self.columns, self._fill(), self.stages, self.windows(), self.calibration(), self.prior)
+        fill = self._fill()
+        with Invocation.begin(self.memory) as own:
+            key = snapshot(index=self.params.search_index, strictness=fill.strictness, threshold=fill.area_threshold, period=(self.start, self.end, fill.search_start_date, fill.search_end_date), prior=id(self.prior))
+            calibration = own.calibrated(key, self.calibration)
+        return delineate.delineated(self.features(), self.seeds, self.rows, self.columns, fill, self.stages, self.windows(), calibration, self.prior)
 
     # -- fusion ------------------------------------------------------------------------------------
     def add_coarse(self, coarse: DataFrame) -> FieldQuery:
@@ -168,24 +210,48 @@ class FieldQuery:
     def _values(self) -> DataFrame:
         return indices.with_index(self.scenes, self.index_name, "v")
 
+    def _shown(self, cells: DataFrame) -> DataFrame:
+        """Cells that the requested box touches."""
+        return cells if self.view is None else georef.cropped(cells, self.grids, self.view)
+
+    def _told(self, out: DataFrame) -> DataFrame:
+        """Where values come from, as metadata of their columns."""
+        about = {"source": self.source, "index": self.index_name, "start": self.start, "end": self.end, "stages": [x.name for x in self.stages]}
+        for name in out.columns:
+            if name in ("v", "value", "union") or name.startswith("area_"):
+                out = out.withMetadata(name, about)
+        return out
+
+    def _cells(self, mask: DataFrame | None) -> DataFrame | None:
+        """A caller's mask as cells, or the delineated one.  Edges of polygons in cell units (x1, y1, x2, y2) keep every cell they touch."""
+        if mask is None:
+            return self.mask()
+        if {"x1", "y1", "x2", "y2"} <= set(mask.columns):
+            sizes = max(self.rows, self.columns) or max(self.seeds.agg(F.max("nrow"), F.max("ncol")).first())
+            edges = mask if "poly_id" in mask.columns else mask.withColumn("poly_id", F.lit(1))
+            mask = boundaries.touched(edges, sizes).select("site_id", "r", "c").distinct().withColumn("area_num", F.lit(1))
+        return boundaries.check_mask(mask)
+
     def as_raster(self, composite: str = "median", mask: DataFrame | None = None, areas: list[int] | None = None) -> DataFrame:
-        """(site_id, r, c, v) or area layers: an explicit mask wins; before delineation all cells count; an empty mask empties."""
-        out, mask = raster.composite(self._values(), "v", composite), mask if mask is not None else self.mask()
+        """(site_id, r, c, v) or area layers: an explicit mask wins; before delineation all cells count; an empty mask empties.
+        Cells are composited, then cropped to the requested box."""
+        out, mask = self._shown(raster.composite(self._values(), "v", composite)), self._cells(mask)
         if mask is None:
-            return out
-        return raster.area_layers(out, mask, "v", ["site_id", "r", "c"], areas) if areas else raster.masked(out, mask, "v", ["site_id", "r", "c"])
+            return self._told(out)
+        return self._told(raster.area_layers(out, mask, "v", ["site_id", "r", "c"], areas) if areas else raster.masked(out, mask, "v", ["site_id", "r", "c"]))
 
     def as_time_series(self, every: str = "daily", how: str = "mean", mask: DataFrame | None = None, areas: list[int] | None = None) -> DataFrame:
         """(site_id, date, value), or a column for each area and their union; on a fused query estimates give way to
-        observations of the day and stay marked, with is_fused, anchor_days, anchor_mae and anchor_nmae."""
-        own, mask = self._values(), mask if mask is not None else self.mask()
+        observations of the day and stay marked, with is_fused, anchor_days, anchor_mae and anchor_nmae.  Cells are cropped to
+        the requested box, then aggregated."""
+        own, mask = self._shown(self._values()), self._cells(mask)
         if self.fused:
-            return series.fused_series(own, "v", every, how, mask, areas if mask is not None else None)
+            return self._told(series.fused_series(own, "v", every, how, mask, areas if mask is not None else None))
         if mask is not None and areas:
-            return series.area_series(own, mask, "v", areas, every, how)
+            return self._told(series.area_series(own, mask, "v", areas, every, how))
         if mask is not None:
             own = own.join(mask.select("site_id", "r", "c").distinct(), ["site_id", "r", "c"], "left_semi")
-        return series.series(own, "v", every, how)
+        return self._told(series.series(own, "v", every, how))
 
 
 def _period(start: str, end: str, source: str) -> tuple[str, str, str]:
@@ -205,6 +271,9 @@ def retrieve(scenes: DataFrame, seeds: DataFrame, rows: int, columns: int, start
         raise ValueError(f"{source} has no {index_name}")
     own = scenes.where(F.col("scene_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     detection = indices.with_index(own, params.search_index, "v")
+    if "rmax" not in seeds.columns:  # the largest complete square of the grid
+        r, c = F.col("r0"), F.col("c0")
+        seeds = seeds.withColumn("rmax", F.least(r - 1, F.lit(rows) - r, c - 1, F.lit(columns) - c).cast("int"))
     return FieldQuery(own, detection, seeds, rows, columns, first, last, source, index_name, params)
 
 
@@ -215,7 +284,8 @@ def get_scenes(
     """A query over the scenes of sites (site_id, longitude, latitude): search, reading, cleaning and mosaics (operators/retrieval.py),
     seed cells and their limits from the sites' grids.  All arguments are checked before any plan is built.
 
-    A site whose point lies outside its grid is an error when the query runs.
+    Grids are cut to the requested box, snapped outward, and numbered anew.  A site whose box misses its grid gives nothing;
+    one whose point lies outside the cut grid is an error when the query runs.
     """
     first, last, source = _period(start, end, source)
     for name in (index_name, params.search_index):
@@ -226,12 +296,22 @@ def get_scenes(
             raise ValueError("a box needs a positive width and height in metres")
     if max_cloud is not None and not 0 <= max_cloud <= 100:
         raise ValueError("max_cloud is a share from 0 to 100")
-    scenes = retrieval.scenes(sites, items, pixels, source, first, last, (index_name, params.search_index), max_cloud, mask, params.s2_processing, x_metres, y_metres)
-    placed = sites.join(grids.select("site_id", "epsg"), "site_id")
+    wide, high = F.lit(float(x_metres)), F.lit(float(y_metres or x_metres))
+    around = sites.select("site_id", F.lit(4326).alias("epsg"), geo.bbox(F.col("longitude"), F.col("latitude"), wide, high).alias("box")).where("box is not null")
+    boxes = georef.moved_boxes(around, grids)
+    own = georef.cropped_grid(grids, boxes)
+    view = georef.moved_boxes(georef.analysed_box(sites.select("site_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), wide, high), own)
+
+    def reader(names: tuple[str, ...]) -> DataFrame:
+        found = retrieval.scenes(sites, items, pixels, source, first, last, names, max_cloud, mask, params.s2_processing, x_metres, y_metres)
+        return georef.renumbered(found, grids, boxes)
+
+    scenes = reader((index_name, params.search_index))
+    placed = sites.join(own.select("site_id", "epsg"), "site_id")
     points = geo.with_xy(placed, F.col("longitude"), F.col("latitude"), F.col("epsg")).select("site_id", "x", "y")
-    seeds = georef.checked_seeds(georef.seeds(points, grids)).join(grids.select("site_id", "nrow", "ncol"), "site_id")
+    seeds = georef.checked_seeds(georef.seeds(points, own)).join(own.select("site_id", "nrow", "ncol"), "site_id")
     detection = indices.with_index(scenes, params.search_index, "v")
-    return FieldQuery(scenes, detection, seeds, 0, 0, first, last, source, index_name, params)
+    return FieldQuery(scenes, detection, seeds, 0, 0, first, last, source, index_name, params, grids=own, view=view, reader=reader)
 
 
 def is_query(x: object) -> bool:

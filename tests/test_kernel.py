@@ -131,6 +131,157 @@ def test_walk_ends_and_stays_near(seed):
         assert all(-1 <= r <= 9 and -1 <= c <= 11 for r, c in own.trail)
 
 
+def told_fill(open_, match, seed, box, density, windows, prior, strength):
+    """The fill as it is told, cell by cell."""
+    r0, r1, c0, c1 = box
+    alive, visited, sides = np.zeros(open_.shape, bool), np.zeros(open_.shape, bool), set()
+    if not open_[seed]:
+        return alive, 0
+    alive[seed] = visited[seed] = True
+    queue = [seed]
+    while queue:
+        r, c = queue.pop(0)
+        for x in range(r - 1, r + 2):
+            for y in range(c - 1, c + 2):
+                out = {"N": x < r0, "S": x > r1, "W": y < c0, "E": y > c1}
+                if any(out.values()):
+                    sides |= {s for s, o in out.items() if o}
+                elif not visited[x, y]:
+                    visited[x, y] = True
+                    if open_[x, y]:
+                        near = [(u, v) for u in range(x - 1, x + 2) for v in range(y - 1, y + 2) if (u, v) != (x, y) and r0 <= u <= r1 and c0 <= v <= c1 and visited[u, v]]
+                        bar = density + (strength if prior is not None and not prior[x, y] and match[x, y] / windows < 0.75 else 0.0)
+                        if sum(bool(open_[n]) for n in near) / len(near) >= bar:
+                            alive[x, y] = True
+                            queue.append((x, y))
+    return alive, len(sides)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fill_is_as_told(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(10):
+        rows, columns = (int(x) for x in rng.integers(3, 22, 2))
+        open_, match = rng.random((rows, columns)) < 0.75, rng.integers(0, 3, (rows, columns))
+        at = (int(rng.integers(rows)), int(rng.integers(columns)))
+        box = (int(rng.integers(0, at[0] + 1)), int(rng.integers(at[0], rows)), int(rng.integers(0, at[1] + 1)), int(rng.integers(at[1], columns)))
+        prior = rng.random((rows, columns)) < 0.5 if rng.random() < 0.5 else None
+        given = (open_, match, at, box, float(rng.choice([0.0, 0.2, 0.5, 0.7])), 2, prior, 0.2)
+        (mask, sides), (want, touched) = k.flood(*given), told_fill(*given)
+        assert (mask == want).all() and sides == touched
+
+
+@pytest.mark.parametrize("four", [False, True])
+def test_areas_against_a_flood(four):
+    """Labels in column order of first cells, whatever the shape."""
+    rng = np.random.default_rng(four)
+    for _ in range(200):
+        grid = rng.random((rng.integers(1, 14), rng.integers(1, 14))) < rng.choice([0.3, 0.5, 0.7])
+        found, label = np.zeros(grid.shape, int), 0
+        for c in range(grid.shape[1]):
+            for r in range(grid.shape[0]):
+                if grid[r, c] and not found[r, c]:
+                    label += 1
+                    stack = [(r, c)]
+                    found[r, c] = label
+                    while stack:
+                        x, y = stack.pop()
+                        for u, v in [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (not four or not (i and j))]:
+                            if 0 <= u < grid.shape[0] and 0 <= v < grid.shape[1] and grid[u, v] and not found[u, v]:
+                                found[u, v] = label
+                                stack.append((u, v))
+        own = np.zeros(grid.shape, int)
+        for area in k.areas(grid, (0, 0), four):
+            own[tuple(area.at)] = area.label
+        assert (own == found).all()
+
+
+def told_walk(mask):
+    """The walk as it is told, on a grid with a dead ring: three lines of sight are remembered, and a turn forgets the older two."""
+    grid = np.pad(mask, 1)
+    rows, columns = grid.shape
+    if mask.sum() < 3:
+        return [], [], False
+    inside = lambda r, c: 0 <= r < rows and 0 <= c < columns
+    alive = lambda r, c: inside(r, c) and bool(grid[r, c])
+    steps = [(-1, 0), (0, 1), (1, 0), (0, -1)]  # north, east, south, west
+    left = lambda d: (d - 1) % 4
+
+    def line(r, c, d):
+        out, (i, j) = [], steps[left(d)]
+        r, c = r + i, c + j
+        while inside(r, c):
+            out.append(alive(r, c))
+            r, c = r + i, c + j
+        return out
+
+    first = np.argwhere(grid)[0]
+    spot, d, trail, edges, marks = (int(first[0]) - 1, int(first[1]) - 1), 2, [], [], []
+    trail.append(spot)
+    now, one_ago, two_ago = line(*spot, d), None, None
+    empty = not any(now)
+    marks, turned, living, mode, back = {spot}, 1, False, "walking", None
+    opened = 0
+    for _ in range(12 * int(mask.sum()) + 200):
+        i, j = steps[d]
+        p, q = steps[left(d)]
+        ahead = (spot[0] + i, spot[1] + j)
+        turn = False
+        if mode == "walking":
+            if not alive(ahead[0] + p, ahead[1] + q):
+                if not inside(*ahead):
+                    turn = True
+                else:
+                    back, spot, mode = spot, ahead, "scouting"
+                    trail.append(spot)
+                    now, one_ago, two_ago = line(*spot, d), now, one_ago
+            elif not inside(*ahead):
+                break
+            else:
+                spot = ahead
+                trail.append(spot)
+                living |= alive(*spot)
+                now, one_ago, two_ago = line(*spot, d), now, one_ago
+        elif mode == "scouting":
+            near = alive(*ahead) or alive(ahead[0] + p, ahead[1] + q) or alive(ahead[0] - p, ahead[1] - q)
+            reach = max((k + 1 for k, x in enumerate(two_ago) if x), default=0) if two_ago is not None else 0
+            if near or any(now[:reach]):
+                mode = "pending"
+            else:
+                trail.pop()
+                spot, turn = back, True
+        elif any(now[:2]):
+            living |= alive(*spot)
+            mode = "walking"
+        else:
+            trail.pop()
+            spot, turn = back, True
+        if turn:
+            edges.append((opened, len(trail) - 1, living))
+            opened = len(trail) - 1
+            if spot in marks and turned >= 3:
+                return [(r - 1, c - 1) for r, c in trail], edges, empty
+            marks.add(spot)
+            turned, living, mode, d = turned + 1, False, "walking", left(d)
+            now, one_ago, two_ago = line(*spot, d), None, None
+    if opened < len(trail) - 1:
+        edges.append((opened, len(trail) - 1, living))
+    return [(r - 1, c - 1) for r, c in trail], edges, empty
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_walk_is_as_told(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(12):
+        grid = rng.random((rng.integers(4, 16), rng.integers(4, 16))) < rng.choice([0.45, 0.6, 0.8])
+        for area in k.areas(grid, (0, 0)):
+            mask = k.only(grid, area)
+            trail, edges, empty = told_walk(mask)
+            own = k.walk(mask)
+            assert (own.trail, [(e.start, e.end, e.alive) for e in own.edges]) == (trail, edges)
+            assert not trail or own.scouted_empty == empty
+
+
 def test_margins():
     below, above = k.margins((0.5, 0.5, 1))
     assert not below(0.5) and above(0.5)
