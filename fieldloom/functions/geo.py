@@ -82,6 +82,22 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     return F.lit(500000.0) + F.lit(k) * x, F.when(epsg >= 32700, F.lit(1e7)).otherwise(0.0) + F.lit(k) * y
 
 
+def _computed(frame: DataFrame, **columns: Column) -> DataFrame:
+    """``frame`` with columns that later filters can't take apart: a predicate on a long formula would be pushed below it with
+    the whole formula copied into it, once for every use.  A generator of one row is where pushing ends."""
+    return frame.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def with_box(frame: DataFrame, lon: Column, lat: Column, x_metres: Column, y_metres: Column, name: str = "box") -> DataFrame:
+    """``frame`` with ``bbox`` of its points; rows whose box would cross the antimeridian go."""
+    dx, dy = metres_to_degrees(lat, x_metres)[0], metres_to_degrees(lat, y_metres)[1]
+    own = _computed(frame, _blon=lon, _blat=lat, _dx=dx, _dy=dy)
+    x, y, dx, dy = (F.col(c) for c in ("_blon", "_blat", "_dx", "_dy"))
+    own = own.where((x - dx / 2 >= -180) & (x + dx / 2 <= 180) & (dx <= 180))
+    box = F.struct((x - dx / 2).alias("xmin"), (y - dy / 2).alias("ymin"), (x + dx / 2).alias("xmax"), (y + dy / 2).alias("ymax"))
+    return own.withColumn(name, box).drop("_blon", "_blat", "_dx", "_dy")
+
+
 def with_lonlat(frame: DataFrame, x: Column, y: Column, epsg: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """``frame`` with longitude and latitude of UTM coordinates (Krueger's inverse series), or of geographic ones (4326) unchanged.
 
@@ -92,29 +108,28 @@ def with_lonlat(frame: DataFrame, x: Column, y: Column, epsg: Column, lon: str =
     beta = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
     delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
     k = F.lit(0.9996 * rectifying)
-    own = frame.withColumns({"_gx": x, "_gy": y, "_ge": epsg})
+    own = _computed(frame, _gx=x, _gy=y, _ge=epsg)
     own = own.withColumns({"_xi": (F.col("_gy") - F.when(F.col("_ge") >= 32700, F.lit(1e7)).otherwise(0.0)) / k, "_eta": (F.col("_gx") - F.lit(500000.0)) / k})
     a, b = F.col("_xi"), F.col("_eta")
     for j, c in enumerate(beta, 1):
         a = a - F.lit(c) * F.sin(2 * j * F.col("_xi")) * F.cosh(2 * j * F.col("_eta"))
         b = b - F.lit(c) * F.cos(2 * j * F.col("_xi")) * F.sinh(2 * j * F.col("_eta"))
-    own = own.withColumns({"_a": a, "_b": b})
+    own = _computed(own, _a=a, _b=b)
     own = own.withColumn("_chi", F.asin(F.sin("_a") / F.cosh("_b")))
     up = F.col("_chi")
     for j, c in enumerate(delta, 1):
         up = up + F.lit(c) * F.sin(2 * j * F.col("_chi"))
     plain = F.col("_ge") == 4326
-    own = own.withColumns({"_lon": (F.col("_ge") % 100) * 6 - 183 + F.degrees(F.atan2(F.sinh("_b"), F.cos("_a"))), "_lat": F.degrees(up)})
-    own = own.withColumns({lon: F.when(plain, F.col("_gx")).otherwise(F.col("_lon")), lat: F.when(plain, F.col("_gy")).otherwise(F.col("_lat"))})
-    return own.drop("_xi", "_eta", "_a", "_b", "_chi", "_gx", "_gy", "_ge", *(c for c in ("_lon", "_lat") if c not in (lon, lat)))
+    east, north = (F.col("_ge") % 100) * 6 - 183 + F.degrees(F.atan2(F.sinh("_b"), F.cos("_a"))), F.degrees(up)
+    own = _computed(own, **{lon: F.when(plain, F.col("_gx")).otherwise(east), lat: F.when(plain, F.col("_gy")).otherwise(north)})
+    return own.drop("_xi", "_eta", "_a", "_b", "_chi", "_gx", "_gy", "_ge")
 
 
 def with_xy(frame: DataFrame, lon: Column, lat: Column, epsg: Column, x: str = "x", y: str = "y") -> DataFrame:
     """``frame`` with coordinates in a UTM zone, or geographic ones (4326)."""
-    own = frame.withColumns({"_glon": lon, "_glat": lat, "_ge": epsg})
+    own = _computed(frame, _glon=lon, _glat=lat, _ge=epsg)
     plain, moved = F.col("_ge") == 4326, utm(F.col("_glon"), F.col("_glat"), F.col("_ge"))
-    own = own.withColumns({"_gx": moved[0], "_gy": moved[1]})
-    return own.withColumns({x: F.when(plain, F.col("_glon")).otherwise(F.col("_gx")), y: F.when(plain, F.col("_glat")).otherwise(F.col("_gy"))}).drop("_glon", "_glat", "_ge", "_gx", "_gy")
+    return _computed(own, **{x: F.when(plain, F.col("_glon")).otherwise(moved[0]), y: F.when(plain, F.col("_glat")).otherwise(moved[1])}).drop("_glon", "_glat", "_ge")
 
 
 def parallel_area(lat: Column) -> Column:

@@ -198,9 +198,7 @@ def aligned(cells: DataFrame, values: list[str], source: DataFrame, target: Data
 
 def analysed_box(points: DataFrame, x_metres: Column, y_metres: Column) -> DataFrame:
     """(site_id, epsg, x, y, box): a site's point (lon, lat) in its UTM zone and the box of full width and height around it."""
-    own = points.withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat")))
-    x, y = geo.utm(F.col("lon"), F.col("lat"), F.col("epsg"))
-    own = own.withColumns({"x": x, "y": y})
+    own = geo.with_xy(points.withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat"))), F.col("lon"), F.col("lat"), F.col("epsg"))
     box = F.struct((F.col("x") - x_metres / 2).alias("xmin"), (F.col("y") - y_metres / 2).alias("ymin"), (F.col("x") + x_metres / 2).alias("xmax"), (F.col("y") + y_metres / 2).alias("ymax"))
     return own.select("site_id", "epsg", "x", "y", box.alias("box"))
 

@@ -124,8 +124,7 @@ def scenes(
     Tiles of a day are merged in the order of their item ids; for coarse scenes a day without one of the bands goes.
     """
     own, coarse = reflectance.sensor(source), source == "mcd43a4"
-    box = geo.bbox(F.col("longitude"), F.col("latitude"), F.lit(float(x_metres)), F.lit(float(y_metres or x_metres)))
-    boxed = sites.select("site_id", box.alias("box")).where("box is not null")
+    boxed = geo.with_box(sites, F.col("longitude"), F.col("latitude"), F.lit(float(x_metres)), F.lit(float(y_metres or x_metres))).select("site_id", "box")
     if coarse:  # footprints of sinusoidal tiles miss neighbours of a seam
         boxed = boxed.withColumn("box", geo.padded(F.col("box")))
     near = of_sites(catalogue.items(in_period(items, start, end), start, end, None if coarse else max_cloud, own.platforms), boxed)

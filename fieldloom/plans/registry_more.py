@@ -208,7 +208,7 @@ def asset_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = places(spark).select("site_id", geo.bbox(F.col("longitude"), F.col("latitude"), F.lit(1000.0), F.lit(1000.0)).alias("box"))
+    boxes = geo.with_box(places(spark), F.col("longitude"), F.col("latitude"), F.lit(1000.0), F.lit(1000.0)).select("site_id", "box")
     return retrieval.of_sites(retrieval.in_period(catalogue_items(spark, sf_dir), _FIRST, _LAST).where("cloud <= 50"), boxes)
 
 

@@ -297,7 +297,7 @@ def get_scenes(
     if max_cloud is not None and not 0 <= max_cloud <= 100:
         raise ValueError("max_cloud is a share from 0 to 100")
     wide, high = F.lit(float(x_metres)), F.lit(float(y_metres or x_metres))
-    around = sites.select("site_id", F.lit(4326).alias("epsg"), geo.bbox(F.col("longitude"), F.col("latitude"), wide, high).alias("box")).where("box is not null")
+    around = geo.with_box(sites, F.col("longitude"), F.col("latitude"), wide, high).select("site_id", F.lit(4326).alias("epsg"), "box")
     boxes = georef.moved_boxes(around, grids)
     own = georef.cropped_grid(grids, boxes)
     view = georef.moved_boxes(georef.analysed_box(sites.select("site_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat")), wide, high), own)

@@ -144,7 +144,9 @@ def test_chain_from_catalogue_to_mask(spark):
     assert q.source == "sentinel-2" and q.seeds.first().asDict() == {"site_id": 1, "r0": 2, "c0": 2, "rmax": 0, "nrow": 2, "ncol": 2}
     cells = {(r.r, r.c) for r in q.segment_area(area_threshold=(0.1, 0.9), area_sensitivity=0.5, time_independent_windows=False).mask().collect()}
     assert cells == {(1, 1), (1, 2), (2, 1), (2, 2)}
-    out = get_scenes(sites, items, dn, grid(spark, (1, 4326, 2, 2, 10.0, -31.999, 0.001, 0.001)), "2021-01-01", "2021-02-01")
+    far, near = (get_scenes(sites, items, dn, grid(spark, (1, 4326, 2, 2, west, -31.9985, 0.001, 0.001)), "2021-01-01", "2021-02-01") for west in (10.0, 117.8022))
+    assert far.seeds.count() == 0 and far.scenes.count() == 0  # the box misses the grid
+    out = near
     with pytest.raises(Exception, match="outside its grid"):
         out.seeds.collect()
     for bad in ({"index_name": "XYZ"}, {"x_metres": -1}, {"max_cloud": 101}, {"end": "2021-01-02"}, {"source": "landsat-5x"}):
@@ -215,7 +217,7 @@ def test_rounds_and_cache(spark, tmp_path):
     assert turns == [["a", "b", "d"], ["b"]] and waits == [2.0]
     assert sorted((r.id, r.value) for r in rows.collect()) == [("a", 0.5), ("b", 0.5)]
     assert {r.id: (r.status, r.dates, r.attempts, r.cached) for r in outcomes.collect()} == {"a": ("success", 1, 1, False), "b": ("success", 1, 2, False), "c": ("failure", 0, 0, False), "d": ("empty", 0, 1, False)}
-    assert [(r.id, r.index, r.reason, r.attempts) for r in failures.collect()] == [("c", "NDVI", "longitude", 0)]
+    assert [(r.id, r["index"], r.reason, r.attempts) for r in failures.collect()] == [("c", "NDVI", "longitude", 0)]
     turns.clear()
     rows, _, outcomes = batch.rounds(sites, "NDVI", attempt, f"file://{tmp_path}/work", cache=cache, sleep=waits.append)
     assert turns == [[]] and rows.count() == 2 and all(r.cached and r.attempts == 0 for r in outcomes.where("id != 'c'").collect())
