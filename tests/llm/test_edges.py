@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from fieldloom.llm import bpe, chat, media, mixing, quality_mil, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
+from fieldloom.llm import bpe, chat, common, media, mixing, quality_mil, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 from pyspark.sql import functions as F
 
 random.seed(5)
@@ -70,6 +70,35 @@ def test_filters_return_the_callers_columns(docs, labels):
         assert row is None or all(row[c] == f"extra {c}" for c in EXTRA)
 
 
+def test_pipeline_stages_take_every_row(spark, docs, labels, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables, stage after stage as the pipeline runs them."""
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES:
+            kept = common.written(stage(spark, kept, str(tmp_path)), name)
+            if name != "bpe":
+                assert kept.columns == docs.columns
+        assert kept.columns[:2] == ["doc_id", "n_tokens"] and (kept.count() > 0) == (table.count() > 0)
+
+
+def test_written_tables_can_be_dropped(spark, tmp_path):
+    kept = common.written(spark.range(3), "trial")
+    assert kept.count() == 3 and f"fieldloom/{spark.sparkContext.applicationId}/" in kept.inputFiles()[0]
+    common.drop_written(kept)
+    with pytest.raises(Exception):  # noqa: B017  the files are gone
+        spark.read.parquet(kept.inputFiles()[0].rsplit("/", 1)[0]).count()
+
+
+def test_chat_keeps_callers_columns_apart(spark):
+    talk = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yo")], "conv_id long, turn long, role string, text string")
+    clash = talk.withColumns({c: F.lit(f"extra {c}") for c in ("conv", "id", "parent", "score", "depth", "up", "leaf", "rank", "c", "p")})
+    one, other = (chat.formatted(chat.from_turns(x)).select("formatted", "mask").collect() for x in (talk, clash))
+    assert one == other and len(one) == 1
+
+
 def test_filters_of_nothing(docs, labels):
     none = docs.limit(0)
     for out in (toxicity.drop_toxic(none, labels.limit(0)), simhash.drop_near_copies(none), mixing.mix(none)):
