@@ -81,21 +81,22 @@ def counts(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0).alias("_lines"),
         F.regexp_count("_text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(r"(?<![^\x20\x09-\x0D])\p{Lu}{2,}[!?.,]*(?![^\x20\x09-\x0D])")).cast("long").alias("n_shouted"),
+        # the capital comes before the look behind it, so few places get that far
+        F.regexp_count("_text", F.lit(r"\p{Lu}(?<![^\x20\x09-\x0D]\p{Lu})\p{Lu}+[!?.,]*(?![^\x20\x09-\x0D])")).cast("long").alias("n_shouted"),
     )
     out = out.withColumns(
         {
             "n_words": size("_words"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_lines": size("_lines"),
             "n_dup_lines": size("_lines") - size(F.array_distinct("_lines")),
             "n_stop_words": size(F.filter("_words", lambda x: F.lower(x).isin(stop))),
             "_h": F.transform("_words", lambda x: F.xxhash64(x)),
         }
     ).drop("_lines", "_words")
-    # windows of five: five shifted copies of the word hashes, zipped
-    zipped = F.arrays_zip(*(F.slice("_h", F.lit(k + 1), F.greatest(F.size("_h") - 4, F.lit(0))).alias(f"h{k}") for k in range(5)))
-    out = out.withColumn("_g", F.transform(zipped, lambda x: F.xxhash64(*(x[f"h{k}"] for k in range(5))))).drop("_h")
+    # windows of five: every word's hash with the four behind it
+    windows = F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 4, F.lit(0)))
+    out = out.withColumn("_g", F.transform(windows, lambda x, i: F.xxhash64(x, *(F.get("_h", i + k) for k in range(1, 5))))).drop("_h")
     repeats = F.size(F.array_distinct("_g")) < F.size("_g")
     pairs = F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
