@@ -202,6 +202,14 @@ def ring_texts(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.groupBy(*keys).applyInPandas(chained, f"{kinds}, ring int, wkt string")
 
 
+def box_edges(boxes: DataFrame) -> DataFrame:
+    """(site_id, x1, y1, x2, y2): the border of each site's box (xmin, ymin, xmax, ymax) as edges, counter-clockwise."""
+    a, b, c, d = (F.col(f"box.{k}") for k in ("xmin", "ymin", "xmax", "ymax"))
+    ring = [((a, b), (c, b)), ((c, b), (c, d)), ((c, d), (a, d)), ((a, d), (a, b))]
+    edges = F.array(*(F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")) for (x1, y1), (x2, y2) in ring))
+    return boxes.select("site_id", F.inline(edges))
+
+
 def check_mask(mask: DataFrame) -> DataFrame:
     """A mask of cells that an output may use; an error for one without the columns of cells or without cells."""
     missing = [c for c in ("site_id", "r", "c") if c not in mask.columns]

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 from dataclasses import dataclass
@@ -25,6 +26,22 @@ def cache_key(request: dict[str, Any]) -> str:
     return hashlib.sha256(json.dumps([__version__, plain], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def safe_label(path: str) -> str:
+    """A path or address that may be shown: without query, fragment, user and password."""
+    text = re.sub(r"[?#].*$", "", path)
+    return re.sub(r"^([A-Za-z][\w+.-]*://)[^/@]*@", r"\1", text)
+
+
+def source_id(spark: SparkSession, path: str) -> str:
+    """A hash of a file's or folder's place, sizes and times, for keys of what was made from it; a change of the file changes it."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        raise FileNotFoundError(safe_label(path))
+    found = [(x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in files.listStatus(root)]
+    return hashlib.sha256(json.dumps([safe_label(path), sorted(found)]).encode()).hexdigest()
+
+
 @dataclass
 class ResultCache:
     spark: SparkSession

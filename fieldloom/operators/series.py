@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from .raster import REDUCERS
 
+#: ``median`` keeps every distinct value of a scene in one place; ``median_approx`` is for scenes of any size: a sketch of
+#: 10,000 points, off by a ten-thousandth of the ranks at most.
+SCENE_REDUCERS = REDUCERS | {"median_approx": lambda c: F.percentile_approx(c, 0.5, 10_000).cast("double")}
+
 FORMATS = {"daily": "yyyy-MM-dd", "monthly": "yyyy-MM", "yearly": "yyyy"}
 
 
@@ -21,7 +25,7 @@ def bucket(day: Column, every: str) -> Column:
 
 def scene_values(pixels: DataFrame, value: str, how: str = "mean", keys: tuple[str, ...] = ("site_id", "scene_date")) -> DataFrame:
     """One statistic for each scene; scenes without a value go."""
-    return pixels.groupBy(*keys).agg(REDUCERS[how](value).alias("value")).where("value is not null")
+    return pixels.groupBy(*keys).agg(SCENE_REDUCERS[how](value).alias("value")).where("value is not null")
 
 
 def observed_first(scenes: DataFrame) -> DataFrame:
@@ -33,13 +37,13 @@ def observed_first(scenes: DataFrame) -> DataFrame:
 def series(pixels: DataFrame, value: str, every: str = "daily", how: str = "mean") -> DataFrame:
     """(site_id, date, value): the statistic of scene values (not of pooled pixels) in each bucket."""
     scenes = scene_values(pixels, value, how)
-    return scenes.groupBy("site_id", bucket(F.col("scene_date"), every).alias("date")).agg(REDUCERS[how]("value").alias("value"))
+    return scenes.groupBy("site_id", bucket(F.col("scene_date"), every).alias("date")).agg(SCENE_REDUCERS[how]("value").alias("value"))
 
 
 def rolled_up(pixels: DataFrame, value: str, how: str = "mean") -> DataFrame:
     """(site_id, year, month, value, n): scene values by month, year, site and in all, NULLs marking totals; one pass."""
     scenes = scene_values(pixels, value, how).select("site_id", F.year("scene_date").alias("year"), F.month("scene_date").alias("month"), "value")
-    return scenes.rollup("site_id", "year", "month").agg(REDUCERS[how]("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return scenes.rollup("site_id", "year", "month").agg(SCENE_REDUCERS[how]("value").alias("value"), F.count(F.lit(1)).alias("n"))
 
 
 def area_series(pixels: DataFrame, mask: DataFrame, value: str, areas: list[int], every: str = "daily", how: str = "mean") -> DataFrame:
@@ -48,8 +52,8 @@ def area_series(pixels: DataFrame, mask: DataFrame, value: str, areas: list[int]
     own = pixels.join(flags, ["site_id", "r", "c"])
     names = [f"area_{a}" for a in areas] + ["union"]
     parts = [F.when(F.col(f"_{a}"), F.col(value)) for a in areas] + [F.col(value)]
-    scenes = own.groupBy("site_id", "scene_date").agg(*(REDUCERS[how](p).alias(n) for n, p in zip(names, parts, strict=True)))
-    out = scenes.groupBy("site_id", bucket(F.col("scene_date"), every).alias("date")).agg(*(REDUCERS[how](n).alias(n) for n in names))
+    scenes = own.groupBy("site_id", "scene_date").agg(*(SCENE_REDUCERS[how](p).alias(n) for n, p in zip(names, parts, strict=True)))
+    out = scenes.groupBy("site_id", bucket(F.col("scene_date"), every).alias("date")).agg(*(SCENE_REDUCERS[how](n).alias(n) for n in names))
     return out.where(F.coalesce(*names).isNotNull())
 
 
@@ -65,7 +69,7 @@ def fused_series(pixels: DataFrame, value: str, every: str = "daily", how: str =
     elif mask is not None:
         pixels = pixels.join(mask.select(*keys).distinct(), keys, "left_semi")
     scenes = pixels.groupBy("site_id", "scene_date", "is_fused").agg(
-        *(REDUCERS[how](p).alias(n) for n, p in zip(names, parts, strict=True)),
+        *(SCENE_REDUCERS[how](p).alias(n) for n, p in zip(names, parts, strict=True)),
         F.max("anchor_days").alias("anchor_days"), F.avg("residual").alias("anchor_mae"), F.abs(F.avg("anchor_value")).alias("_fine"),
     ).where(F.coalesce(*names).isNotNull())
     nmae = F.when(F.col("_fine") > 1e-6, F.col("anchor_mae") / F.col("_fine"))
@@ -73,7 +77,7 @@ def fused_series(pixels: DataFrame, value: str, every: str = "daily", how: str =
     date, columns = bucket(F.col("scene_date"), every).alias("date"), [*names, "anchor_days", "anchor_mae", "anchor_nmae"]
     if every == "daily":
         return scenes.select("site_id", date, "is_fused", *columns)
-    return scenes.groupBy("site_id", date, "is_fused").agg(*(REDUCERS[how](n).alias(n) for n in columns))
+    return scenes.groupBy("site_id", date, "is_fused").agg(*(SCENE_REDUCERS[how](n).alias(n) for n in columns))
 
 
 def custom_series(pixels: DataFrame, value: str, function: Callable, every: str = "daily") -> DataFrame:

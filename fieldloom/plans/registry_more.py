@@ -372,6 +372,18 @@ def polygon_of_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.selected(points, boundaries.of_points(points, bridge.edges(spark, sf_dir).drop("site_id")))
 
 
+@query(
+    "box_edges",
+    f"""WITH {SITES}, b AS (SELECT site_id, lon - 0.5 AS a, lat - 0.25 AS b, lon + 0.5 AS c, lat + 0.25 AS d FROM sites)
+SELECT site_id, round(x1, 9) AS x1, round(y1, 9) AS y1, round(x2, 9) AS x2, round(y2, 9) AS y2 FROM (SELECT site_id, a AS x1, b AS y1, c AS x2, b AS y2 FROM b UNION ALL SELECT site_id, c, b, c, d FROM b UNION ALL SELECT site_id, c, d, a, d FROM b UNION ALL SELECT site_id, a, d, a, b FROM b)""",
+)
+def box_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as polygons."""
+    lon, lat = F.col("lon"), F.col("lat")
+    box = F.struct((lon - F.lit(0.5)).alias("xmin"), (lat - F.lit(0.25)).alias("ymin"), (lon + F.lit(0.5)).alias("xmax"), (lat + F.lit(0.25)).alias("ymax"))
+    return rounded(boundaries.box_edges(bridge.sites(spark, sf_dir).select("site_id", box.alias("box"))), "x1", "y1", "x2", "y2")
+
+
 # -- fills without order ---------------------------------------------------------------------------
 
 _MU = """b3 AS (SELECT f.* FROM feat f WHERE abs(r - 12) <= 1 AND abs(c - 12) <= 1), l3 AS (SELECT site_id, r, c, 1 AS w, w1 AS v FROM b3 UNION ALL SELECT site_id, r, c, 2, w2 FROM b3 UNION ALL SELECT site_id, r, c, 3, w3 FROM b3),

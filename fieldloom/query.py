@@ -77,6 +77,12 @@ class FieldQuery:
             raise ValueError(f"{index_name} needs bands that the scenes don't have")
         return replace(self, index_name=index_name, scenes=self.reader((index_name, self.params.search_index)))
 
+    def kept(self, folder: str) -> FieldQuery:
+        """The query over a copy of its scenes in ``folder`` (shared Parquet), so that nothing is read from remote twice."""
+        self.scenes.write.mode("overwrite").parquet(folder)
+        scenes = self.scenes.sparkSession.read.schema(self.scenes.schema).parquet(folder)
+        return replace(self, scenes=scenes, detection=indices.with_index(scenes, self.params.search_index, "v"), reader=None)
+
     # -- detection ---------------------------------------------------------------------------------
     def windows(self) -> int:
         first, last = (date.fromisoformat(x) for x in (self.params.search_start_date or self.start, self.params.search_end_date or self.end))

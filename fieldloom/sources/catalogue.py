@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.reflectance import sensor
 from ..operators import catalogue as ops
+from ..plans.batch import fetched
 
 ITEMS = "item_id string, collection string, platform string, datetime string, cloud double, xmin double, ymin double, xmax double, ymax double, assets map<string,string>"
 
@@ -47,6 +48,26 @@ def items_from_json(texts: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
+def signed_text(href: str, token: str | None) -> str:
+    """An address with an access token appended."""
+    return href if not token else f"{href}{'&' if '?' in href else '?'}{token}"
+
+
+def pixels(spark: SparkSession, path: str, bands: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
+    """Pixel rows (site_id, scene_date, r, c, bands) of a Parquet table: only the asked bands and days are read, digital numbers as they are."""
+    from pyspark.sql import functions as F
+
+    own = spark.read.parquet(path)
+    missing = [b for b in bands if b not in own.columns]
+    if missing:
+        raise ValueError(f"{path} has no {', '.join(missing)}")
+    if start is not None:
+        own = own.where(F.col("scene_date") >= F.lit(start).cast("date"))
+    if end is not None:
+        own = own.where(F.col("scene_date") <= F.lit(end).cast("date"))
+    return own.select("site_id", "scene_date", "r", "c", *bands)
+
+
 class _Slice(InputPartition):
     def __init__(self, start: str, end: str):
         self.start, self.end = start, end
@@ -73,11 +94,15 @@ class _StacReader(DataSourceReader):
 
         module, _, name = self.options["search"].partition(":")
         search = getattr(importlib.import_module(module), name)
-        for page in search(collection=self.options["collection"], start=partition.start, end=partition.end + "T23:59:59.999999Z", box=self.options.get("box"), max_cloud=self.options.get("max_cloud")):
+        query = {"collection": self.options["collection"], "start": partition.start, "end": partition.end + "T23:59:59.999999Z", "box": self.options.get("box"), "max_cloud": self.options.get("max_cloud")}
+        # a slice's pages are fetched whole, so a try that fails halfway leaves no rows
+        pages = fetched(lambda: list(search(**query)), int(self.options.get("tries", "10")), float(self.options.get("pause", "2")))
+        sign = self.options.get("token")
+        for page in pages:
             for item in page:
                 p, b = item["properties"], item.get("bbox") or [None] * 4
                 cloud = p.get("eo:cloud_cover")
-                yield (item["id"], item.get("collection"), p.get("platform"), p.get("datetime") or p.get("start_datetime"), None if cloud is None else float(cloud), *b, {k: a["href"] for k, a in item.get("assets", {}).items()})
+                yield (item["id"], item.get("collection"), p.get("platform"), p.get("datetime") or p.get("start_datetime"), None if cloud is None else float(cloud), *b, {k: signed_text(a["href"], sign) for k, a in item.get("assets", {}).items()})
 
 
 class StacSource(DataSource):

@@ -200,6 +200,71 @@ def test_boundary_on_a_mask_starts_anew():
     assert not site.decided.all() and site.staged is None
 
 
+def test_views_summaries_and_late_bands(spark, tmp_path):
+    sites, items, dn = scene_tables(spark)
+    blue = [(f"s3://x/{k}/B02", r, c, 600) for k in (2, 4) for r in (1, 2) for c in (1, 2)]
+    items = items.withColumn("assets", F.map_concat("assets", F.create_map(F.lit("B02"), F.concat(F.lit("s3://x/"), F.col("item_id"), F.lit("/B02")))))
+    dn = dn.unionByName(spark.createDataFrame(blue, dn.schema))
+    grids = grid(spark, (1, 4326, 2, 2, 117.7985, -31.9985, 0.001, 0.001))
+    q = get_scenes(sites, items, dn, grids, "2021-01-01", "2021-02-01", "NDVI", params=params(search_index="NDVI"))
+    told = q.summary()
+    assert told["bands"] == ["red", "nir"] and told["stages"] == [] and told["source"] == "sentinel-2" and told["windows"] == 2
+    late = q.compose("EVI")
+    assert set(late.scenes.columns) >= {"blue", "red", "nir"} and late.scenes.where("blue is not null").count() == 4
+    with pytest.raises(ValueError, match="has no"):
+        q.compose("nothing")
+    out = q.as_time_series()
+    assert out.schema["value"].metadata["index"] == "NDVI" and out.count() == 2
+    assert q.kept(f"file://{tmp_path}/kept").as_raster().count() == 4
+    with pytest.raises(ValueError, match="needs the columns"):
+        retrieve(q.scenes.drop("r"), q.seeds, 2, 2, "2021-01-01", "2021-02-01", "NDVI")
+
+
+def test_polygon_masks_keep_touched_cells_and_views_crop(spark):
+    px, seeds = field(spark)
+    q = retrieve(px, seeds.drop("rmax"), 21, 21, "2021-01-01", "2021-01-31")
+    assert q.seeds.first().rmax == 10
+    edges = spark.createDataFrame([("a", *e[2:]) for e in squares((0, 0, 4.5, 4.5, 6.5, 6.5))], "site_id string, x1 double, y1 double, x2 double, y2 double")
+    kept = q.as_raster(mask=edges).where("v is not null")
+    assert {(r.r, r.c) for r in kept.collect()} == {(r, c) for r in (5, 6, 7) for c in (5, 6, 7)}
+    with pytest.raises(ValueError, match="empty"):
+        q.as_raster(mask=edges.limit(0))
+    whole = spark.createDataFrame([("a", 32750, 21, 21, 0.0, 210.0, 10.0, 10.0)], "site_id string, epsg int, nrow int, ncol int, xmin double, ymax double, res_x double, res_y double")
+    box = whole.select("site_id", F.struct(F.lit(15.0).alias("xmin"), F.lit(150.0).alias("ymin"), F.lit(40.0).alias("xmax"), F.lit(181.0).alias("ymax")).alias("box"))
+    from dataclasses import replace
+
+    seen = replace(q, grids=whole, view=box).as_raster().collect()
+    assert {(r.r, r.c) for r in seen} == {(r, c) for r in range(3, 7) for c in range(2, 5)}
+
+
+def test_labels_and_identities(spark, tmp_path):
+    from fieldloom.operators import cache
+    from fieldloom.sources import catalogue as sources
+
+    assert cache.safe_label("https://me:secret@host/a/b.parquet?sig=1#x") == "https://host/a/b.parquet" and cache.safe_label("/a/b") == "/a/b"
+    path = f"file://{tmp_path}/t"
+    spark.createDataFrame([("a", 1, 2, 3.0, 4.0)], "site_id string, r int, c int, nir double, red double").withColumn("scene_date", F.to_date(F.lit("2021-01-05"))).write.parquet(path)
+    one = cache.source_id(spark, path)
+    assert one == cache.source_id(spark, path)
+    own = sources.pixels(spark, path, ["nir"], "2021-01-01", "2021-01-31")
+    assert own.columns == ["site_id", "scene_date", "r", "c", "nir"] and own.count() == 1 and "red" not in own._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="blue"):
+        sources.pixels(spark, path, ["blue"])
+    spark.read.parquet(path).coalesce(1).write.mode("append").parquet(path)
+    assert cache.source_id(spark, path) != one
+    with pytest.raises(FileNotFoundError, match="gone"):
+        cache.source_id(spark, f"file://{tmp_path}/gone?sig=1".replace("?sig=1", ""))
+    assert sources.signed_text("a?b", "t") == "a?b&t" and sources.signed_text("a", "t") == "a?t" and sources.signed_text("a", None) == "a"
+
+
+def test_median_of_large_scenes(spark):
+    from fieldloom.operators import series
+
+    px = spark.range(20_001).select(F.lit(1).alias("site_id"), F.to_date(F.lit("2021-01-05")).alias("scene_date"), (F.col("id") / 20_000).alias("v"))
+    exact, close = (series.scene_values(px, "v", how).first()["value"] for how in ("median", "median_approx"))
+    assert exact == 0.5 and abs(close - 0.5) < 2e-4
+
+
 SITES = [("a", 117.1, -32.0, "2021-01-01", "2021-02-01"), ("b", 117.2, -32.0, "2021-01-01", "2021-02-01"), ("c", 500.0, 0.0, "2021-01-01", "2021-02-01"), ("d", 117.3, -32.0, "2021-01-01", "2021-02-01")]
 
 
