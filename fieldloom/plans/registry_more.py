@@ -461,7 +461,7 @@ def nearest_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "series_rollup",
-    f"WITH {VX}, s AS (SELECT site_id, scene_date, avg(v) AS v FROM vx GROUP BY ALL) SELECT coalesce(site_id, -1) AS site_id, coalesce(year(scene_date), -1) AS year, coalesce(month(scene_date), -1) AS month, round(avg(v), 9) AS value, count(*) AS n FROM s WHERE v IS NOT NULL GROUP BY ROLLUP (site_id, year(scene_date), month(scene_date))",
+    f"WITH {VX}, s AS (SELECT site_id, scene_date, avg(v) AS v FROM vx GROUP BY ALL) SELECT coalesce(site_id, -1) AS site_id, CAST(coalesce(year(scene_date), -1) AS INT) AS year, CAST(coalesce(month(scene_date), -1) AS INT) AS month, round(avg(v), 9) AS value, count(*) AS n FROM s WHERE v IS NOT NULL GROUP BY ROLLUP (site_id, year(scene_date), month(scene_date))",
 )
 def series_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scene means by month, year, site and in all."""
