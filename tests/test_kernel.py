@@ -197,76 +197,50 @@ def test_areas_against_a_flood(four):
 
 
 def told_walk(mask):
-    """The walk as it is told, on a grid with a dead ring: three lines of sight are remembered, and a turn forgets the older two."""
-    grid = np.pad(mask, 1)
-    rows, columns = grid.shape
+    """The walk as it is told, in one rule for a step: beside a living corner it is always taken; beside a dead one only if
+    something lives around the next place, or within the reach of two places before, and within two cells to its left.
+    A step that is not taken is a turn to the left, after which earlier sights are forgotten."""
     if mask.sum() < 3:
         return [], [], False
-    inside = lambda r, c: 0 <= r < rows and 0 <= c < columns
-    alive = lambda r, c: inside(r, c) and bool(grid[r, c])
-    steps = [(-1, 0), (0, 1), (1, 0), (0, -1)]  # north, east, south, west
-    left = lambda d: (d - 1) % 4
-
-    def line(r, c, d):
-        out, (i, j) = [], steps[left(d)]
-        r, c = r + i, c + j
-        while inside(r, c):
-            out.append(alive(r, c))
-            r, c = r + i, c + j
-        return out
-
-    first = np.argwhere(grid)[0]
-    spot, d, trail, edges, marks = (int(first[0]) - 1, int(first[1]) - 1), 2, [], [], []
-    trail.append(spot)
-    now, one_ago, two_ago = line(*spot, d), None, None
-    empty = not any(now)
-    marks, turned, living, mode, back = {spot}, 1, False, "walking", None
-    opened = 0
-    for _ in range(12 * int(mask.sum()) + 200):
-        i, j = steps[d]
-        p, q = steps[left(d)]
-        ahead = (spot[0] + i, spot[1] + j)
-        turn = False
-        if mode == "walking":
-            if not alive(ahead[0] + p, ahead[1] + q):
-                if not inside(*ahead):
-                    turn = True
-                else:
-                    back, spot, mode = spot, ahead, "scouting"
-                    trail.append(spot)
-                    now, one_ago, two_ago = line(*spot, d), now, one_ago
-            elif not inside(*ahead):
-                break
-            else:
-                spot = ahead
-                trail.append(spot)
-                living |= alive(*spot)
-                now, one_ago, two_ago = line(*spot, d), now, one_ago
-        elif mode == "scouting":
-            near = alive(*ahead) or alive(ahead[0] + p, ahead[1] + q) or alive(ahead[0] - p, ahead[1] - q)
-            reach = max((k + 1 for k, x in enumerate(two_ago) if x), default=0) if two_ago is not None else 0
-            if near or any(now[:reach]):
-                mode = "pending"
-            else:
-                trail.pop()
-                spot, turn = back, True
-        elif any(now[:2]):
-            living |= alive(*spot)
-            mode = "walking"
-        else:
-            trail.pop()
-            spot, turn = back, True
-        if turn:
-            edges.append((opened, len(trail) - 1, living))
-            opened = len(trail) - 1
-            if spot in marks and turned >= 3:
-                return [(r - 1, c - 1) for r, c in trail], edges, empty
-            marks.add(spot)
-            turned, living, mode, d = turned + 1, False, "walking", left(d)
-            now, one_ago, two_ago = line(*spot, d), None, None
+    high, wide = mask.shape
+    on_board = lambda p: -1 <= p[0] <= high and -1 <= p[1] <= wide
+    lives = lambda p: 0 <= p[0] < high and 0 <= p[1] < wide and bool(mask[p])
+    add = lambda p, v, n=1: (p[0] + n * v[0], p[1] + n * v[1])
+    to_left = lambda v: (-v[1], v[0])  # noqa: E731  of (down, right) steps
+
+    def sight(p, v):
+        cells = [add(p, to_left(v), n) for n in range(1, high + wide + 4)]
+        return [lives(c) for c in cells if on_board(c)]
+
+    corner = tuple(int(x) - 1 for x in np.argwhere(mask)[0])
+    trail, v, sights = [corner], (1, 0), [sight(corner, (1, 0))]
+    turns, edges, opened, living = {corner}, [], 0, False
+    for _ in range(40 * mask.size + 400):
+        spot, nxt = trail[-1], add(trail[-1], v)
+        taken = lives(add(nxt, to_left(v)))
+        if taken and not on_board(nxt):
+            break
+        if not taken and on_board(nxt):
+            seen = sight(nxt, v)
+            reach = max((n for n, x in enumerate(sights[-2], 1) if x), default=0) if len(sights) > 1 else 0
+            beyond = add(nxt, v)
+            around = any(map(lives, (beyond, add(beyond, to_left(v)), add(beyond, to_left(v), -1))))
+            taken = (around or any(seen[:reach])) and any(seen[:2])
+        if taken:
+            trail.append(nxt)
+            sights.append(sight(nxt, v))
+            living |= lives(nxt)
+            continue
+        edges.append((opened, len(trail) - 1, living))
+        opened, living = len(trail) - 1, False
+        if spot in turns and len(edges) >= 3:
+            return trail, edges, not any(sight(corner, (1, 0)))
+        turns.add(spot)
+        v = to_left(v)
+        sights = [sight(spot, v)]
     if opened < len(trail) - 1:
         edges.append((opened, len(trail) - 1, living))
-    return [(r - 1, c - 1) for r, c in trail], edges, empty
+    return trail, edges, not any(sight(corner, (1, 0)))
 
 
 @pytest.mark.parametrize("seed", range(40))
