@@ -207,11 +207,16 @@ def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def squeezed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words with one space behind each, and where each begins (one entry more than words)."""
+    """The words with one space behind each, and where each begins (one entry more than words); long documents go in pieces."""
     sizes = ends - starts
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-    out = np.full(begins[-1], 0x20, np.uint8)
-    out[np.repeat(begins[:-1] - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(int(sizes.sum()))] = data[~SPACE[data]]
+    out, at = np.full(begins[-1], 0x20, np.uint8), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
+        part, own = data[starts[at] : ends[to - 1]], sizes[at:to]
+        before = np.cumsum(own) - own
+        out[np.repeat(begins[at:to] - before, own) + np.arange(int(own.sum()))] = part[~SPACE[part]]
+        at = to
     return out, begins
 
 

@@ -71,7 +71,9 @@ def test_words_of_one_polynomial_name_stay_apart(spark):
     assert got == brute_windows(rows, 35) and got[1][1] == got[2][1] == 0
 
 
-def test_word_names_are_of_the_word_alone():
+@pytest.mark.parametrize("piece", [common.BLOCK_BYTES, 50])
+def test_word_names_are_of_the_word_alone(monkeypatch, piece):
+    monkeypatch.setattr(common, "BLOCK_BYTES", piece)
     rng = random.Random(2)
     words = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 90))) for _ in range(3000)] + ["a" * n for n in range(1, 200)] + ["a" * n + "\x00" for n in range(1, 70)]
     place = {}
