@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import re
-import tempfile
 import time
 import uuid
 from collections.abc import Callable

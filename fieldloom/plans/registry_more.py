@@ -13,6 +13,7 @@ from ..streaming.series import streaming_series
 from . import batch, bridge, sql
 from .params import params
 from .registry import ALIVE, EDGES, EVI2, FX, MASK, PX, RASTER, SITES, SIZE, VISITS, VX, WINDOWS, _NEAR8, _labels_sql, alive, features, mask_cells, query, rounded, seeds, values, visits
+from .session import shared_folder
 
 # -- grids -----------------------------------------------------------------------------------------
 
@@ -511,8 +512,7 @@ SELECT id, 'EVI2' AS "index", status, CASE WHEN status = 'success' THEN datediff
 )
 def batch_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of all visits after three rounds."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{batch.tempfile.mkdtemp(prefix='fieldloom-batch-')}"
-    return batch.rounds(visits(spark, sf_dir), "EVI2", _attempted, f"{folder.rstrip('/')}/fieldloom/batch", sleep=lambda s: None)[2]
+    return batch.rounds(visits(spark, sf_dir), "EVI2", _attempted, shared_folder(spark, "batch"), sleep=lambda s: None)[2]
 
 
 @query(
@@ -522,8 +522,7 @@ SELECT site_id, CAST(d AS VARCHAR) AS day, round(avg(value), 6) AS value, count(
 )
 def stream_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of events up to its end: the windows that the watermark has closed."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{batch.tempfile.mkdtemp(prefix='fieldloom-stream-')}"
-    base = f"{folder.rstrip('/')}/fieldloom/stream-{batch.uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     schema = bridge.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     closed = streaming_series(events.select((F.col("user_id") % 10).alias("site_id"), F.col("ts").cast("timestamp").alias("instant"), "value"), "value")

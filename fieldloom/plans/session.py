@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,6 +34,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's spark.checkpoint.dir; a local one only where that is unset and the session is local (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
+    return f"{found.rstrip('/')}/fieldloom/{name}-{uuid.uuid4().hex}"
+
+
 def tuned(spark: SparkSession) -> SparkSession:
     """The session with settings of ours that it leaves at Spark's defaults."""
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
