@@ -31,6 +31,7 @@ from .graph import components
 
 RADIUS = 2
 LIMIT = 4096
+LIMIT_BYTES = 1 << 26  # shingle hashes of a block, which the exact comparison may hold at once
 WIDE = 24  # bits; candidates for Jaccard 0.8, whose sets differ in ten bits on average
 BLOCK_KEYS = 4  # band, key and the two parts of a block
 SEED = 42
@@ -274,16 +275,16 @@ def _blocked(size: int, tables: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             n = batch.num_rows
-            prints, names, least = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, tables), np.uint64)
+            prints, names, least, held = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, tables), np.uint64), np.zeros(n, np.int64)
             for k, text in enumerate(batch.column(1).cast(pa.large_binary())):
                 digest = shingle_set(text.as_py() or b"", size)
-                names[k] = _name(digest)
+                names[k], held[k] = _name(digest), digest.nbytes
                 if len(digest):
                     prints[k] = _fold(digest)
                     least[k] = [(digest * f).min() for f in factors]
             flat = pa.array(least.view(np.int64).reshape(-1))
             keys = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, tables, dtype=np.int32), flat)
-            yield pa.record_batch({"doc_id": batch.column(0), "th": batch.column(2), "fp": prints.view(np.int64), "id": names.view(np.int64), "keys": keys})
+            yield pa.record_batch({"doc_id": batch.column(0), "th": batch.column(2), "fp": prints.view(np.int64), "id": names.view(np.int64), "keys": keys, "bytes": held})
 
     return run
 
@@ -335,15 +336,19 @@ def _by_key(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
 def _blocks(nodes: DataFrame) -> DataFrame:
     """(band, key, i, j, id, fp): the blocks of two nodes or more.
 
-    A block of more than ``LIMIT`` nodes is dealt into parts of half of it, and any two parts i < j meet in one bucket:
-    every pair is compared, a bucket holds about ``LIMIT`` nodes, and a node of a block of p parts is in p - 1 buckets.
+    A block of more than ``LIMIT`` nodes, or more than ``LIMIT_BYTES`` of their shingle hashes (column bytes, if there), is
+    dealt into parts of half of that, and any two parts i < j meet in one bucket: every pair is compared, a bucket holds
+    about the limit whatever the texts' lengths, and a node of a block of p parts is in p - 1 buckets.
     """
-    table = nodes.select("id", "fp", F.posexplode("keys").alias("band", "key"))
-    sizes = table.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    held = F.col("bytes") if "bytes" in nodes.columns else F.lit(0)
+    table = nodes.select("id", "fp", held.cast("long").alias("bytes"), F.posexplode("keys").alias("band", "key"))
+    sizes = table.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("b")).where("m > 1")
     sized = table.join(sizes, ["band", "key"])
     zero = F.lit(0).cast("long")
-    once = sized.where(F.col("m") <= LIMIT).select("band", "key", zero.alias("i"), zero.alias("j"), "id", "fp")
-    dealt = sized.where(F.col("m") > LIMIT).withColumn("p", F.ceil(F.col("m") * 2 / LIMIT)).withColumn("own", F.expr("pmod(xxhash64(id), p)"))
+    fits = (F.col("m") <= LIMIT) & (F.col("b") <= LIMIT_BYTES)
+    once = sized.where(fits).select("band", "key", zero.alias("i"), zero.alias("j"), "id", "fp")
+    parts = F.greatest(F.ceil(F.col("m") * 2 / LIMIT), F.ceil(F.col("b") * 2 / LIMIT_BYTES), F.lit(2).cast("long"))
+    dealt = sized.where(~fits).withColumn("p", parts).withColumn("own", F.expr("pmod(xxhash64(id), p)"))
     other = dealt.withColumn("q", F.explode(F.sequence(zero, F.col("p") - 1))).where("q != own")
     return once.unionByName(other.select("band", "key", F.least("own", "q").alias("i"), F.greatest("own", "q").alias("j"), "id", "fp"))
 
@@ -434,8 +439,8 @@ def similar_classes(docs: DataFrame, size: int = 5, similarity: float = 0.8, tab
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = text_or_empty()
     texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
-    prints = written(texts.mapInArrow(_blocked(size, tables), f"doc_id {kind}, th long, fp long, id long, keys array<long>"), "fingerprints")
-    nodes = prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    prints = written(texts.mapInArrow(_blocked(size, tables), f"doc_id {kind}, th long, fp long, id long, keys array<long>, bytes long"), "fingerprints")
+    nodes = prints.groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes"))
     table = _blocks(nodes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = table.columns[:BLOCK_KEYS]

@@ -74,3 +74,16 @@ def test_parts_of_a_block_meet_each_other(spark, monkeypatch):
         buckets.setdefault((r.band, r.key, r.i, r.j), set()).add(r.id)
     assert {(a, b) for x in buckets.values() for a in x for b in x if a < b} == {(a, b) for b in range(50) for a in range(b)}
     assert max(map(len, buckets.values())) < 30
+
+
+def test_blocks_of_long_texts_are_dealt_by_bytes(spark, rows, monkeypatch):
+    """A block holds few texts, but more of their hashes than one comparison may: same classes, no bucket above the limit."""
+    monkeypatch.setattr(simhash, "LIMIT_BYTES", 12_000)
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_kept([(d, t or "") for d, t in rows])
+    nodes = spark.createDataFrame([(k, k, [7, 1000 + k], 900) for k in range(60)], "id long, fp long, keys array<long>, bytes long")
+    buckets = {}
+    for r in simhash._blocks(nodes).collect():
+        buckets.setdefault((r.band, r.key, r.i, r.j), set()).add(r.id)
+    assert {(a, b) for x in buckets.values() for a in x for b in x if a < b} == {(a, b) for b in range(60) for a in range(b)}
+    assert len(buckets) > 10 and max(map(len, buckets.values())) * 900 < 24_000
