@@ -308,7 +308,7 @@ def test_bpe_of_long_unsplit_text():
     for _ in range(200):
         piece = "".join(rng.choice(rng.choice(["ab", "etaoin", "thing", "aaaa"])) for _ in range(rng.randrange(1, 400)))
         assert bpe.tree_encode(piece, own._model, size, rng.choice([1, 3, 17])) == own._model(piece)
-    for text in ("a" * 9000, " " * 5000 + "x", "!" * 3000 + "<|endoftext|>" + "é日本" * 900, "ab" * 4000 + "\n\n"):
+    for text in ("a" * 9000, " " * 5000 + "x", "!" * 3000 + "<|endoftext|>" + "é日本" * 900, "ab" * 4000 + "\n\n", "'" * 5000 + "ll", "7" * 5000, " Ab" + "Ab" * 3000 + "'s", "-" * 4096 + "é" * 40):
         assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
         assert own._pieces(text) == own.encode(text)
         assert own.decode(own.encode(text)) == text
